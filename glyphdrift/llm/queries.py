@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphdrift.llm import annsearch, capping, textstats
+from glyphdrift.llm import annsearch, capping, clusters, textstats
 from glyphdrift.session import table
 
 
@@ -22,8 +22,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annsearch.similar_records(table(spark, sf_dir, "occurrences"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.sense_groups(table(spark, sf_dir, "occurrences"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
