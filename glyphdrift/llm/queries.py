@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphdrift.llm import annsearch, capping, clusters, textstats
+from glyphdrift.llm import annsearch, capping, clusters, leakage, textstats
 from glyphdrift.session import table
 
 
@@ -26,8 +26,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.sense_groups(table(spark, sf_dir, "occurrences"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "bench_items")).select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
