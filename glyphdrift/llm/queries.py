@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphdrift.llm import annsearch, capping, clusters, leakage, textstats
+from glyphdrift.llm import annsearch, capping, clusters, leakage, neardup, textstats
 from glyphdrift.session import table
 
 
@@ -18,6 +18,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textstats.junk_sentences(table(spark, sf_dir, "occurrences"), table(spark, sf_dir, "common_chars"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.sentence_versions(table(spark, sf_dir, "occurrences"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annsearch.similar_records(table(spark, sf_dir, "occurrences"))
 
@@ -31,7 +35,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
