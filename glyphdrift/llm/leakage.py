@@ -46,7 +46,7 @@ def terms(words: list[str]) -> list[str]:
 class ItemIndex:
     """Inverted index of test items with BM25 impacts as shares of the item's own score.
 
-    ``impact[t, i]`` is what term t adds for item i. Items are ordered by language so that blocks are alike, and
+    ``blocks[b][t, i]`` is what term t adds for item i of block b. Items are ordered by language so that blocks are alike, and
     ``ceiling[t, b]`` is the largest impact of a term within a block: the sum over a passage's terms bounds every
     item of the block, and blocks whose bound stays below the threshold are never scored.
     """
@@ -61,7 +61,7 @@ class ItemIndex:
         """Fill the impacts from the number of corpus texts, of ``total``, that hold each term."""
         mean = sum(sum(b.values()) for b in self.bags) / max(1, len(self.bags))
         columns = math.ceil(max(1, len(self.bags)) / BLOCK_ITEMS) * BLOCK_ITEMS
-        self.impact = np.zeros((len(self.vocabulary) + 1, columns), np.float32)
+        impact = np.zeros((len(self.vocabulary) + 1, columns), np.float32)
         rarity = np.log(1 + (max(total, seen.max(initial=0)) - seen + 0.5) / (seen + 0.5))
         self.rarity = [[float(rarity[self.vocabulary[t]]) for t in terms(words)] for words in self.words]
         for i, bag in enumerate(self.bags):
@@ -71,8 +71,10 @@ class ItemIndex:
             }
             own = sum(weights.values()) or 1.0
             for t, w in weights.items():
-                self.impact[self.vocabulary[t], i] = w / own
-        self.ceiling = self.impact.reshape(len(self.impact), -1, BLOCK_ITEMS).max(2)
+                impact[self.vocabulary[t], i] = w / own
+        by_block = impact.reshape(len(impact), -1, BLOCK_ITEMS)
+        self.ceiling = by_block.max(2)
+        self.blocks = np.ascontiguousarray(by_block.transpose(1, 0, 2))
 
     def search(self, passages: list[np.ndarray]) -> list[tuple[int, int]]:
         """(passage, item) of every score of at least the threshold. A passage is an array of distinct term numbers."""
@@ -83,22 +85,18 @@ class ItemIndex:
             flat = np.concatenate([passages[n] for n in part])
             starts = np.concatenate([[0], np.cumsum([len(passages[n]) for n in part])[:-1]])
             bounds = np.add.reduceat(self.ceiling[flat], starts, axis=0)
-            for row, block in zip(*(x.tolist() for x in np.nonzero(bounds >= THRESHOLD))):
-                found += self.score(part[row], passages[part[row]], block)
+            lengths = np.diff(np.append(starts, len(flat)))
+            for block in np.flatnonzero((bounds >= THRESHOLD).any(0)).tolist():
+                rows = np.flatnonzero(bounds[:, block] >= THRESHOLD)
+                found += [(part[rows[r]], block * BLOCK_ITEMS + i) for r, i in self.score(flat, starts[rows], lengths[rows], block)]
         return found
 
-    def score(self, number: int, passage: np.ndarray, block: int) -> list[tuple[int, int]]:
-        """Exact scores in one block: terms by falling ceiling, given up once the rest cannot reach the threshold."""
-        order = passage[np.argsort(-self.ceiling[passage, block], kind="stable")]
-        rest = np.cumsum(self.ceiling[order, block][::-1])[::-1]
-        columns = slice(block * BLOCK_ITEMS, (block + 1) * BLOCK_ITEMS)
-        head = 12
-        total = self.impact[order[:head], columns].sum(0)
-        if len(order) > head:
-            if total.max() + rest[head] < THRESHOLD:
-                return []
-            total = total + self.impact[order[head:], columns].sum(0)
-        return [(number, block * BLOCK_ITEMS + int(i)) for i in np.flatnonzero(total >= THRESHOLD)]
+    def score(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, block: int) -> list[tuple[int, int]]:
+        """(row, item of the block) of the scores of at least the threshold, of passages that the bound let through."""
+        ends = np.cumsum(lengths)
+        own = np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])
+        scores = np.add.reduceat(self.blocks[block][flat[own]], ends - lengths, axis=0)
+        return list(zip(*(x.tolist() for x in np.nonzero(scores >= THRESHOLD))))
 
 
 def passages_of(index: ItemIndex, words: list[str]) -> list[np.ndarray]:
