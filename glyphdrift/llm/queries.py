@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from glyphdrift.llm import annsearch, capping, clusters, leakage, neardup, textstats
+from glyphdrift.llm import annsearch, capping, clusters, leakage, neardup, packing, reservoir, textstats
 from glyphdrift.session import table
 
 
@@ -18,6 +19,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textstats.junk_sentences(table(spark, sf_dir, "occurrences"), table(spark, sf_dir, "common_chars"))
 
 
+def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """10,000 latest records, all equally likely, with the number of records they stand for."""
+    return reservoir.sampled_records(table(spark, sf_dir, "occurrences"))
+
+
+def p4_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the sample stands for: population, rows drawn, distinct records drawn."""
+    sample = p4_sample(spark, sf_dir)
+    return sample.groupBy("population").agg(F.count("*").alias("drawn"), F.countDistinct("occ_id").alias("records"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.sentence_versions(table(spark, sf_dir, "occurrences"))
 
@@ -30,13 +42,33 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.sense_groups(table(spark, sf_dir, "occurrences"))
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container, place and token range of every document."""
+    return packing.packed_documents(table(spark, sf_dir, "documents"))
+
+
+def p8_waste(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers by their number of unused tokens."""
+    held = p8_containers(spark, sf_dir).groupBy("container").agg(F.sum("n_tokens").alias("held"), F.count("*").alias("items"))
+    return held.groupBy((F.lit(packing.CAPACITY) - F.col("held")).alias("unused")).agg(F.count("*").alias("containers"), F.sum("items").alias("items"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "bench_items")).select("doc_id", "item_id")
 
 
+QUERIES = (p1_found, p3_found, p4_sample, p4_balance, p5_found, p6_found, p7_found, p8_containers, p8_waste, p9_found)
+
+SQL = {
+    "p4_balance": """
+        SELECT count(*) AS population, least(count(*), 10000) AS drawn, least(count(*), 10000) AS records
+        FROM (SELECT DISTINCT occ_id FROM occurrences WHERE occ_id IS NOT NULL)""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found}
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
