@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphdrift.llm import annsearch, capping, clusters, leakage, neardup, packing, reservoir, textstats
+from glyphdrift.operators import latest
 from glyphdrift.session import table
 
 
@@ -16,7 +17,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return textstats.junk_sentences(table(spark, sf_dir, "occurrences"), table(spark, sf_dir, "common_chars"))
+    return textstats.junk_sentences(table(spark, sf_dir, "occurrences"))
+
+
+def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of every text statistic per period, all sentences."""
+    rows = latest.latest_rows(table(spark, sf_dir, "occurrences"), ["sentence", "dynasty_category"])
+    stats = textstats.with_statistics(rows, "sentence", table(spark, sf_dir, "common_chars"))
+    names = [f.name for f in stats.schema["stats"].dataType.fields]
+    return textstats.percentiles(stats, names, "dynasty_category").withColumnRenamed("group", "dynasty_category")
 
 
 def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +66,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "bench_items")).select("doc_id", "item_id")
 
 
-QUERIES = (p1_found, p3_found, p4_sample, p4_balance, p5_found, p6_found, p7_found, p8_containers, p8_waste, p9_found)
+QUERIES = (p1_found, p3_found, p3_percentiles, p4_sample, p4_balance, p5_found, p6_found, p7_found, p8_containers, p8_waste, p9_found)
 
 SQL = {
     "p4_balance": """
