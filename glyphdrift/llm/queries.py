@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphdrift.llm import annsearch, capping, clusters, leakage, neardup, packing, reservoir, textstats
+from glyphdrift.llm import annsearch, capping, clusters, leakage, neardup, packing, personal, reservoir, textstats
 from glyphdrift.operators import latest
 from glyphdrift.session import table
 
@@ -66,7 +66,17 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "bench_items")).select("doc_id", "item_id")
 
 
-QUERIES = (p1_found, p3_found, p3_percentiles, p4_sample, p4_balance, p5_found, p6_found, p7_found, p8_containers, p8_waste, p9_found)
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.mentions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts")).select("doc_id", "kind", "start_pos")
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with typed placeholders in place of the mentions."""
+    documents = table(spark, sf_dir, "documents")
+    return personal.redacted(documents, personal.mentions(documents, table(spark, sf_dir, "name_parts")))
+
+
+QUERIES = (p1_found, p3_found, p3_percentiles, p4_sample, p4_balance, p5_found, p6_found, p7_found, p8_containers, p8_waste, p9_found, p10_found, p10_redacted)
 
 SQL = {
     "p4_balance": """
