@@ -5,13 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from glyphdrift.operators import skew
-from glyphdrift.session import table
+from glyphdrift.functions import text as T
+from glyphdrift.functions import vectors as V
+from glyphdrift.functions.titles import BRACKETS, EDITION_NOTE, INVISIBLE, VOLUME_NOTE, compat_table
+from glyphdrift.operators import analytics, cluster, embed, extract, labels, latest, quality, sampling, skew, sweep
+from glyphdrift.plans import pipeline
+from glyphdrift.session import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+SIZE = 64
+TARGETS = ["手", "水", "道"]
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -20,14 +27,390 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = sql.strip()
         return f
 
     return add
 
 
-@query()
+# --- SQL parts -----------------------------------------------------------------------------------------------------
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+LATEST = "(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY occ_id ORDER BY load_seq DESC) AS rn FROM occurrences WHERE occ_id IS NOT NULL) WHERE rn = 1)"
+SPACES = "'[\\s\\p{Z}]'"
+STRIP = lambda x: f"regexp_replace({x}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+FOLD = lambda x: f"translate({x}, {quoted(compat_table()[0])}, {quoted(compat_table()[1])})"
+BARE = lambda x: f"regexp_replace({FOLD(x)}, {quoted(INVISIBLE)}, '', 'g')"
+PERIOD_KEY = lambda x: f"nullif(lower(trim(regexp_replace({FOLD(x)}, {quoted(INVISIBLE)}, ' ', 'g'))), '')"
+INNER = lambda x: f"regexp_replace(regexp_replace({BARE(x)}, {quoted(EDITION_NOTE)}, ''), {quoted(BRACKETS)}, '', 'g')"
+WORKS = f"""
+WITH last AS {LATEST},
+titled AS (SELECT *, {INNER("toptitle")} AS inner_title FROM last),
+plain AS (SELECT *, CASE WHEN regexp_replace(inner_title, {quoted(VOLUME_NOTE)}, '') = '' THEN inner_title ELSE regexp_replace(inner_title, {quoted(VOLUME_NOTE)}, '') END AS p FROM titled),
+dims AS (SELECT {PERIOD_KEY("dynasty_name")} AS k, min(dynasty_category) AS c FROM dynasty_dim GROUP BY 1),
+metas AS (SELECT nullif(regexp_extract(topurn, '[0-9]+'), '') AS num, c, count(*) AS n FROM metadata JOIN dims ON {PERIOD_KEY("from_dynasty_name")} = k GROUP BY ALL),
+meta AS (SELECT num, c AS meta_c FROM metas WHERE num IS NOT NULL AND c IS NOT NULL QUALIFY row_number() OVER (PARTITION BY num ORDER BY n DESC, c) = 1),
+works AS (
+  SELECT plain.*, CASE WHEN p IS NULL OR p = '' OR upper(p) = 'N/A' THEN 'unknown' ELSE p END AS work_title,
+         coalesce(nullif(trim(dynasty_category), ''), dims.c, meta_c) AS work_category
+  FROM plain LEFT JOIN dims ON {PERIOD_KEY("dynasty")} = dims.k LEFT JOIN meta ON nullif(regexp_extract(reference_id, '[0-9]+'), '') = num)
+"""
+COUNT = lambda x, c: f"len(regexp_extract_all({x}, {quoted(c)}))"
+USABLE = "len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(vector, lambda x: x <> 0)) > 0"
+PLACE = lambda a, b: f"list_position(vector[{a}:{b}], list_max(vector[{a}:{b}])) - 1"
+ASSIGNED = f"(SELECT occ_id, word, dynasty_category AS dynasty, sentence, toptitle, vector, CAST({PLACE(1, 6)} AS INTEGER) AS local_cluster, CAST({PLACE(7, 18)} AS INTEGER) AS global_cluster FROM {LATEST} WHERE {USABLE} AND dynasty_category IS NOT NULL)"
+RARE_RE2 = r"[\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}]"
+
+
+def records(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Latest rows with the named columns."""
+    return latest.latest_rows(table(spark, sf_dir, "occurrences"), list(columns))
+
+
+def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A repeatable assignment derived from the vectors: the place of the largest of their first and next components."""
+    rows = records(spark, sf_dir, "word", "dynasty_category", "sentence", "toptitle", "vector")
+    place = lambda a, n: (F.array_position(F.slice("vector", a, n), F.array_max(F.slice("vector", a, n))) - 1).cast("int")
+    usable = rows.where(V.is_usable("vector", SIZE) & F.col("dynasty_category").isNotNull()).withColumnRenamed("dynasty_category", "dynasty")
+    return usable.withColumns({"local_cluster": place(1, 6), "global_cluster": place(7, 12)})
+
+
+# --- Problem 2: keys that hold most rows -----------------------------------------------------------------------------
+
+
+@query(f"""{WORKS}
+SELECT work_category AS dynasty_category, work_title AS toptitle FROM works GROUP BY ALL
+HAVING count(*) >= 0.02 * (SELECT count(*) FROM works)""")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = (table(spark, sf_dir, t) for t in ("occurrences", "metadata", "dynasty_dim"))
     works = skew.dominant_works(*tables)
     return works.selectExpr("work_category AS dynasty_category", "work_title AS toptitle")
+
+
+@query(f"""{WORKS}
+SELECT work_category AS dynasty_category, work_title AS toptitle, count(*) AS n,
+       count(CASE WHEN NOT isnan(quality) THEN 1 END) AS n_quality,
+       round(avg(CASE WHEN NOT isnan(quality) THEN quality END), 6) AS mean_quality
+FROM works GROUP BY ALL""")
+def p2_work_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records and mean quality of every work."""
+    states = skew.work_states(*(table(spark, sf_dir, t) for t in ("occurrences", "metadata", "dynasty_dim")))
+    mean = F.round(F.col("sum_quality") / F.nullif("n_quality", F.lit(0)), 6)
+    return states.select(F.col("work_category").alias("dynasty_category"), F.col("work_title").alias("toptitle"), "n", "n_quality", mean.alias("mean_quality"))
+
+
+@query(f"""
+SELECT dynasty_category, count(*) AS n_pairs, CAST(sum(sentence_index) AS BIGINT) AS sum_sentence_index, CAST(sum(len_title) AS BIGINT) AS sum_len_title
+FROM (SELECT dynasty_category, sentence_index, nullif(regexp_extract(reference_id, '[0-9]+'), '') AS num FROM {LATEST})
+JOIN (SELECT nullif(regexp_extract(topurn, '[0-9]+'), '') AS num, length(title) AS len_title FROM metadata) USING (num)
+GROUP BY dynasty_category""")
+def p2_chapter_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records and chapters of their work per period, with sums of both sides, without making the pairs."""
+    left = records(spark, sf_dir, "dynasty_category", "sentence_index", "reference_id").withColumn("num", F.nullif(F.regexp_extract("reference_id", "[0-9]+", 0), F.lit("")))
+    right = table(spark, sf_dir, "metadata").select(F.nullif(F.regexp_extract("topurn", "[0-9]+", 0), F.lit("")).alias("num"), F.length("title").alias("len_title"))
+    return skew.eager_join_aggregate(left, right, ["num"], ["dynasty_category"], ["sentence_index"], ["len_title"])
+
+
+# --- Segmenting and extraction -----------------------------------------------------------------------------------------
+
+SENTENCES = f"list_filter(list_transform(regexp_split_to_array(translate(text, '{{}}　●', ''), '\\n\\n|[。！？；]'), lambda s: {STRIP('s')}), lambda s: s <> '')"
+
+
+@query(f"""
+SELECT doc_id, i - 1 AS sentence_index, parts[i] AS sentence
+FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, {SENTENCES} AS parts FROM documents))""")
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.segmented(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "sentence_index", "sentence")
+
+
+@query("SELECT doc_id, regexp_matches(text, '[。，、；：？！「」『』]') AS is_punctuated FROM documents")
+def article_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.is_punctuated("text").alias("is_punctuated"))
+
+
+@query(f"""
+SELECT occ_id, c AS word, i - 1 AS char_pos
+FROM (SELECT occ_id, chars, chars[i] AS c, i FROM (SELECT occ_id, string_split(sentence, '') AS chars, unnest(range(1, length(sentence) + 1)) AS i FROM {LATEST}))
+WHERE c IN ('手', '水', '道')""")
+def target_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.occurrences(records(spark, sf_dir, "sentence"), TARGETS).select("occ_id", "word", "char_pos")
+
+
+@query("""
+SELECT topurn, title, regexp_replace(list_last(string_split(topurn, ':')), '^wb', '') AS urn,
+       CASE WHEN regexp_extract(topurn, '[0-9]+') <> '' THEN 'ctext_' || regexp_extract(topurn, '[0-9]+') ELSE regexp_replace(list_last(string_split(topurn, ':')), '^wb', '') END AS reference_id,
+       topurn || '_' || coalesce(title, '') AS text_id
+FROM metadata""")
+def metadata_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "metadata")
+    return rows.select("topurn", "title", T.urn("topurn").alias("urn"), T.reference_id("topurn").alias("reference_id"), T.text_id("topurn", "title").alias("text_id"))
+
+
+CHAPTERS = f"(SELECT m.title, m.topurn, d.c AS dynasty_category, m.topurn || '_' || coalesce(m.title, '') AS text_id, regexp_replace(list_last(string_split(topurn, ':')), '^wb', '') AS urn FROM metadata m JOIN (SELECT {PERIOD_KEY('dynasty_name')} AS k, min(dynasty_category) AS c FROM dynasty_dim GROUP BY 1) d ON {PERIOD_KEY('m.from_dynasty_name')} = d.k)"
+
+
+@query(f"SELECT dynasty_category, count(*) AS n, count(DISTINCT urn) AS n_urn FROM {CHAPTERS} GROUP BY 1")
+def valid_dynasty_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = extract.chapters(table(spark, sf_dir, "metadata"), table(spark, sf_dir, "dynasty_dim"))
+    return rows.groupBy("dynasty_category").agg(F.count("*").alias("n"), F.countDistinct("urn").alias("n_urn"))
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts by urn put together from the sentences of each reference: the last sentence that each one holds."""
+    rows = records(spark, sf_dir, "reference_id", "sentence").withColumn("urn", F.regexp_extract("reference_id", "[0-9]+", 0))
+    return latest.upsert_last_wins(rows, "urn", "occ_id", "sentence").select(F.col("key").alias("urn"), F.col("sentence").alias("text"))
+
+
+TEXTS = f"(SELECT regexp_extract(reference_id, '[0-9]+') AS urn, arg_max(sentence, occ_id) AS text FROM {LATEST} GROUP BY 1)"
+
+
+@query(f"SELECT urn AS key, text AS sentence FROM {TEXTS}")
+def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).select(F.col("urn").alias("key"), F.col("text").alias("sentence"))
+
+
+DONE = "(SELECT DISTINCT topurn || '_' || coalesce(title, '') AS text_id FROM metadata WHERE title LIKE '卷%')"
+
+
+@query(f"""
+SELECT CASE WHEN d.text_id IS NOT NULL THEN 'checkpoint' WHEN t.text IS NULL THEN 'not_found' WHEN NOT regexp_matches(t.text, '[。，、；：？！「」『』]') THEN 'no_punctuation' ELSE 'processed' END AS status, count(*) AS n
+FROM {CHAPTERS} c LEFT JOIN {DONE} d USING (text_id) LEFT JOIN {TEXTS} t USING (urn) GROUP BY 1""")
+def extraction_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters by what becomes of them: done before, without text, without punctuation, or processed."""
+    metadata = table(spark, sf_dir, "metadata")
+    rows = extract.chapters(metadata, table(spark, sf_dir, "dynasty_dim"))
+    done = metadata.where("title LIKE '卷%'").select(T.text_id("topurn", "title").alias("text_id"))
+    return extract.status_counts(extract.chapter_status(rows, _texts(spark, sf_dir), done))
+
+
+@query(f"SELECT c.text_id, t.text FROM {CHAPTERS} c JOIN {TEXTS} t USING (urn)")
+def metadata_archive_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = extract.chapters(table(spark, sf_dir, "metadata"), table(spark, sf_dir, "dynasty_dim"))
+    return rows.join(_texts(spark, sf_dir), "urn").select("text_id", "text")
+
+
+@query(f"SELECT c.text_id FROM {CHAPTERS} c ANTI JOIN {DONE} d USING (text_id)")
+def checkpoint_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    metadata = table(spark, sf_dir, "metadata")
+    done = metadata.where("title LIKE '卷%'").select(T.text_id("topurn", "title").alias("text_id")).distinct()
+    return extract.chapters(metadata, table(spark, sf_dir, "dynasty_dim")).join(done, "text_id", "left_anti").select("text_id")
+
+
+@query(f"""
+SELECT dynasty_category, text_id FROM (SELECT *, row_number() OVER (PARTITION BY dynasty_category ORDER BY text_id) AS rn FROM (SELECT DISTINCT dynasty_category, text_id FROM {CHAPTERS})) WHERE rn <= 50""")
+def head_per_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = extract.chapters(table(spark, sf_dir, "metadata"), table(spark, sf_dir, "dynasty_dim")).select("dynasty_category", "text_id").distinct()
+    return sampling.head_per_group(rows, ["dynasty_category"], ["text_id"], 50)
+
+
+@query(f"""
+WITH tokens AS (SELECT occ_id, char_pos, 4 * i AS a, least(4 * i + 4, length(sentence)) AS b FROM (SELECT *, unnest(range(0, (length(sentence) + 3) // 4)) AS i FROM {LATEST} WHERE sentence <> ''))
+SELECT occ_id, char_pos, count(*) AS n_tokens, round(sum((least(b, char_pos + 1) - greatest(a, char_pos)) / greatest(1, b - a)), 6) AS weight
+FROM tokens WHERE least(b, char_pos + 1) - greatest(a, char_pos) > 0 GROUP BY 1, 2""")
+def span_overlap_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of four-character tokens that overlap the target character."""
+    rows = records(spark, sf_dir, "sentence", "char_pos").where("sentence <> ''")
+    n = F.length("sentence")
+    tokens = rows.withColumn("a", F.explode(F.sequence(F.lit(0), n - 1, F.lit(4)))).withColumn("b", F.least(F.col("a") + 4, n))
+    shared = T.overlap_length("a", "b", "char_pos", F.col("char_pos") + 1)
+    both = tokens.withColumn("shared", shared).where("shared > 0")
+    return both.groupBy("occ_id", "char_pos").agg(F.count("*").alias("n_tokens"), F.round(F.sum(F.col("shared") / F.greatest(F.lit(1), F.col("b") - F.col("a"))), 6).alias("weight"))
+
+
+@query()
+def pooled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Character vectors pooled from the tokens of a model-free embedder. The embedder is Python, so there is no SQL."""
+    rows = records(spark, sf_dir, "sentence", "char_pos").where(T.contains_any("sentence", TARGETS))
+    tokens = embed.token_vectors(rows, "occ_id", "sentence", embed.HashEmbedder())
+    return embed.pooled(rows.select(F.col("occ_id").alias("id"), "char_pos"), tokens)
+
+
+# --- Cleaning ------------------------------------------------------------------------------------------------------------
+
+RUNS = """
+chars AS (SELECT occ_id, i, s[i] AS c FROM (SELECT occ_id, string_split(sentence, '') AS s, unnest(range(1, length(sentence) + 1)) AS i FROM last)),
+runs AS (SELECT occ_id, c, count(*) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY occ_id, c ORDER BY i) AS g FROM chars) GROUP BY occ_id, c, g),
+longest AS (SELECT occ_id, max(n) AS longest, max(CASE WHEN c <> chr(10) THEN n END) AS run, count(CASE WHEN n >= 3 AND c <> chr(10) THEN 1 END) AS n_runs FROM runs GROUP BY 1)"""
+MARKED = f"regexp_matches(sentence, '[{quality.MARKERS}]')"
+SUSPICIOUS = "(coalesce(run, 0) >= 5 OR regexp_matches(sentence, '[A-Za-z]{2,}') OR regexp_matches(sentence, '\\p{Nd}{6,}'))"
+UNUSUAL = f"regexp_matches(sentence, '[^\\x{{4E00}}-\\x{{9FFF}}{quality.ALLOWED}\\p{{Nd}}²³¹⁰-⁹₀-₉①-⑨\\s\\p{{Z}}\\x{{85}}\\x{{0B}}\\x{{1C}}-\\x{{1F}}]')"
+DETECTED = f"list_filter([CASE WHEN {MARKED} THEN 'ocr_markers' END, CASE WHEN {SUSPICIOUS} THEN 'suspicious_patterns' END, CASE WHEN {UNUSUAL} THEN 'unusual_chars' END, CASE WHEN length(sentence) NOT BETWEEN 5 AND 500 THEN 'length_anomaly' END], lambda e: e IS NOT NULL)"
+RULED = f"WITH last AS {LATEST}, {RUNS}, ruled AS (SELECT last.*, longest, run, coalesce(n_runs, 0) AS n_runs FROM last LEFT JOIN longest USING (occ_id))"
+
+
+@query(f"{RULED} SELECT occ_id, array_to_string({DETECTED}, ',') AS errors FROM ruled")
+def ocr_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir, "sentence").select("occ_id", F.array_join(quality.errors(F.col("sentence")), ",").alias("errors"))
+
+
+@query(f"{RULED} SELECT e AS reason, word, count(*) AS n FROM (SELECT word, unnest({DETECTED}) AS e FROM ruled) GROUP BY ALL")
+def ocr_error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = records(spark, sf_dir, "sentence", "word").select("word", quality.errors(F.col("sentence")).alias("errors"))
+    return quality.reason_counts(rows, ["word"], "errors")
+
+
+REMOVED = {
+    "conservative": f"CASE WHEN {MARKED} THEN 'ocr_markers' WHEN length(sentence) > 500 THEN 'too_long' WHEN run >= 5 THEN 'excessive_repetition' END",
+    "aggressive": f"({DETECTED})[1]",
+    "custom": f"CASE WHEN {MARKED} THEN 'ocr_markers' WHEN length(sentence) < 5 THEN 'too_short' WHEN length(sentence) > 500 THEN 'too_long' WHEN {SUSPICIOUS} THEN 'suspicious_patterns' END",
+}
+
+
+def _clean1(mode: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return records(spark, sf_dir, "sentence").select("occ_id", quality.removal_reason(F.col("sentence"), mode).alias("reason"))
+
+    run.__name__ = f"clean1_{mode}"
+    query(f"{RULED} SELECT occ_id, {REMOVED[mode]} AS reason FROM ruled")(run)
+
+
+for _mode in REMOVED:
+    _clean1(_mode)
+
+
+@query(f"{RULED} SELECT dynasty_category, count(*) AS total, count(*) - count(r) AS kept, count(r) AS removed FROM (SELECT dynasty_category, {REMOVED['conservative']} AS r FROM ruled WHERE dynasty_category IS NOT NULL) GROUP BY ROLLUP (dynasty_category)")
+def clean1_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept and removed records by period and overall."""
+    rows = records(spark, sf_dir, "sentence", "dynasty_category").where("dynasty_category IS NOT NULL")
+    return quality.removal_totals(rows.withColumn("r", quality.removal_reason(F.col("sentence"), "conservative")), ["dynasty_category"], "r")
+
+
+@query(f"{RULED} SELECT dynasty_category, reason, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY dynasty_category), 6) AS pct FROM (SELECT dynasty_category, {REMOVED['custom']} AS reason FROM ruled) WHERE reason IS NOT NULL GROUP BY ALL")
+def clean1_reason_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = records(spark, sf_dir, "sentence", "dynasty_category").select("dynasty_category", quality.removal_reason(F.col("sentence"), "custom").alias("reason"))
+    return analytics.proportions(rows.where("reason IS NOT NULL"), ["dynasty_category"], "reason").withColumn("pct", F.round("pct", 6))
+
+
+@query(f"{RULED} SELECT reason, occ_id, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY occ_id) AS place FROM (SELECT occ_id, {REMOVED['aggressive']} AS reason FROM ruled) WHERE reason IS NOT NULL) WHERE place <= 10")
+def first_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten records for each reason of the aggressive mode."""
+    rows = records(spark, sf_dir, "sentence").select("occ_id", quality.removal_reason(F.col("sentence"), "aggressive").alias("reason"))
+    return quality.first_examples(rows, "reason", ["occ_id"])
+
+
+SEGMENTS = "list_transform(range(0, length(sentence) - 9, 10), lambda i: substring(sentence, CAST(i + 1 AS BIGINT), 10))"
+ABNORMAL = f"""CASE WHEN regexp_matches(sentence, '^[\\[{quality.PUNCTUATION[1:-1]}]\\]+$') THEN 'all_punctuation'
+ WHEN {COUNT('sentence', ' ')} > length(sentence) * 0.1 THEN 'excessive_whitespace'
+ WHEN n_runs >= 3 THEN 'abnormal_repeat_pattern'
+ WHEN length(sentence) > 150 AND NOT regexp_matches(sentence, '{quality.PUNCTUATION}') THEN 'overlong_no_punctuation'
+ WHEN length(sentence) >= 10 AND len(list_filter({SEGMENTS}, lambda g: NOT regexp_matches(g, '[{quality.COMMON}]'))) > len({SEGMENTS}) * 0.8 THEN 'low_common_chars'
+ WHEN length(sentence) > 0 AND {COUNT('sentence', RARE_RE2)} / length(sentence) > 0.3 THEN 'excessive_rare_chars' END"""
+
+
+@query(f"{RULED} SELECT occ_id, {ABNORMAL} AS pattern FROM ruled")
+def abnormal_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir, "sentence").select("occ_id", quality.abnormal_pattern(F.col("sentence")).alias("pattern"))
+
+
+def _failed_sql(level: quality.Level) -> str:
+    return f"""list_filter([CASE WHEN length(sentence) NOT BETWEEN {level.min_length} AND {level.max_length} THEN 'length' END,
+ CASE WHEN length(sentence) = 0 OR len(list_distinct(string_split(sentence, ''))) / length(sentence) < {level.min_distinct} THEN 'uniqueness' END,
+ CASE WHEN longest > {level.max_run} AND longest > 1 THEN 'repeat' END,
+ CASE WHEN regexp_matches(sentence, '{quality.INVALID}') THEN 'invalid_chars' END,
+ CASE WHEN length(sentence) = 0 OR {COUNT('sentence', quality.DIGITS)} / length(sentence) > {level.max_digits} THEN 'digits' END,
+ CASE WHEN {ABNORMAL} IS NOT NULL THEN 'patterns' END], lambda e: e IS NOT NULL)"""
+
+
+def _clean2(name: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        failed = quality.failed_checks(F.col("sentence"), name)
+        rows = records(spark, sf_dir, "sentence").select("occ_id", failed.alias("f"))
+        return rows.select("occ_id", F.array_join("f", ",").alias("failed"), F.round(quality.quality_score(F.col("f")), 6).alias("score"))
+
+    run.__name__ = f"quality_score_{name}"
+    query(f"{RULED} SELECT occ_id, array_to_string(f, ',') AS failed, round((6 - len(f)) / 6, 6) AS score FROM (SELECT occ_id, {_failed_sql(quality.LEVELS[name])} AS f FROM ruled)")(run)
+
+
+for _name in quality.LEVELS:
+    _clean2(_name)
+
+
+@query(f"{RULED} SELECT word, reason, count(*) AS n FROM (SELECT word, unnest({_failed_sql(quality.LEVELS['normal'])}) AS reason FROM ruled) GROUP BY ALL")
+def quality_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = records(spark, sf_dir, "sentence", "word").select("word", quality.failed_checks(F.col("sentence"), "normal").alias("f"))
+    return quality.reason_counts(rows, ["word"], "f")
+
+
+@query(f"{RULED} SELECT word, count(*) AS total, count(CASE WHEN len(f) = 0 THEN 1 END) AS kept, round(count(CASE WHEN len(f) = 0 THEN 1 END) / count(*), 6) AS keep_ratio FROM (SELECT word, {_failed_sql(quality.LEVELS['normal'])} AS f FROM ruled) GROUP BY ROLLUP (word)")
+def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = records(spark, sf_dir, "sentence", "word").select("word", F.size(quality.failed_checks(F.col("sentence"), "normal")).alias("f"))
+    return rows.rollup("word").agg(F.count("*").alias("total"), F.count_if(F.col("f") == 0).alias("kept"), F.round(F.count_if(F.col("f") == 0) / F.count("*"), 6).alias("keep_ratio"))
+
+
+@query(f"{RULED} SELECT occ_id, length(sentence) AS n_chars, round(len(list_distinct(string_split(sentence, ''))) / length(sentence), 6) AS distinct_ratio, CASE WHEN longest > 1 THEN longest ELSE 0 END AS longest_run, {COUNT('sentence', quality.DIGITS)} AS n_digits FROM ruled")
+def text_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = records(spark, sf_dir, "sentence")
+    return rows.select("occ_id", F.length("sentence").alias("n_chars"), F.round(T.distinct_ratio("sentence"), 6).alias("distinct_ratio"), T.longest_run("sentence").alias("longest_run"), T.count_of("sentence", quality.DIGITS).alias("n_digits"))
+
+
+# --- Sampling ------------------------------------------------------------------------------------------------------------
+
+STRATA = ["dynasty_category", "word", "toptitle"]
+UNIQUE = f"(SELECT dynasty_category, word, sentence, coalesce(toptitle, 'unknown') AS toptitle, occ_id FROM {LATEST} QUALIFY row_number() OVER (PARTITION BY dynasty_category, word, sentence ORDER BY occ_id) = 1)"
+CAP = 60
+CAPPED = f"(SELECT * FROM {UNIQUE} QUALIFY row_number() OVER (PARTITION BY dynasty_category, word, toptitle ORDER BY md5('42:' || occ_id), occ_id) <= {CAP})"
+
+
+def _unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = records(spark, sf_dir, "sentence", *STRATA).withColumn("toptitle", sampling.source_title(F.col("toptitle")))
+    return sampling.first_of_equal(rows, ["dynasty_category", "word", "sentence"], ["occ_id"])
+
+
+@query(f"SELECT occ_id, dynasty_category, word, toptitle FROM {UNIQUE}")
+def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _unique(spark, sf_dir).select("occ_id", *STRATA)
+
+
+@query(f"SELECT occ_id, dynasty_category, word, toptitle FROM {CAPPED}")
+def stratified_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.capped_strata(_unique(spark, sf_dir), STRATA, "occ_id", CAP).select("occ_id", *STRATA)
+
+
+@query(f"SELECT occ_id, dynasty_category, word FROM {CAPPED} QUALIFY row_number() OVER (PARTITION BY dynasty_category, word ORDER BY md5('7:' || occ_id), occ_id) <= 500")
+def baseline_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capped = sampling.capped_strata(_unique(spark, sf_dir), STRATA, "occ_id", CAP)
+    return sampling.capped_strata(capped, ["dynasty_category", "word"], "occ_id", 500, seed=7).select("occ_id", "dynasty_category", "word")
+
+
+@query(f"SELECT a.dynasty_category, a.word, a.toptitle, a.n AS original, coalesce(b.n, 0) AS sampled, round(coalesce(b.n, 0) / a.n, 6) AS ratio FROM (SELECT dynasty_category, word, toptitle, count(*) AS n FROM {UNIQUE} WHERE dynasty_category IS NOT NULL GROUP BY ALL) a LEFT JOIN (SELECT dynasty_category, word, toptitle, count(*) AS n FROM {CAPPED} GROUP BY ALL) b USING (dynasty_category, word, toptitle)")
+def source_sample_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unique = _unique(spark, sf_dir).where("dynasty_category IS NOT NULL")
+    return sampling.sample_ratios(unique, sampling.capped_strata(unique, STRATA, "occ_id", CAP), STRATA).withColumn("ratio", F.round("ratio", 6))
+
+
+@query(f"SELECT dynasty_category, word, count(*) AS n_sources, CAST(sum(n) AS BIGINT) AS n_rows, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM (SELECT dynasty_category, word, toptitle, count(*) AS n FROM {CAPPED} GROUP BY ALL) GROUP BY 1, 2")
+def source_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capped = sampling.capped_strata(_unique(spark, sf_dir), STRATA, "occ_id", CAP)
+    return sampling.diversity(capped, ["dynasty_category", "word"], "toptitle").withColumn("entropy", F.round("entropy", 6))
+
+
+@query(f"SELECT dynasty_category, word, toptitle, n, round(n * 100.0 / total, 6) AS percentage, CAST(place AS INTEGER) AS place FROM (SELECT *, sum(n) OVER (PARTITION BY dynasty_category, word) AS total, row_number() OVER (PARTITION BY dynasty_category, word ORDER BY n DESC, toptitle) AS place FROM (SELECT dynasty_category, word, toptitle, count(*) AS n FROM {CAPPED} GROUP BY ALL)) WHERE place <= 10")
+def top_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capped = sampling.capped_strata(_unique(spark, sf_dir), STRATA, "occ_id", CAP)
+    return sampling.top_sources(capped, ["dynasty_category", "word"], "toptitle").withColumn("percentage", F.round("percentage", 6))
+
+
+@query(f"SELECT word, count(*) AS matched, count(*) - count(DISTINCT dynasty_category || '|' || sentence) AS duplicates, count(DISTINCT toptitle) AS n_toptitles FROM {LATEST} WHERE dynasty_category IS NOT NULL GROUP BY word")
+def sampling_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = records(spark, sf_dir, "sentence", *STRATA).where("dynasty_category IS NOT NULL")
+    unique = F.countDistinct("dynasty_category", "sentence")
+    return rows.groupBy("word").agg(F.count("*").alias("matched"), (F.count("*") - unique).alias("duplicates"), F.countDistinct("toptitle").alias("n_toptitles"))
+
+
+CLEANED = RULED.replace(LATEST, f"(SELECT * FROM {LATEST} WHERE occ_id IN (SELECT occ_id FROM sampled))", 1)
+
+
+@query(f"""WITH one AS {LATEST}, last AS (SELECT * FROM one), {RUNS},
+ruled AS (SELECT last.*, longest, run, coalesce(n_runs, 0) AS n_runs FROM last LEFT JOIN longest USING (occ_id)),
+kept AS (SELECT * FROM ruled WHERE {REMOVED['conservative']} IS NULL),
+uniq AS (SELECT * REPLACE (coalesce(toptitle, 'unknown') AS toptitle) FROM kept QUALIFY row_number() OVER (PARTITION BY dynasty_category, word, sentence ORDER BY occ_id) = 1),
+capped AS (SELECT * FROM uniq QUALIFY row_number() OVER (PARTITION BY dynasty_category, word, toptitle ORDER BY md5('42:' || occ_id), occ_id) <= {CAP})
+SELECT occ_id, dynasty_category, word, toptitle FROM capped WHERE len({_failed_sql(quality.LEVELS['normal'])}) = 0""")
+def cleaned_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four stages as one plan."""
+    rows = records(spark, sf_dir, "sentence", *STRATA)
+    return pipeline.cleaned_sample(rows, pipeline.Settings(cap=CAP)).select("occ_id", *STRATA)
