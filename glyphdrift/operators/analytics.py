@@ -39,7 +39,7 @@ def period_distribution(df: DataFrame, keys: list[str], period: str) -> DataFram
 
 def composition(df: DataFrame, keys: list[str], period: str, periods: Sequence[str] = PERIODS) -> DataFrame:
     """Share of each period in each cluster in percent, one column for each of the fixed periods, 0 where none."""
-    counts = df.groupBy(*keys).pivot(period, list(periods)).agg(F.count("*"))
+    counts = df.groupBy(*keys).pivot(period, list(periods)).agg(F.count(F.lit(1)))
     whole = sum((F.coalesce(F.col(f"`{p}`"), F.lit(0)) for p in periods), F.lit(0))
     return counts.select(*keys, *[F.when(whole > 0, F.coalesce(F.col(f"`{p}`"), F.lit(0)) * 100.0 / whole).otherwise(0.0).alias(p.replace("-", "_")) for p in periods])
 

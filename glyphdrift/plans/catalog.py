@@ -12,7 +12,7 @@ from glyphdrift.functions import vectors as V
 from glyphdrift.functions.titles import BRACKETS, EDITION_NOTE, INVISIBLE, VOLUME_NOTE, compat_table
 from glyphdrift.operators import analytics, cluster, embed, extract, labels, latest, quality, sampling, skew, sweep
 from glyphdrift.plans import pipeline
-from glyphdrift.session import materialise, table
+from glyphdrift.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -279,7 +279,7 @@ def clean1_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.removal_totals(rows.withColumn("r", quality.removal_reason(F.col("sentence"), "conservative")), ["dynasty_category"], "r")
 
 
-@query(f"{RULED} SELECT dynasty_category, reason, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY dynasty_category), 6) AS pct FROM (SELECT dynasty_category, {REMOVED['custom']} AS reason FROM ruled) WHERE reason IS NOT NULL GROUP BY ALL")
+@query(f"{RULED} SELECT dynasty_category, reason, n, round(n * 100.0 / sum(n) OVER (PARTITION BY dynasty_category), 6) AS pct FROM (SELECT dynasty_category, reason, count(*) AS n FROM (SELECT dynasty_category, {REMOVED['custom']} AS reason FROM ruled) WHERE reason IS NOT NULL GROUP BY 1, 2)")
 def clean1_reason_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records(spark, sf_dir, "sentence", "dynasty_category").select("dynasty_category", quality.removal_reason(F.col("sentence"), "custom").alias("reason"))
     return analytics.proportions(rows.where("reason IS NOT NULL"), ["dynasty_category"], "reason").withColumn("pct", F.round("pct", 6))
@@ -401,9 +401,6 @@ def sampling_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("word").agg(F.count("*").alias("matched"), (F.count("*") - unique).alias("duplicates"), F.countDistinct("toptitle").alias("n_toptitles"))
 
 
-CLEANED = RULED.replace(LATEST, f"(SELECT * FROM {LATEST} WHERE occ_id IN (SELECT occ_id FROM sampled))", 1)
-
-
 @query(f"""WITH one AS {LATEST}, last AS (SELECT * FROM one), {RUNS},
 ruled AS (SELECT last.*, longest, run, coalesce(n_runs, 0) AS n_runs FROM last LEFT JOIN longest USING (occ_id)),
 kept AS (SELECT * FROM ruled WHERE {REMOVED['conservative']} IS NULL),
@@ -414,3 +411,288 @@ def cleaned_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first four stages as one plan."""
     rows = records(spark, sf_dir, "sentence", *STRATA)
     return pipeline.cleaned_sample(rows, pipeline.Settings(cap=CAP)).select("occ_id", *STRATA)
+
+
+# --- Vectors and clusters ----------------------------------------------------------------------------------------------------
+
+CENTROIDS = f"(SELECT word, global_cluster, size, list(m ORDER BY i) AS centroid FROM (SELECT word, global_cluster, i, avg(CAST(vector[i] AS DOUBLE)) AS m, count(*) AS size FROM (SELECT *, unnest(range(1, 65)) AS i FROM {ASSIGNED}) GROUP BY 1, 2, 3) GROUP BY 1, 2, 3)"
+DIST = "sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(CAST(vector[i] AS DOUBLE) - centroid[i], 2))))"
+
+
+@query(f"SELECT word, global_cluster, size, list_transform(centroid, lambda x: floor(x * 100000 + 0.5) / 100000) AS centroid FROM {CENTROIDS}")
+def cluster_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    centres = V.centroids(assignments(spark, sf_dir), ["word", "global_cluster"], "vector")
+    return centres.withColumn("centroid", F.transform("centroid", lambda x: F.floor(x * 100000 + 0.5) / 100000))
+
+
+@query(f"SELECT a.word, a.global_cluster AS low, b.global_cluster AS high, round(list_cosine_similarity(a.centroid, b.centroid), 5) AS similarity FROM {CENTROIDS} a JOIN {CENTROIDS} b ON a.word = b.word AND a.global_cluster < b.global_cluster")
+def centroid_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    centres = V.centroids(assignments(spark, sf_dir), ["word", "global_cluster"], "vector")
+    pairs = cluster.centroid_pairs(centres, ["word"], "global_cluster")
+    return pairs.select("word", "low", "high", F.round(V.cosine(F.col("low_centroid"), F.col("high_centroid")), 5).alias("similarity"))
+
+
+@query(f"SELECT word, low, high, similarity FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY similarity DESC, low, high) AS rn FROM (SELECT a.word, a.global_cluster AS low, b.global_cluster AS high, round(list_cosine_similarity(a.centroid, b.centroid), 5) AS similarity FROM {CENTROIDS} a JOIN {CENTROIDS} b ON a.word = b.word AND a.global_cluster < b.global_cluster)) WHERE rn = 1")
+def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pair of clusters that merging would join first."""
+    return sampling.head_per_group(centroid_cosine(spark, sf_dir).withColumn("less", -F.col("similarity")), ["word"], ["less", "low", "high"], 1).drop("less")
+
+
+@query(f"SELECT word, occ_id, kind, CAST(place AS INTEGER) AS place FROM (SELECT word, global_cluster, occ_id, 'core' AS kind, row_number() OVER (PARTITION BY word, global_cluster ORDER BY dist, occ_id) AS place FROM (SELECT *, {DIST} AS dist FROM {ASSIGNED} JOIN {CENTROIDS} USING (word, global_cluster)) QUALIFY place <= 5 UNION ALL SELECT word, global_cluster, occ_id, 'boundary', 4 - row_number() OVER (PARTITION BY word, global_cluster ORDER BY dist DESC, occ_id DESC) AS place FROM (SELECT *, {DIST} AS dist FROM {ASSIGNED} JOIN {CENTROIDS} USING (word, global_cluster)) WHERE size > 8 QUALIFY place >= 1)")
+def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = assignments(spark, sf_dir)
+    keys = ["word", "global_cluster"]
+    return cluster.representatives(rows, V.centroids(rows, keys, "vector"), keys, "vector", "occ_id", core=5).select("word", "occ_id", "kind", "place")
+
+
+@query(f"SELECT word, dynasty, n, CASE WHEN n < 800 THEN greatest(5, 20 // 3) WHEN n < 2000 THEN greatest(8, 20 // 2) WHEN n < 5000 THEN greatest(12, 14) ELSE 20 END AS k, greatest(CAST(floor(n * 0.3) AS BIGINT), 100) AS threshold, CASE WHEN n >= 20000 THEN 6 WHEN n >= 10000 THEN 5 WHEN n >= 5000 THEN 4 WHEN n >= 2000 THEN 3 ELSE 2 END AS parts FROM (SELECT word, dynasty, count(*) AS n FROM {ASSIGNED} GROUP BY ALL)")
+def split_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Initial clusters, split threshold and parts by group size."""
+    n = F.col("n")
+    counts = assignments(spark, sf_dir).groupBy("word", "dynasty").agg(F.count("*").alias("n"))
+    tiers = [(800, cluster.adaptive_k(0)), (2000, cluster.adaptive_k(800)), (5000, cluster.adaptive_k(2000))]
+    k = F.lit(cluster.adaptive_k(5000))
+    for least, value in reversed(tiers):
+        k = F.when(n < least, value).otherwise(k)
+    return counts.select("word", "dynasty", "n", k.alias("k"), F.greatest(F.floor(n * 0.3), F.lit(100)).alias("threshold"), cluster.sub_k(n).alias("parts"))
+
+
+@query(f"SELECT word, global_cluster, CAST(dense_rank() OVER (PARTITION BY word ORDER BY global_cluster) - 1 AS INTEGER) AS new_cluster, count(*) AS n FROM {ASSIGNED} WHERE global_cluster % 3 <> 1 GROUP BY word, global_cluster")
+def dense_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = assignments(spark, sf_dir).where("global_cluster % 3 <> 1").select("word", "global_cluster")
+    return cluster.dense_relabel(rows, ["word"], "global_cluster").groupBy("word", "global_cluster", "new_cluster").agg(F.count("*").alias("n"))
+
+
+@query("SELECT label, CAST(i AS INTEGER) AS i, round(avg(CAST(embedding[i] AS DOUBLE)), 5) AS mean FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1, 2")
+def embedding_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean of every component by label, from the table of embeddings."""
+    centres = V.centroids(table(spark, sf_dir, "embeddings"), ["label"], "embedding")
+    return centres.select("label", F.posexplode("centroid").alias("i", "mean")).select("label", (F.col("i") + 1).alias("i"), F.round("mean", 5).alias("mean"))
+
+
+def _clusterable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir, "word", "dynasty_category", "vector").where(V.is_usable("vector", SIZE))
+
+
+@query()
+def local_sense_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the clusters of each word and period. Iterative, so there is no SQL."""
+    found = pipeline.local_clusters(_clusterable(spark, sf_dir), pipeline.Settings())
+    return found.rows.groupBy("grp", "cluster").agg(F.count("*").alias("size"))
+
+
+@query()
+def global_sense_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the clusters of each word over all periods. Iterative, so there is no SQL."""
+    found = pipeline.global_clusters(_clusterable(spark, sf_dir), pipeline.Settings())
+    return found.rows.groupBy("grp", "cluster").agg(F.count("*").alias("size"))
+
+
+@query()
+def merge_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of merging the over-clusters of each word. Iterative, so there is no SQL."""
+    found = pipeline.global_clusters(_clusterable(spark, sf_dir), pipeline.Settings(merge_ratio=0.8))
+    steps = [(g, m.step, m.source, m.target, m.similarity, m.source_size, m.target_size) for g, ms in found.merges.items() for m in ms]
+    return spark.createDataFrame(steps, "grp string, step int, source int, target int, similarity double, source_size bigint, target_size bigint")
+
+
+@query()
+def silhouette_by_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled silhouette of each word's clusters. Iterative, so there is no SQL."""
+    return cluster.silhouettes(pipeline.global_clusters(_clusterable(spark, sf_dir), pipeline.Settings()).rows)
+
+
+@query()
+def pca_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Principal coordinates on axes shared by all records. Eigenvectors can't be had in SQL."""
+    rows = _clusterable(spark, sf_dir).select(F.lit("all").alias("grp"), F.col("occ_id").alias("id"), F.col("vector").alias("vec"))
+    found = cluster.moments(rows, SIZE)
+    if not found:
+        return spark.createDataFrame([], "grp string, id string, PC1 double, PC2 double")
+    return cluster.projected(rows, cluster.principal_axes(*found["all"], 2), SIZE)
+
+
+# --- Labels --------------------------------------------------------------------------------------------------------------------
+
+JOINT = "(SELECT word, cluster, min({'m': macro, 's': sub}) AS p FROM label_map WHERE scope = 'joint' GROUP BY 1, 2)"
+OWN = "(SELECT word, dynasty, cluster AS local_cluster, min({'m': macro, 's': sub}) AS o FROM label_map WHERE scope = 'local' AND dynasty IS NOT NULL GROUP BY 1, 2, 3)"
+POOLED = f"(SELECT word, dynasty, sentence, arg_max(global_cluster, occ_id) AS global_cluster FROM {ASSIGNED} WHERE occ_id >= 'ctext_1008' GROUP BY 1, 2, 3)"
+MATCHED = f"(SELECT l.* EXCLUDE (global_cluster), p.global_cluster FROM {ASSIGNED} l LEFT JOIN {POOLED} p USING (word, dynasty, sentence))"
+VOTES = f"""
+counts AS (SELECT word, dynasty, local_cluster, global_cluster, count(*) AS n FROM {MATCHED} WHERE global_cluster IS NOT NULL GROUP BY ALL),
+ranked AS (SELECT *, sum(n) OVER (PARTITION BY word, dynasty, local_cluster) AS total, row_number() OVER (PARTITION BY word, dynasty, local_cluster ORDER BY n DESC, global_cluster) AS rn FROM counts),
+votes AS (SELECT r.word, r.dynasty, r.local_cluster, CAST(total AS BIGINT) AS total_sentences, global_cluster AS majority_global, round(n * 100.0 / total, 1) AS majority_pct, n * 100.0 / total < 60 AS is_mixed,
+  CASE WHEN p IS NULL THEN 'NOISE' ELSE p.m END AS macro, CASE WHEN p IS NULL THEN 'G' || global_cluster ELSE p.s END AS sub
+  FROM ranked r LEFT JOIN {JOINT} j ON r.word = j.word AND r.global_cluster = j.cluster WHERE rn = 1)"""
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local rows with the pooled cluster of the same text; the pooled table lacks the first work, so some don't match."""
+    rows = assignments(spark, sf_dir)
+    pooled = rows.where("occ_id >= 'ctext_1008'").select("word", "dynasty", "sentence", "occ_id", "global_cluster")
+    return labels.matched_clusters(rows.drop("global_cluster", "vector"), pooled, ["word", "dynasty", "sentence"], "occ_id")
+
+
+@query(f"SELECT word, dynasty, count(*) AS n, count(CASE WHEN global_cluster IS NULL THEN 1 END) AS unmatched FROM {MATCHED} GROUP BY 1, 2")
+def local_global_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matched(spark, sf_dir).groupBy("word", "dynasty").agg(F.count("*").alias("n"), F.count_if(F.col("global_cluster").isNull()).alias("unmatched"))
+
+
+@query(f"WITH {VOTES} SELECT * FROM votes")
+def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.majority_vote(_matched(spark, sf_dir), table(spark, sf_dir, "label_map")).drop("distribution")
+
+
+@query(f"WITH {VOTES} SELECT word, dynasty, local_cluster, majority_pct FROM votes WHERE is_mixed")
+def mixed_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    votes = labels.majority_vote(_matched(spark, sf_dir), table(spark, sf_dir, "label_map"))
+    return labels.mixed_clusters(votes).select("word", "dynasty", "local_cluster", "majority_pct")
+
+
+@query(f"WITH {VOTES} SELECT r.word, r.dynasty, r.local_cluster, r.global_cluster, r.n, round(r.n * 100.0 / r.total, 1) AS pct, CAST(rn AS INTEGER) AS place FROM ranked r")
+def vote_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    votes = labels.majority_vote(_matched(spark, sf_dir), table(spark, sf_dir, "label_map"))
+    rows = votes.select("word", "dynasty", "local_cluster", F.posexplode("distribution").alias("at", "d"))
+    return rows.select("word", "dynasty", "local_cluster", "d.global_cluster", "d.n", "d.pct", (F.col("at") + 1).alias("place"))
+
+
+LABELED = f"(SELECT a.*, CASE WHEN p IS NULL THEN 'Other' ELSE p.m END AS macro, CASE WHEN p IS NULL THEN 'Other' ELSE p.s END AS sub FROM {ASSIGNED} a LEFT JOIN {JOINT} j ON a.word = j.word AND a.global_cluster = j.cluster)"
+
+
+@query(f"SELECT occ_id, global_cluster AS Cluster_ID, macro AS Macro_Category, sub AS Sub_Category, sub AS Label FROM {LABELED}")
+def apply_labels_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labeled = labels.apply_global_labels(assignments(spark, sf_dir), "global_cluster", table(spark, sf_dir, "label_map"))
+    return labeled.select("occ_id", "Cluster_ID", "Macro_Category", "Sub_Category", "Label")
+
+
+@query(f"""WITH {VOTES} SELECT occ_id, m.local_cluster AS Cluster_ID, CASE WHEN o IS NOT NULL THEN o.m ELSE coalesce(v.macro, 'NOISE') END AS Macro_Category,
+ CASE WHEN o IS NOT NULL THEN o.s WHEN v.macro IS NOT NULL THEN v.sub ELSE 'Unmatched' END AS Sub_Category
+ FROM {MATCHED} m LEFT JOIN {OWN} w USING (word, dynasty, local_cluster) LEFT JOIN votes v USING (word, dynasty, local_cluster)""")
+def apply_labels_local_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapping, matched = table(spark, sf_dir, "label_map"), _matched(spark, sf_dir)
+    labeled = labels.apply_local_labels(matched, labels.majority_vote(matched, mapping), mapping)
+    return labeled.select("occ_id", "Cluster_ID", "Macro_Category", "Sub_Category")
+
+
+@query(f"SELECT occ_id, 'Unlabeled' AS Macro_Category, 'C' || global_cluster AS Sub_Category, 'C' || global_cluster AS Label FROM {ASSIGNED}")
+def plain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.plain_labels(assignments(spark, sf_dir), "global_cluster").select("occ_id", "Macro_Category", "Sub_Category", "Label")
+
+
+@query("SELECT word, dynasty, cluster, macro, sub FROM label_map WHERE scope = 'joint'")
+def joint_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.scoped(table(spark, sf_dir, "label_map"), "joint").select("word", "dynasty", "cluster", "macro", "sub")
+
+
+@query(f"SELECT word, '{{\"joint\":{{' || string_agg('\"' || c || '\":[\"\",\"\"]', ',' ORDER BY c) || '}}}}' AS skeleton FROM (SELECT DISTINCT word, global_cluster AS c FROM {ASSIGNED}) GROUP BY word")
+def label_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.label_skeleton(assignments(spark, sf_dir), cluster="global_cluster")
+
+
+# --- Figures over labelled clusters -----------------------------------------------------------------------------------------
+
+
+@query(f"SELECT word, global_cluster, dynasty, count(*) AS n FROM {ASSIGNED} GROUP BY ALL")
+def cluster_period_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.period_distribution(assignments(spark, sf_dir), ["word", "global_cluster"], "dynasty")
+
+
+COMPOSED = ", ".join(f"round(count(CASE WHEN dynasty = '{p}' THEN 1 END) * 100.0 / count(*), 6) AS {p.replace('-', '_')}" for p in analytics.PERIODS)
+
+
+@query(f"SELECT word, global_cluster, {COMPOSED} FROM {ASSIGNED} GROUP BY 1, 2")
+def composition_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = analytics.composition(assignments(spark, sf_dir), ["word", "global_cluster"], "dynasty")
+    return rows.select("word", "global_cluster", *[F.round(c, 6).alias(c) for c in rows.columns[2:]])
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled rows with a position: the first two components of their vectors."""
+    labeled = labels.apply_global_labels(assignments(spark, sf_dir), "global_cluster", table(spark, sf_dir, "label_map"))
+    return labeled.withColumns({"PC1": F.col("vector")[0].cast("double"), "PC2": F.col("vector")[1].cast("double")})
+
+
+@query(f"SELECT word, global_cluster, macro AS Macro_Category, sub AS Sub_Category, round(avg(CAST(vector[1] AS DOUBLE)), 5) AS x, round(avg(CAST(vector[2] AS DOUBLE)), 5) AS y, count(*) AS n FROM {LABELED} WHERE macro <> 'NOISE' GROUP BY 1, 2, 3, 4")
+def label_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = analytics.label_centres(_placed(spark, sf_dir), ["word", "global_cluster", "Macro_Category", "Sub_Category"])
+    return rows.withColumns({"x": F.round("x", 5), "y": F.round("y", 5)})
+
+
+@query(f"SELECT word, period_ord, round(x, 5) AS x, round(y, 5) AS y, round(x - lag(x) OVER w, 4) AS dx, round(y - lag(y) OVER w, 4) AS dy FROM (SELECT word, period_ord, avg(CAST(vector[1] AS DOUBLE)) AS x, avg(CAST(vector[2] AS DOUBLE)) AS y FROM {ASSIGNED} JOIN (SELECT DISTINCT dynasty_category AS dynasty, period_ord FROM dynasty_dim) USING (dynasty) GROUP BY 1, 2) WINDOW w AS (PARTITION BY word ORDER BY period_ord)")
+def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = table(spark, sf_dir, "dynasty_dim").select(F.col("dynasty_category").alias("dynasty"), "period_ord").distinct()
+    rows = analytics.trajectory(_placed(spark, sf_dir).join(F.broadcast(order), "dynasty"), ["word"], "period_ord")
+    return rows.select("word", "period_ord", *[F.round(c, 5).alias(c) for c in "xy"], *[F.round(c, 4).alias(c) for c in ("dx", "dy")])
+
+
+@query(f"SELECT word, macro AS Macro_Category, n, round(n * 100.0 / sum(n) OVER (PARTITION BY word), 6) AS pct FROM (SELECT word, macro, count(*) AS n FROM {LABELED} GROUP BY 1, 2)")
+def macro_proportions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.proportions(_placed(spark, sf_dir), ["word"], "Macro_Category").withColumn("pct", F.round("pct", 6))
+
+
+RANGE = lambda i: f"round(min(v{i}) - 0.05 * (max(v{i}) - min(v{i})), 5) AS {'xy'[i - 1]}_min, round(max(v{i}) + 0.05 * (max(v{i}) - min(v{i})), 5) AS {'xy'[i - 1]}_max"
+
+
+@query(f"SELECT word, {RANGE(1)}, {RANGE(2)} FROM (SELECT word, CAST(vector[1] AS DOUBLE) AS v1, CAST(vector[2] AS DOUBLE) AS v2 FROM {ASSIGNED}) GROUP BY word")
+def plot_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = analytics.plot_ranges(_placed(spark, sf_dir), ["word"])
+    return rows.select("word", *[F.round(c, 5).alias(c) for c in rows.columns[1:]])
+
+
+@query(f"SELECT macro, ({list(analytics.COLOURS)})[CAST((row_number() OVER (ORDER BY macro) - 1) % {len(analytics.COLOURS)} + 1 AS INTEGER)] AS colour FROM (SELECT DISTINCT macro FROM label_map)")
+def label_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.label_colours(table(spark, sf_dir, "label_map"), "macro")
+
+
+PERIOD_CASE = "CASE dynasty_category " + " ".join(f"WHEN '{p}' THEN '{n}'" for p, n in zip(analytics.PERIODS, analytics.PERIOD_NAMES)) + " ELSE dynasty_category END"
+
+
+@query(f"SELECT DISTINCT word, CASE word WHEN '手' THEN '''shǒu'' 手' WHEN '道' THEN '''dào'' 道' WHEN '水' THEN '''shuǐ'' 水' ELSE word END AS word_name, {PERIOD_CASE} AS period FROM {LATEST}")
+def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = records(spark, sf_dir, "word", "dynasty_category")
+    return rows.select("word", analytics.character_name("word").alias("word_name"), analytics.period_name("dynasty_category").alias("period")).distinct()
+
+
+# --- Sweeps and statistics of earlier runs --------------------------------------------------------------------------------------
+
+
+@query("SELECT word, round(sum(silhouette * n_samples) / sum(n_samples), 6) AS silhouette, round(sum(k_final * n_samples) / sum(n_samples), 6) AS k_final, CAST(sum(n_samples) AS BIGINT) AS n_samples FROM local_stats WHERE n_samples > 0 AND silhouette IS NOT NULL AND k_final IS NOT NULL GROUP BY word")
+def sweep_weighted_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sweep.weighted_metrics(table(spark, sf_dir, "local_stats"), ["word"])
+    return rows.withColumns({"silhouette": F.round("silhouette", 6), "k_final": F.round("k_final", 6)})
+
+
+@query("WITH best AS (SELECT word, dynasty, silhouette, k_final FROM local_stats WHERE silhouette IS NOT NULL QUALIFY row_number() OVER (PARTITION BY word ORDER BY silhouette DESC, k_final, dynasty) = 1), base AS (SELECT word, silhouette AS s, k_final AS k FROM local_stats WHERE dynasty = 'qing') SELECT b.word, b.dynasty, b.silhouette, b.k_final, round(b.silhouette - s, 6) AS delta_silhouette, b.k_final - k AS delta_k_final FROM best b LEFT JOIN base USING (word)")
+def sweep_best_vs_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best run of each word against a baseline run."""
+    runs = table(spark, sf_dir, "local_stats").select("word", "dynasty", "silhouette", "k_final")
+    found = sweep.deltas(sweep.best_run(runs, ["word"], "dynasty"), runs.where("dynasty = 'qing'"), ["word"])
+    return found.select("word", "dynasty", "silhouette", "k_final", "delta_silhouette", "delta_k_final")
+
+
+@query("SELECT word, dynasty, n_samples, CAST(list_sum(list_transform(map_values(cluster_sentences), lambda c: c.count)) AS BIGINT) AS counted, CAST(cardinality(cluster_sentences) AS INTEGER) AS n_clusters, CAST(list_sum(list_transform(map_values(cluster_sentences), lambda c: len(c.core))) AS BIGINT) AS n_core, CAST(list_sum(list_transform(map_values(cluster_sentences), lambda c: len(c.boundary))) AS BIGINT) AS n_boundary FROM local_stats")
+def stats_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each earlier run: counted rows, clusters, and representatives of its statistics document."""
+    rows = table(spark, sf_dir, "local_stats")
+    add = lambda f: F.aggregate(F.map_values("cluster_sentences"), F.lit(None).cast("bigint"), lambda s, c: F.when(f(c).isNull(), s).otherwise(F.coalesce(s, F.lit(0).cast("bigint")) + f(c)))
+    return rows.select(
+        "word", "dynasty", "n_samples", add(lambda c: c["count"]).alias("counted"), F.size("cluster_sentences").alias("n_clusters"),
+        add(lambda c: F.size(c["core"])).alias("n_core"), add(lambda c: F.size(c["boundary"])).alias("n_boundary"),
+    )
+
+
+@query("SELECT word, dynasty, e.key AS cluster, e.value.original_size AS original_size, e.value.dynamic_sub_k AS dynamic_sub_k, len(e.value.new_ids) = e.value.dynamic_sub_k AS is_whole FROM (SELECT word, dynasty, unnest(map_entries(split_info)) AS e FROM local_stats)")
+def split_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Split clusters of the earlier runs."""
+    rows = table(spark, sf_dir, "local_stats").select("word", "dynasty", F.explode("split_info").alias("cluster", "v"))
+    return rows.select("word", "dynasty", "cluster", "v.original_size", "v.dynamic_sub_k", (F.size("v.new_ids") == F.col("v.dynamic_sub_k")).alias("is_whole"))
+
+
+@query(f"WITH c AS (SELECT word, global_cluster AS k, size FROM {CENTROIDS}), runs AS (SELECT word, k, size, 0.9 + 0.01 * (k % 5) AS m FROM c) SELECT DISTINCT word, CAST(k AS INTEGER) AS k, CAST(round(m, 2) AS DOUBLE) AS merge_ratio, replace(printf('run_k%d_m%.2f_s%.2f', k, m, 0.3), '.', 'p') AS run_id, size FROM runs")
+def sweep_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run names of one-factor configurations joined with the sizes they stand for."""
+    centres = V.centroids(assignments(spark, sf_dir), ["word", "global_cluster"], "vector")
+    runs = centres.select("word", F.col("global_cluster").alias("k"), (F.lit(0.9) + F.lit(0.01) * (F.col("global_cluster") % 5)).alias("merge_ratio"), F.lit(0.3).alias("split_ratio"), "size")
+    configs = sweep.unique_configs(runs.unionByName(runs))
+    named = sweep.with_results(configs, runs).withColumn("run_id", sweep.run_id("run"))
+    return named.select("word", "k", F.round("merge_ratio", 2).alias("merge_ratio"), "run_id", "size")
