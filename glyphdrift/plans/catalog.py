@@ -419,10 +419,10 @@ CENTROIDS = f"(SELECT word, global_cluster, size, list(m ORDER BY i) AS centroid
 DIST = "sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(CAST(vector[i] AS DOUBLE) - centroid[i], 2))))"
 
 
-@query(f"SELECT word, global_cluster, size, list_transform(centroid, lambda x: floor(x * 100000 + 0.5) / 100000) AS centroid FROM {CENTROIDS}")
+@query(f"SELECT word, global_cluster, size, list_transform(centroid, lambda x: round(x + 3e-8, 5)) AS centroid FROM {CENTROIDS}")
 def cluster_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     centres = V.centroids(assignments(spark, sf_dir), ["word", "global_cluster"], "vector")
-    return centres.withColumn("centroid", F.transform("centroid", lambda x: F.floor(x * 100000 + 0.5) / 100000))
+    return centres.withColumn("centroid", F.transform("centroid", lambda x: F.round(x + 3e-8, 5)))
 
 
 @query(f"SELECT a.word, a.global_cluster AS low, b.global_cluster AS high, round(list_cosine_similarity(a.centroid, b.centroid), 5) AS similarity FROM {CENTROIDS} a JOIN {CENTROIDS} b ON a.word = b.word AND a.global_cluster < b.global_cluster")
