@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from glyphdrift.llm import annsearch, capping, clusters, leakage, neardup, packing, personal, reservoir, textstats
 from glyphdrift.operators import latest
+from glyphdrift.plans.catalog import LATEST, RUNS, WORKS
 from glyphdrift.session import table
 
 
@@ -51,6 +52,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.sense_groups(table(spark, sf_dir, "occurrences"))
 
 
+def p7_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and the eight most typical sentences of every group."""
+    occurrences = table(spark, sf_dir, "occurrences")
+    best = clusters.typical_members(clusters.similarity_clusters(occurrences, "occ_id", "word", "vector", "load_seq"))
+    text = latest.latest_rows(occurrences, ["sentence"])
+    rows = best.join(text, best["id"] == text["occ_id"])
+    return rows.select(F.col("key").alias("word"), "cluster_key", "size", "place", "occ_id", "sentence", F.round("cosine", 4).alias("cosine"))
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Container, place and token range of every document."""
     return packing.packed_documents(table(spark, sf_dir, "documents"))
@@ -76,9 +86,35 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.redacted(documents, personal.mentions(documents, table(spark, sf_dir, "name_parts")))
 
 
-QUERIES = (p1_found, p3_found, p3_percentiles, p4_sample, p4_balance, p5_found, p6_found, p7_found, p8_containers, p8_waste, p9_found, p10_found, p10_redacted)
+QUERIES = (p1_found, p3_found, p3_percentiles, p4_sample, p4_balance, p5_found, p6_found, p7_found, p7_typical, p8_containers, p8_waste, p9_found, p10_found, p10_redacted)
+
+STATS = f"""
+WITH last AS {LATEST}, {RUNS},
+counted AS (
+  SELECT last.occ_id, coalesce(longest, 0) AS longest, length(sentence) AS n, sentence AS s,
+         len(regexp_extract_all(sentence, '[\\p{{L}}\\p{{N}}]')) AS body, len(regexp_extract_all(sentence, '{textstats.WORD}+')) AS words
+  FROM last LEFT JOIN longest USING (occ_id)),
+stats AS (
+  SELECT occ_id, words,
+    len(regexp_extract_all(s, '</?[A-Za-z][^<>]*>|&#?\\w+;|<!--')) AS n_markup,
+    len(regexp_extract_all(s, '[\\t|｜]|[　 ]{{2,}}')) AS n_cells,
+    CASE WHEN body > 0 THEN len(regexp_extract_all(s, '[\\x{{3400}}-\\x{{4DBF}}\\x{{20000}}-\\x{{3FFFF}}\\x{{E000}}-\\x{{F8FF}}]')) / body ELSE 0 END AS rare_share,
+    CASE WHEN n > 0 THEN len(regexp_extract_all(s, '[\\x{{80}}-\\x{{24F}}]')) / n ELSE 0 END AS latin1_share,
+    CASE WHEN n > 0 THEN len(regexp_extract_all(s, '[A-Za-z0-9]')) / n ELSE 0 END AS ascii_share,
+    CASE WHEN n > 0 THEN len(regexp_extract_all(s, '[{textstats.LOST_MARKS}]')) / n ELSE 0 END AS lost_share,
+    CASE WHEN longest >= 4 THEN longest ELSE 0 END AS longest_run,
+    CASE WHEN body < 3.8 * words THEN 1 - len(regexp_extract_all(s, '{textstats.WORD}{{5,}}')) / words ELSE 0 END AS list_share,
+    CASE WHEN words > 0 THEN len(regexp_extract_all(s, '{textstats.COUNTED.partition('(?!')[0]}([^{textstats.WORD[1:-1]}]|$)')) / words ELSE 0 END AS counted_share
+  FROM counted)
+"""
+CUT = lambda name, floor, least: f"(words >= {least} AND {name} > (SELECT median({name}) + {textstats.Z_CUT} * greatest((quantile_cont({name}, 0.75) - quantile_cont({name}, 0.25)) / 1.349, {floor}) FROM stats))"
 
 SQL = {
+    "p1_found": f"""{WORKS}
+        SELECT occ_id FROM (
+          SELECT occ_id, row_number() OVER (PARTITION BY work_category, work_title ORDER BY CASE WHEN isnan(quality) THEN NULL ELSE quality END DESC NULLS LAST, occ_id) AS place FROM works)
+        WHERE place > (SELECT floor(0.02 * count(*)) FROM works)""",
+    "p3_found": STATS + "SELECT occ_id FROM stats WHERE " + " OR ".join(CUT(*t) for t in textstats.TAILS),
     "p4_balance": """
         SELECT count(*) AS population, least(count(*), 10000) AS drawn, least(count(*), 10000) AS records
         FROM (SELECT DISTINCT occ_id FROM occurrences WHERE occ_id IS NOT NULL)""",
