@@ -20,14 +20,19 @@ def cleaned_stream(stream: DataFrame, mode: str = "conservative") -> DataFrame:
     return stream.where(quality.removal_reason(F.col("sentence"), mode).isNull())
 
 
+def timed(stream: DataFrame, time: str, late: str) -> DataFrame:
+    """With a watermark on ``time``; times without zone are taken in the session's zone."""
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+
+
 def unique_stream(stream: DataFrame, keys: list[str], time: str, late: str = "1 day") -> DataFrame:
     """The first row of each key; state is kept for ``late`` behind the newest time."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+    return timed(stream, time, late).dropDuplicatesWithinWatermark(keys)
 
 
 def counts_by_window(stream: DataFrame, keys: list[str], time: str, width: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Rows per key and time window, final once the watermark has passed."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count("*").alias("n"))
+    return timed(stream, time, late).groupBy(F.window(time, width), *keys).agg(F.count("*").alias("n"))
 
 
 def written(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
