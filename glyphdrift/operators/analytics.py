@@ -74,3 +74,8 @@ def label_colours(labels: DataFrame, label: str) -> DataFrame:
     names = labels.select(label).distinct()
     place = (F.row_number().over(W.orderBy(label)) - 1) % len(COLOURS)
     return names.withColumn("colour", F.element_at(F.array(*[F.lit(c) for c in COLOURS]), (place + 1).cast("int")))
+
+
+def visible_centres(centres: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The centres whose keys occur in a part of the rows."""
+    return centres.join(rows.select(*keys).distinct(), keys, "left_semi")

@@ -184,3 +184,18 @@ def label_skeleton(clusters: DataFrame, word: str = "word", cluster: str = "clus
     rows = clusters.groupBy(word).agg(F.array_sort(F.collect_set(cluster)).alias("clusters"))
     empty = F.map_from_arrays(F.transform("clusters", lambda c: c.cast("string")), F.transform("clusters", lambda c: F.array(F.lit(""), F.lit(""))))
     return rows.select(word, F.to_json(F.struct(empty.alias("joint"))).alias("skeleton"))
+
+
+def local_template(clusters: DataFrame, votes: DataFrame, word: str = "word", dynasty: str = "dynasty") -> DataFrame:
+    """Local clusters with size and a hint for the reviewer: the voted label, marked where the vote is mixed; null without a vote."""
+    keys = [word, dynasty, "local_cluster"]
+    sizes = clusters.groupBy(*keys).agg(F.count("*").alias("size"))
+    hint = F.concat_ws(" / ", "macro", "sub")
+    hints = votes.select(*keys, F.when(F.col("is_mixed"), F.concat(hint, F.lit(" (MIXED)"))).otherwise(hint).alias("hint"))
+    return sizes.join(hints, keys, "left")
+
+
+def period_silhouettes(stats: DataFrame, word: str = "word", dynasty: str = "dynasty") -> DataFrame:
+    """Silhouette of each word and period from statistics documents; of several the one over most rows, null ones left out."""
+    best = F.max(F.struct(F.coalesce("n_samples", F.lit(-1)).alias("n"), "silhouette")).alias("row")
+    return stats.where(F.col("silhouette").isNotNull()).groupBy(word, dynasty).agg(best).select(word, dynasty, "row.silhouette")

@@ -589,6 +589,17 @@ def label_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.label_skeleton(assignments(spark, sf_dir), cluster="global_cluster")
 
 
+@query(f"WITH {VOTES}, sizes AS (SELECT word, dynasty, local_cluster, count(*) AS size FROM {ASSIGNED} GROUP BY 1, 2, 3) SELECT word, dynasty, local_cluster, size, concat_ws(' / ', macro, sub) || CASE WHEN is_mixed THEN ' (MIXED)' ELSE '' END AS hint FROM sizes LEFT JOIN votes USING (word, dynasty, local_cluster)")
+def local_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    votes = labels.majority_vote(_matched(spark, sf_dir), table(spark, sf_dir, "label_map"))
+    return labels.local_template(assignments(spark, sf_dir), votes)
+
+
+@query("SELECT word, dynasty, silhouette FROM local_stats WHERE silhouette IS NOT NULL QUALIFY row_number() OVER (PARTITION BY word, dynasty ORDER BY coalesce(n_samples, -1) DESC, silhouette DESC) = 1")
+def period_silhouettes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.period_silhouettes(table(spark, sf_dir, "local_stats"))
+
+
 # --- Figures over labelled clusters -----------------------------------------------------------------------------------------
 
 
@@ -618,6 +629,14 @@ def label_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"x": F.round("x", 5), "y": F.round("y", 5)})
 
 
+@query(f"SELECT word, global_cluster, macro AS Macro_Category, sub AS Sub_Category, count(*) AS n FROM {LABELED} l WHERE macro <> 'NOISE' AND EXISTS (SELECT 1 FROM {ASSIGNED} a WHERE a.word = l.word AND a.global_cluster = l.global_cluster AND a.dynasty = 'republican') GROUP BY 1, 2, 3, 4")
+def visible_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centres of the clusters that occur in one period."""
+    rows = _placed(spark, sf_dir)
+    centres = analytics.label_centres(rows, ["word", "global_cluster", "Macro_Category", "Sub_Category"])
+    return analytics.visible_centres(centres, rows.where("dynasty = 'republican'"), ["word", "global_cluster"]).drop("x", "y")
+
+
 @query(f"SELECT word, period_ord, round(x, 5) AS x, round(y, 5) AS y, round(x - lag(x) OVER w, 4) AS dx, round(y - lag(y) OVER w, 4) AS dy FROM (SELECT word, period_ord, avg(CAST(vector[1] AS DOUBLE)) AS x, avg(CAST(vector[2] AS DOUBLE)) AS y FROM {ASSIGNED} JOIN (SELECT DISTINCT dynasty_category AS dynasty, period_ord FROM dynasty_dim) USING (dynasty) GROUP BY 1, 2) WINDOW w AS (PARTITION BY word ORDER BY period_ord)")
 def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = table(spark, sf_dir, "dynasty_dim").select(F.col("dynasty_category").alias("dynasty"), "period_ord").distinct()
