@@ -94,12 +94,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{WORKS}
 SELECT work_category AS dynasty_category, work_title AS toptitle, count(*) AS n,
        count(CASE WHEN NOT isnan(quality) THEN 1 END) AS n_quality,
-       round(avg(CASE WHEN NOT isnan(quality) THEN quality END), 6) AS mean_quality
+       round(avg(CASE WHEN NOT isnan(quality) THEN quality END) + 1e-9, 6) AS mean_quality
 FROM works GROUP BY ALL""")
 def p2_work_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records and mean quality of every work."""
     states = skew.work_states(*(table(spark, sf_dir, t) for t in ("occurrences", "metadata", "dynasty_dim")))
-    mean = F.round(F.col("sum_quality") / F.nullif("n_quality", F.lit(0)), 6)
+    mean = F.round(F.col("sum_quality") / F.nullif("n_quality", F.lit(0)) + 1e-9, 6)
     return states.select(F.col("work_category").alias("dynasty_category"), F.col("work_title").alias("toptitle"), "n", "n_quality", mean.alias("mean_quality"))
 
 
