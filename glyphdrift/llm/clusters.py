@@ -22,6 +22,7 @@ ITERATIONS = 4  # rounds over all rows
 LEAST_ROWS = 10  # keys with fewer usable vectors get no clusters
 COHERENCE = 0.5  # least mean cosine of a cluster's members to its direction
 MERGE = 0.8  # components whose directions are as similar are one cluster
+MOST_KEYS = 5_000  # models of so many keys fit on the driver and in a task; more need several calls
 MEMBER = 0.45  # least cosine of a member to its cluster's direction
 
 
@@ -219,6 +220,8 @@ def fit(rows: DataFrame, size: int) -> dict[str, Clusters]:
     counts = {k: m[0][0] for k, m in moments.items() if m[0][0] >= LEAST_ROWS}
     if not counts:
         return {}
+    if len(counts) > MOST_KEYS:
+        raise ValueError(f"{len(counts)} keys; cluster at most {MOST_KEYS} in one call")
     spaces = {k: space_of(moments[k][0][0], moments[k][0][1 : 1 + size], moments[k][0][1 + size :].reshape(size, size)) for k in counts}
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SEED_ROWS / n))]), F.col("key"))
     seeds: dict[str, list[bytes]] = {}
