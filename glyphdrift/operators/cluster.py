@@ -15,6 +15,7 @@ from glyphdrift.functions.vectors import as_matrix, distance
 from glyphdrift.session import materialise
 
 START_ROWS = 2_000  # rows of a group on which starting centroids are found; all rows take part in the rounds
+MOST_GROUPS = 5_000  # centroids of so many groups fit on the driver and in a task; more need several calls
 Batches = Iterator[pa.RecordBatch]
 Key = str
 
@@ -204,6 +205,12 @@ def moments(rows: DataFrame, size: int) -> dict[Key, tuple[float, np.ndarray, np
     return {k: (s[0], s[1 : 1 + size], s[1 + size :].reshape(size, size)) for k, s in sums.items()}
 
 
+def renumbered(rows: DataFrame, label: Column, numbers: dict[str, int]) -> DataFrame:
+    """grp, id, vec and the new ``cluster`` of each row by its label; the numbers are a row for each cluster of each group."""
+    table = rows.sparkSession.createDataFrame(sorted(numbers.items()), "label string, new int")
+    return rows.withColumn("label", label).join(F.broadcast(table), "label").select("grp", "id", "vec", F.col("new").alias("cluster"))
+
+
 @dataclass
 class Clustering:
     """Rows with their cluster (grp, id, vec, cluster), the merge steps and split clusters of each group."""
@@ -225,6 +232,8 @@ def sense_clusters(
     pooled = fixed_parts is not None
     rows = materialise(rows.select("grp", "id", "vec"))
     counts = {key: int(n[0]) for key, n in grouped_sums(rows, lambda key, v: np.array([float(len(v))]), size).items() if n[0] >= least_rows}
+    if len(counts) > MOST_GROUPS:
+        raise ValueError(f"{len(counts)} groups; cluster at most {MOST_GROUPS} in one call")
     first = grouped_kmeans(rows, {key: base_k if pooled else adaptive_k(n, base_k) for key, n in counts.items()}, size)
     over = materialise(assigned(rows, first, size))
     label = F.concat_ws("|", "cluster", "grp")
@@ -236,8 +245,7 @@ def sense_clusters(
         means = np.array([np.zeros(size) if s is None else s[1:] / s[0] for s in found])
         numbers[key], merges[key] = merge_alike(n, means, merge_ratio)
         kept[key] = np.bincount(numbers[key][numbers[key] >= 0], weights=n[numbers[key] >= 0]).astype(int)
-    pairs = [F.lit(x) for key, new in numbers.items() for i, c in enumerate(new.tolist()) for x in (f"{i}|{key}", c)]
-    merged = over.withColumn("cluster", F.element_at(F.create_map(*pairs), label)) if pairs else over
+    merged = renumbered(over, label, {f"{i}|{key}": int(c) for key, new in numbers.items() for i, c in enumerate(new.tolist())})
     large: dict[Key, int] = {}
     if split:
         for key, n in kept.items():
@@ -263,11 +271,10 @@ def sense_clusters(
                 final |= {f"{i}|{key}|{p}": c for p, c in enumerate(new)}
                 splits[key][i] = new
                 number += len(new)
-    names = F.create_map(*[F.lit(x) for pair in final.items() for x in pair])
     same = merged.where(~label.isin(*large)).withColumn("old", F.concat(label, F.lit("|")))
     cut = within.withColumn("old", F.concat_ws("|", "grp", F.col("cluster").cast("string"))).withColumn("grp", F.regexp_replace("grp", r"^\d+\|", ""))
     both = same.select("grp", "id", "vec", "old").unionByName(cut.select("grp", "id", "vec", "old"))
-    return Clustering(both.select("grp", "id", "vec", F.element_at(names, F.col("old")).alias("cluster")), merges, splits)
+    return Clustering(renumbered(both, F.col("old"), final), merges, splits)
 
 
 def dense_relabel(df: DataFrame, keys: list[str], cluster: str, name: str = "new_cluster") -> DataFrame:
