@@ -220,63 +220,92 @@ class Clustering:
     splits: dict[Key, dict[int, list[int]]]
 
 
-def sense_clusters(
-    rows: DataFrame, size: int, base_k: int = 20, merge_ratio: float = 0.95, split_ratio: float = 0.3, fixed_parts: int | None = None, least_rows: int = 10, split: bool = True
-) -> Clustering:
-    """Cluster every group of ``rows`` (grp, id, vec): over-cluster, merge, split large clusters, number densely.
+@dataclass
+class Overclustering:
+    """Rows with their first cluster, rows of each group, and size and mean of each group's first clusters."""
+
+    rows: DataFrame
+    size: int
+    pooled: bool
+    counts: dict[Key, int]
+    sizes: dict[Key, np.ndarray]
+    means: dict[Key, np.ndarray]
+
+
+def cluster_label() -> Column:
+    """Cluster and group of a row as one key."""
+    return F.concat_ws("|", "cluster", "grp")
 
-    Groups below ``least_rows`` are left out. With ``fixed_parts`` every large cluster is split into so many (pooled
-    groups, which use the full ``base_k`` and at least 200 rows to split), else by size (single periods). Splitting
-    clusters a part's rows in at most 50 principal dimensions. Null vectors and groups must be filtered before.
+
+def over_clustered(rows: DataFrame, size: int, base_k: int = 20, pooled: bool = False, least_rows: int = 10) -> Overclustering:
+    """k-means of every group of ``rows`` (grp, id, vec) with more clusters than wanted; groups below ``least_rows`` are left out.
+
+    Pooled groups use the full ``base_k``, single periods fewer clusters when they are small.
     """
-    pooled = fixed_parts is not None
     rows = materialise(rows.select("grp", "id", "vec"))
     counts = {key: int(n[0]) for key, n in grouped_sums(rows, lambda key, v: np.array([float(len(v))]), size).items() if n[0] >= least_rows}
     if len(counts) > MOST_GROUPS:
         raise ValueError(f"{len(counts)} groups; cluster at most {MOST_GROUPS} in one call")
     first = grouped_kmeans(rows, {key: base_k if pooled else adaptive_k(n, base_k) for key, n in counts.items()}, size)
     over = materialise(assigned(rows, first, size))
-    label = F.concat_ws("|", "cluster", "grp")
-    sizes = grouped_sums(over.withColumn("grp", label), lambda key, v: np.concatenate([[len(v)], v.sum(0)]), size)
+    sums = grouped_sums(over.withColumn("grp", cluster_label()), lambda key, v: np.concatenate([[len(v)], v.sum(0)]), size)
+    found = {key: [sums.get(f"{i}|{key}") for i in range(len(centres))] for key, centres in first.items()}
+    return Overclustering(
+        over, size, pooled, counts,
+        {key: np.array([0 if s is None else s[0] for s in parts]) for key, parts in found.items()},
+        {key: np.array([np.zeros(size) if s is None else s[1:] / s[0] for s in parts]) for key, parts in found.items()},
+    )
+
+
+def refined(over: Overclustering, merge_ratio: float = 0.95, split_ratio: float = 0.3, fixed_parts: int | None = None, split: bool = True) -> Clustering:
+    """Merge like clusters, split large ones, number densely.
+
+    With ``fixed_parts`` every large cluster is split into so many, else by its size; pooled groups split above at
+    least 200 rows, others above 100. Splitting clusters a part's rows in at most 50 principal dimensions.
+    """
     merges, numbers, kept = {}, {}, {}
-    for key, centres in first.items():
-        found = [sizes.get(f"{i}|{key}") for i in range(len(centres))]
-        n = np.array([0 if s is None else s[0] for s in found])
-        means = np.array([np.zeros(size) if s is None else s[1:] / s[0] for s in found])
-        numbers[key], merges[key] = merge_alike(n, means, merge_ratio)
+    for key, n in over.sizes.items():
+        numbers[key], merges[key] = merge_alike(n, over.means[key], merge_ratio)
         kept[key] = np.bincount(numbers[key][numbers[key] >= 0], weights=n[numbers[key] >= 0]).astype(int)
-    merged = renumbered(over, label, {f"{i}|{key}": int(c) for key, new in numbers.items() for i, c in enumerate(new.tolist())})
+    merged = renumbered(over.rows, cluster_label(), {f"{i}|{key}": int(c) for key, new in numbers.items() for i, c in enumerate(new.tolist())})
     large: dict[Key, int] = {}
     if split:
         for key, n in kept.items():
-            limit = split_threshold(counts[key], split_ratio, 200 if pooled else 100)
+            limit = split_threshold(over.counts[key], split_ratio, 200 if over.pooled else 100)
             large |= {f"{i}|{key}": fixed_parts or parts_of(int(s)) for i, s in enumerate(n) if s > limit}
     splits: dict[Key, dict[int, list[int]]] = {key: {} for key in numbers}
     if not large:
         return Clustering(merged, merges, splits)
     merged = materialise(merged)
-    part = merged.where(label.isin(*large)).select(label.alias("grp"), "id", "vec")
-    spaces = {key: principal_axes(*m, min(50, int(m[0]), size)) for key, m in moments(part, size).items()}
-    within = assigned(part, grouped_kmeans(part, large, size, spaces=spaces), size, spaces)
+    part = merged.where(cluster_label().isin(*large)).select(cluster_label().alias("grp"), "id", "vec")
+    spaces = {key: principal_axes(*m, min(50, int(m[0]), over.size)) for key, m in moments(part, over.size).items()}
+    within = assigned(part, grouped_kmeans(part, large, over.size, spaces=spaces), over.size, spaces)
     final: dict[str, int] = {}
     for key, n in kept.items():
-        number = 0
-        for i in range(len(n)):
-            if f"{i}|{key}" not in large:
-                final[f"{i}|{key}|"] = number
-                number += 1
-        for i in range(len(n)):
-            if f"{i}|{key}" in large:
-                new = list(range(number, number + large[f"{i}|{key}"]))
-                final |= {f"{i}|{key}|{p}": c for p, c in enumerate(new)}
-                splits[key][i] = new
-                number += len(new)
-    same = merged.where(~label.isin(*large)).withColumn("old", F.concat(label, F.lit("|")))
+        whole = [i for i in range(len(n)) if f"{i}|{key}" not in large]
+        final |= {f"{i}|{key}|": number for number, i in enumerate(whole)}
+        number = len(whole)
+        for i in sorted(set(range(len(n))) - set(whole)):
+            splits[key][i] = list(range(number, number + large[f"{i}|{key}"]))
+            final |= {f"{i}|{key}|{p}": c for p, c in enumerate(splits[key][i])}
+            number += large[f"{i}|{key}"]
+    same = merged.where(~cluster_label().isin(*large)).withColumn("old", F.concat(cluster_label(), F.lit("|")))
     cut = within.withColumn("old", F.concat_ws("|", "grp", F.col("cluster").cast("string"))).withColumn("grp", F.regexp_replace("grp", r"^\d+\|", ""))
     both = same.select("grp", "id", "vec", "old").unionByName(cut.select("grp", "id", "vec", "old"))
     return Clustering(renumbered(both, F.col("old"), final), merges, splits)
 
 
+def sense_clusters(
+    rows: DataFrame, size: int, base_k: int = 20, merge_ratio: float = 0.95, split_ratio: float = 0.3, fixed_parts: int | None = None, least_rows: int = 10, split: bool = True
+) -> Clustering:
+    """Cluster every group of ``rows`` (grp, id, vec): over-cluster, merge, split large clusters, number densely.
+
+    ``fixed_parts`` says that the groups are pooled ones. Null vectors and groups must be filtered before.
+    """
+    over = over_clustered(rows, size, base_k, fixed_parts is not None, least_rows)
+    return refined(over, merge_ratio, split_ratio, fixed_parts, split)
+
+
 def dense_relabel(df: DataFrame, keys: list[str], cluster: str, name: str = "new_cluster") -> DataFrame:
     """Number the clusters of each group from 0 in the order of their old numbers, over the distinct ones only."""
     old = df.select(*keys, cluster).distinct()

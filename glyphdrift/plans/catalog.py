@@ -715,3 +715,11 @@ def sweep_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     configs = sweep.unique_configs(runs.unionByName(runs))
     named = sweep.with_results(configs, runs).withColumn("run_id", sweep.run_id("run"))
     return named.select("word", "k", F.round("merge_ratio", 2).alias("merge_ratio"), "run_id", "size")
+
+
+@query()
+def sweep_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-factor sweep of the pooled clustering, every group of configurations with its results. Iterative, so there is no SQL."""
+    rows = _clusterable(spark, sf_dir).select(F.col("word").alias("grp"), F.col("occ_id").alias("id"), F.col("vector").alias("vec")).where("grp IS NOT NULL")
+    configs = sweep.one_factor_configs(spark, (12, 0.8, 0.5), [8, 12], [0.8, 0.9], [0.5])
+    return sweep.with_results(configs, pipeline.sweep_results(rows, configs, SIZE).withColumnRenamed("grp", "word"))

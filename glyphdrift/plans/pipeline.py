@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphdrift.functions.vectors import is_usable
-from glyphdrift.operators import cluster, labels, quality, sampling
+from glyphdrift.operators import cluster, labels, quality, sampling, sweep
 from glyphdrift.sources import tables
 
 STAGES = ("extract", "clean1", "sample", "clean2", "local", "global", "label_template", "global_plot", "local_annotate")
@@ -69,6 +69,23 @@ def global_clusters(rows: DataFrame, settings: Settings) -> cluster.Clustering:
     return cluster.sense_clusters(keyed, settings.size, settings.base_k, settings.merge_ratio, settings.global_split, settings.global_parts)
 
 
+def sweep_results(rows: DataFrame, configs: DataFrame, size: int, parts: int = 6) -> DataFrame:
+    """Silhouette, clusters and rows of each group for every unique configuration (k, merge_ratio, split_ratio).
+
+    Configurations of one k share its over-clustering. ``rows`` has grp, id and vec; groups count as pooled.
+    """
+    out, wanted = None, sorted(tuple(r) for r in sweep.unique_configs(configs).collect())
+    for k in sorted({c[0] for c in wanted}):
+        over = cluster.over_clustered(rows, size, k, pooled=True)
+        for _, merge, split in (c for c in wanted if c[0] == k):
+            found = cluster.refined(over, merge, split, parts).rows
+            sizes = found.groupBy("grp").agg(F.countDistinct("cluster").alias("k_final"), F.count("*").alias("n_samples"))
+            run = cluster.silhouettes(found).drop("n").join(sizes, "grp")
+            run = run.withColumns({"k": F.lit(k), "merge_ratio": F.lit(merge), "split_ratio": F.lit(split)})
+            out = run if out is None else out.unionByName(run)
+    return out
+
+
 def annotated(rows: DataFrame, local: DataFrame, pooled: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Votes of the local clusters and the rows with their inherited labels.
 
