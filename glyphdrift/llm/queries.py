@@ -48,6 +48,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annsearch.similar_records(table(spark, sf_dir, "occurrences"))
 
 
+def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar records of every twentieth record, against all records."""
+    return annsearch.nearest_neighbours(table(spark, sf_dir, "occurrences"), "occ_id", "vector", "load_seq")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.sense_groups(table(spark, sf_dir, "occurrences"))
 
@@ -86,7 +91,7 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.redacted(documents, personal.mentions(documents, table(spark, sf_dir, "name_parts")))
 
 
-QUERIES = (p1_found, p3_found, p3_percentiles, p4_sample, p4_balance, p5_found, p6_found, p7_found, p7_typical, p8_containers, p8_waste, p9_found, p10_found, p10_redacted)
+QUERIES = (p1_found, p3_found, p3_percentiles, p4_sample, p4_balance, p5_found, p6_found, p6_neighbours, p7_found, p7_typical, p8_containers, p8_waste, p9_found, p10_found, p10_redacted)
 
 STATS = f"""
 WITH last AS {LATEST}, {RUNS},

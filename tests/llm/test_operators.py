@@ -179,6 +179,27 @@ def test_mutual_neighbours(spark, monkeypatch, block):
     assert annsearch.similar_records(spark.createDataFrame([], VEC)).count() == 0
 
 
+@pytest.mark.parametrize("rows", [16_384, 64])
+def test_nearest_neighbours(spark, monkeypatch, rows):
+    monkeypatch.setattr(annsearch, "COARSE_ROWS", rows)
+    data = vector_rows()
+    df = spark.createDataFrame([(i, "w", 1, v, "c", "c") for i, v in data], VEC)
+    found = {}
+    for r in annsearch.nearest_neighbours(df, "occ_id", "vector", "load_seq", every=5, visit=0.6).collect():
+        found.setdefault(r.id, {})[r["rank"]] = r.neighbour
+    ids = sorted(i for i, _ in data)
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in data}
+    m = np.array([unit[i] for i in ids])
+    hit = total = 0
+    for i, near in found.items():
+        cos = np.round(m @ unit[i], 6)
+        truth = [j for _, j in sorted((-c, j) for c, j in zip(cos, ids) if j != i)[:10]]
+        assert sorted(near) == list(range(1, 11))
+        hit, total = hit + len(set(truth) & set(near.values())), total + 10
+    assert len(found) > 60 and hit >= 0.9 * total
+    assert annsearch.nearest_neighbours(df.limit(0), "occ_id", "vector", "load_seq").count() == 0
+
+
 def test_heap_traversal_is_by_rising_sum():
     index = annsearch.MultiIndex(np.random.default_rng(0).normal(size=(200, 8)).astype(np.float32), 200, 8)
     first, second = sorted(np.random.default_rng(1).random(8)), sorted(np.random.default_rng(2).random(8))
