@@ -556,6 +556,54 @@ def vote_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("word", "dynasty", "local_cluster", "d.global_cluster", "d.n", "d.pct", (F.col("at") + 1).alias("place"))
 
 
+# The same on the whole pooled assignment. Every latest record takes part; those without usable vector or period have no
+# cluster of their own, cast no vote and may stay unmatched.
+
+
+def _whole(sql: str) -> str:
+    every = f"(SELECT r.occ_id, r.word, r.dynasty_category AS dynasty, r.sentence, a.local_cluster FROM {LATEST} r LEFT JOIN {ASSIGNED} a USING (occ_id))"
+    pooled = POOLED.replace(" WHERE occ_id >= 'ctext_1008'", "")
+    return sql.replace(MATCHED, f"(SELECT l.*, p.global_cluster FROM {every} l LEFT JOIN {pooled} p USING (word, dynasty, sentence))").replace("WHERE global_cluster IS NOT NULL", "WHERE global_cluster IS NOT NULL AND local_cluster IS NOT NULL")
+
+
+def _matched_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = assignments(spark, sf_dir)
+    every = records(spark, sf_dir, "word", "dynasty_category", "sentence").withColumnRenamed("dynasty_category", "dynasty").join(rows.select("occ_id", "local_cluster"), "occ_id", "left")
+    return labels.matched_clusters(every, rows.select("word", "dynasty", "sentence", "occ_id", "global_cluster"), ["word", "dynasty", "sentence"], "occ_id")
+
+
+def _votes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    voters = _matched_whole(spark, sf_dir).where("local_cluster IS NOT NULL")
+    return labels.majority_vote(voters, table(spark, sf_dir, "label_map"))
+
+
+@query(_whole(SQL["local_global_join"]))
+def local_global_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matched_whole(spark, sf_dir).groupBy("word", "dynasty").agg(F.count("*").alias("n"), F.count_if(F.col("global_cluster").isNull()).alias("unmatched"))
+
+
+@query(_whole(SQL["majority_vote"]))
+def majority_vote_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _votes_whole(spark, sf_dir).drop("distribution")
+
+
+@query(_whole(SQL["mixed_clusters"]))
+def mixed_clusters_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.mixed_clusters(_votes_whole(spark, sf_dir)).select("word", "dynasty", "local_cluster", "majority_pct")
+
+
+@query(_whole(SQL["vote_distribution"]))
+def vote_distribution_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _votes_whole(spark, sf_dir).select("word", "dynasty", "local_cluster", F.posexplode("distribution").alias("at", "d"))
+    return rows.select("word", "dynasty", "local_cluster", "d.global_cluster", "d.n", "d.pct", (F.col("at") + 1).alias("place"))
+
+
+@query(_whole(SQL["dense_relabel"].replace(" WHERE global_cluster % 3 <> 1", "")))
+def dense_relabel_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = assignments(spark, sf_dir).select("word", "global_cluster")
+    return cluster.dense_relabel(rows, ["word"], "global_cluster").groupBy("word", "global_cluster", "new_cluster").agg(F.count("*").alias("n"))
+
+
 LABELED = f"(SELECT a.*, CASE WHEN p IS NULL THEN 'Other' ELSE p.m END AS macro, CASE WHEN p IS NULL THEN 'Other' ELSE p.s END AS sub FROM {ASSIGNED} a LEFT JOIN {JOINT} j ON a.word = j.word AND a.global_cluster = j.cluster)"
 
 
@@ -574,6 +622,12 @@ def apply_labels_local_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labeled.select("occ_id", "Cluster_ID", "Macro_Category", "Sub_Category")
 
 
+@query(_whole(SQL["apply_labels_local_override"]))
+def apply_labels_local_override_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labeled = labels.apply_local_labels(_matched_whole(spark, sf_dir), _votes_whole(spark, sf_dir), table(spark, sf_dir, "label_map"))
+    return labeled.select("occ_id", "Cluster_ID", "Macro_Category", "Sub_Category")
+
+
 @query(f"SELECT occ_id, 'Unlabeled' AS Macro_Category, 'C' || global_cluster AS Sub_Category, 'C' || global_cluster AS Label FROM {ASSIGNED}")
 def plain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.plain_labels(assignments(spark, sf_dir), "global_cluster").select("occ_id", "Macro_Category", "Sub_Category", "Label")
@@ -595,6 +649,11 @@ def local_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.local_template(assignments(spark, sf_dir), votes)
 
 
+@query(_whole(SQL["local_template"]))
+def local_template_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.local_template(assignments(spark, sf_dir), _votes_whole(spark, sf_dir))
+
+
 @query("SELECT word, dynasty, silhouette FROM local_stats WHERE silhouette IS NOT NULL QUALIFY row_number() OVER (PARTITION BY word, dynasty ORDER BY coalesce(n_samples, -1) DESC, silhouette DESC) = 1")
 def period_silhouettes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.period_silhouettes(table(spark, sf_dir, "local_stats"))

@@ -16,6 +16,16 @@ def test_query_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() >= 0
 
 
+def test_whole_pooled_side(spark, sf_dir):
+    """Every clustered record meets the pooled table, the first work's too, and every pooled cluster is relabelled."""
+    from glyphdrift.plans.catalog import assignments
+
+    clustered = assignments(spark, sf_dir)
+    votes = QUERIES["majority_vote_whole"](spark, sf_dir).groupBy().sum("total_sentences").first()[0]
+    assert votes == clustered.count()
+    assert QUERIES["dense_relabel_whole"](spark, sf_dir).groupBy().sum("n").first()[0] == clustered.count()
+
+
 def test_entry(spark):
     import __spark_entry__
 
