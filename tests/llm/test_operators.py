@@ -135,6 +135,26 @@ def test_versions(spark, monkeypatch, group):
     assert found <= truth and len(found) >= 0.99 * len(truth)
 
 
+@pytest.mark.parametrize("length", [12, 16, 24, 40, 130])
+def test_no_version_at_the_limit_is_lost(spark, length):
+    """A quarter of the characters replaced at random places, the rest shuffled in half of the pairs."""
+    rng = random.Random(length)
+    chars = [chr(0x4E00 + i) for i in range(700)]
+    rows = []
+    for i in range(200):
+        text = rng.choices(chars, k=length)
+        other = list(text)
+        for at in rng.sample(range(length), length // 4):
+            other[at] = rng.choice(chars)
+        if i % 2:
+            rng.shuffle(other)
+        rows += [(f"a{i:03d}", "".join(text)), (f"b{i:03d}", "".join(other))]
+    df = spark.createDataFrame([(a, t, 1) for a, t in rows], "occ_id string, sentence string, load_seq bigint")
+    found = {(r.occ_id_a, r.occ_id_b) for r in neardup.sentence_versions(df).collect()}
+    truth = brute_versions(rows)
+    assert len(truth) >= 200 and found == truth
+
+
 def test_many_copies_stay_linear(spark):
     rows = version_rows(150)
     df = spark.createDataFrame([(a, s, 1) for a, s in rows], "occ_id string, sentence string, load_seq bigint")
