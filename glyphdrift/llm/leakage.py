@@ -137,35 +137,56 @@ def runs(item: list[str], text: list[str]) -> list[Run]:
 
 
 def joined(pieces: list[Run]) -> list[Run]:
-    """Runs that continue each other with a small shift become one."""
+    """Runs that continue each other with a small shift become one.
+
+    Open runs are kept by the place where they end in the text and in the item, so every earlier run is within reach;
+    of several that a run continues, the latest begun counts.
+    """
     out: list[Run] = []
+    ends: dict[tuple[int, int], list[int]] = {}
+    near = range(-2, JUMP + 1)
     for r in sorted(pieces, key=lambda r: (r[2], r[0])):
-        for n in range(len(out) - 1, max(-1, len(out) - 8), -1):
-            q = out[n]
-            if -2 <= r[0] - q[1] <= JUMP and -2 <= r[2] - q[3] <= JUMP and r[1] > q[1]:
-                out[n] = (q[0], r[1], q[2], r[3], [*q[4], *(i for i in r[4] if i > q[4][-1])])
-                break
-        else:
+        reach = (n for x in near for y in near for n in ends.get((r[2] - x, r[0] - y), ()) if r[1] > out[n][1])
+        n = max(reach, default=None)
+        if n is None:
+            n = len(out)
             out.append(r)
+        else:
+            q = out[n]
+            ends[q[3], q[1]].remove(n)
+            out[n] = (q[0], r[1], q[2], r[3], [*q[4], *(i for i in r[4] if i > q[4][-1])])
+        ends.setdefault((out[n][3], out[n][1]), []).append(n)
     return out
 
 
 def share_held(item: list[str], rarity: list[float], text: list[str]) -> tuple[float, float]:
     """Of the item, the share of tokens and of their rarity in the text's best running passage, broken at most once.
 
-    Both parts of a broken passage stand in the item's order.
+    Both parts of a broken passage stand in the item's order. The best later part of each run comes from a sweep over
+    falling text places; ``best`` holds, for each place in the item, the best run that begins there or later.
     """
     pieces = joined(runs(item, text))
     length, whole = max(1, len(item)), sum(rarity) or 1.0
-    weight = {id(r): sum(rarity[i] for i in r[4]) for r in pieces}
-    best = (0.0, 0.0)
-    large = sorted(pieces, key=lambda r: -weight[id(r)])[:60]
-    for a in large:
-        best = max(best, (weight[id(a)] / whole, (a[1] - a[0]) / length))
-        for b in large:
-            if b[0] >= a[1] - 1 and b[2] >= a[3] - 1:
-                best = max(best, ((weight[id(a)] + weight[id(b)]) / whole, (a[1] - a[0] + b[1] - max(b[0], a[1])) / length))
-    return best[1], best[0]
+    weight = [sum(rarity[i] for i in r[4]) for r in pieces]
+    top = (0.0, 0.0)
+    later = sorted(range(len(pieces)), key=lambda n: -pieces[n][2])
+    best: list[tuple[float, int, int]] = [(0.0, 0, 0)] * (len(item) + 1)
+    at = 0
+    for a in sorted(range(len(pieces)), key=lambda n: -pieces[n][3]):
+        start, end, _, text_end, _ = pieces[a]
+        while at < len(later) and pieces[later[at]][2] >= text_end - 1:
+            b = later[at]
+            own = (weight[b], pieces[b][1] - pieces[b][0], pieces[b][0])
+            for place in range(pieces[b][0], -1, -1):
+                if best[place] >= own:
+                    break
+                best[place] = own
+            at += 1
+        top = max(top, (weight[a] / whole, (end - start) / length))
+        more, more_length, first = best[max(0, end - 1)]
+        if more_length:
+            top = max(top, ((weight[a] + more) / whole, (end - start + first + more_length - max(first, end)) / length))
+    return top[1], top[0]
 
 
 def _count(index: ItemIndex) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

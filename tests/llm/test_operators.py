@@ -307,6 +307,30 @@ def test_leaks(spark):
     assert leakage.leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), empty).count() == 0
 
 
+def test_no_run_is_cut_off():
+    item = [f"w{i}" for i in range(40)]
+    stock, gap = item[:9], ["x"] * 6
+    # 70 stock phrases that weigh more than the second part of a passage broken once
+    text = (stock + gap) * 70 + item[10:25] + gap + item[26:34]
+    share, weight = leakage.share_held(item, [1.0] * 40, text)
+    assert weight >= 23 / 40 and share >= 23 / 40
+    # a part that continues another after nine runs that begin in between
+    parts = [(0, 20, 0, 20, list(range(20))), *((30, 34, 5 + i, 9 + i, [30, 31, 32, 33]) for i in range(9)), (21, 30, 21, 30, list(range(21, 30)))]
+    assert any(r[0] == 0 and r[1] == 30 for r in leakage.joined(parts))
+
+
+def test_share_held_equals_all_pairs():
+    rng = random.Random(4)
+    for _ in range(60):
+        item = [f"w{rng.randrange(12)}" for _ in range(30)]
+        text = [t for _ in range(12) for at in [rng.randrange(25)] for t in [*item[at : at + rng.randint(4, 12)], "x", "y", "z"]]
+        rarity = [1.0 + i % 3 for i in range(30)]
+        runs = leakage.joined(leakage.runs(item, text))
+        weigh = lambda r: sum(rarity[i] for i in r[4])
+        most = max([weigh(a) for a in runs] + [weigh(a) + weigh(b) for a in runs for b in runs if b[0] >= a[1] - 1 and b[2] >= a[3] - 1], default=0)
+        assert leakage.share_held(item, rarity, text)[1] == pytest.approx(most / sum(rarity))
+
+
 # --- 10 personal data -------------------------------------------------------------------------------------------------------
 
 
