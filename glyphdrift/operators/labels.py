@@ -94,6 +94,17 @@ def hand_mapping(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("手", "joint", None, c, m, s) for c, (m, s) in HAND_LABELS.items()], MAPPING_SCHEMA)
 
 
+def for_words(mapping: DataFrame, rows: DataFrame, word: str = "word") -> DataFrame:
+    """The mapping with a flat document's rows under the one word of ``rows``; with several words, or an entry of the word, they serve none."""
+    flat = mapping.where(F.col("word") == SINGLE)
+    if flat.isEmpty():
+        return mapping
+    own = mapping.where(F.col("word") != SINGLE)
+    found = rows.agg(F.min(word).alias("one"), F.max(word).alias("other")).where("one = other").select("one")
+    free = found.join(own.select(F.col("word").alias("one")).distinct(), "one", "left_anti")
+    return own.unionByName(flat.crossJoin(free).withColumn("word", F.col("one")).select(*mapping.columns))
+
+
 def scoped(mapping: DataFrame, scope: str) -> DataFrame:
     """The rows of a scope; flat mappings serve every scope, but a word's own scope goes first."""
     own = mapping.withColumn("is_own", F.col("scope") == scope).where(F.col("scope").isin(scope, "any"))
@@ -113,7 +124,7 @@ def _pair(macro: Column, sub: Column) -> Column:
 
 def apply_global_labels(df: DataFrame, cluster: str, mapping: DataFrame, word: str = "word") -> DataFrame:
     """Joint labels of pooled clusters; clusters without one are ``Other``. The mapping holds a row for each cluster."""
-    small = scoped(mapping, "joint").groupBy("word", "cluster").agg(F.min(F.struct("macro", "sub")).alias("pair"))
+    small = scoped(for_words(mapping, df, word), "joint").groupBy("word", "cluster").agg(F.min(F.struct("macro", "sub")).alias("pair"))
     joined = df.join(small.withColumnsRenamed({"word": "m_word", "cluster": "m_cluster"}), (F.col(word) == F.col("m_word")) & (F.col(cluster) == F.col("m_cluster")), "left")
     macro, sub = (F.coalesce(F.col("pair")[n], F.when(F.col("pair").isNull(), "Other")) for n in ("macro", "sub"))
     return joined.withColumns({"Cluster_ID": F.col(cluster), "Macro_Category": macro, "Sub_Category": sub, "Label": sub}).drop("m_word", "m_cluster", "pair")
@@ -145,7 +156,7 @@ def majority_vote(matched: DataFrame, mapping: DataFrame, word: str = "word", dy
     best = totals.withColumns(
         {"majority_global": F.col("ranked")[0]["global_cluster"], "share": share(-F.col("ranked")[0]["less"]), "distribution": listed}
     )
-    labels = scoped(mapping, "joint").groupBy(F.col("word").alias("m_word"), F.col("cluster").alias("m_cluster")).agg(F.min(F.struct("macro", "sub")).alias("pair"))
+    labels = scoped(for_words(mapping, matched, word), "joint").groupBy(F.col("word").alias("m_word"), F.col("cluster").alias("m_cluster")).agg(F.min(F.struct("macro", "sub")).alias("pair"))
     joined = best.join(labels, (F.col(word) == F.col("m_word")) & (F.col("majority_global") == F.col("m_cluster")), "left")
     unknown = F.concat(F.lit("G"), F.col("majority_global").cast("string"))
     return joined.select(
@@ -166,7 +177,7 @@ def apply_local_labels(df: DataFrame, votes: DataFrame, mapping: DataFrame, word
     An override replaces the pair, also where its second label is null.
     """
     keys = [word, dynasty, "local_cluster"]
-    own = scoped(mapping, "local").where("dynasty IS NOT NULL").groupBy("word", "dynasty", "cluster").agg(F.min(F.struct("macro", "sub")).alias("own"))
+    own = scoped(for_words(mapping, df, word), "local").where("dynasty IS NOT NULL").groupBy("word", "dynasty", "cluster").agg(F.min(F.struct("macro", "sub")).alias("own"))
     own = own.select(F.col("word").alias(word), F.col("dynasty").alias(dynasty), F.col("cluster").alias("local_cluster"), "own")
     voted = votes.select(*keys, F.struct("macro", "sub").alias("voted"))
     pair = F.coalesce("own", "voted", F.struct(F.lit("NOISE").alias("macro"), F.lit("Unmatched").alias("sub")))

@@ -211,3 +211,16 @@ def test_stream(spark, sf_dir, tmp_path):
     query.awaitTermination(120)
     batch = ingest.cleaned_stream(source).select("occ_id", "load_seq").distinct().count()
     assert spark.read.parquet(str(tmp_path / "out")).count() == batch
+
+
+def test_flat_document_serves_the_one_word(spark, tmp_path):
+    (tmp_path / "flat.json").write_text('{"0": ["Body", "Hand"], "1": ["Skill", "Expert"]}', encoding="utf-8")
+    mapping = labels.read_mapping(spark, "flat.json", str(tmp_path))
+    schema = "word string, dynasty string, local_cluster int, global_cluster int"
+    one = spark.createDataFrame([("手", "qing", 0, 0), ("手", "qing", 0, 0), ("手", "qing", 1, 1), ("手", "qing", 2, 7)], schema)
+    assert [r.Macro_Category for r in labels.apply_global_labels(one, "global_cluster", mapping).orderBy("global_cluster").collect()] == ["Body", "Body", "Skill", "Other"]
+    votes = labels.majority_vote(one, mapping)
+    assert [(r.macro, r["sub"]) for r in votes.orderBy("local_cluster").collect()] == [("Body", "Hand"), ("Skill", "Expert"), ("NOISE", "G7")]
+    assert {r.Macro_Category for r in labels.apply_local_labels(one, votes, mapping).collect()} == {"Body", "Skill", "NOISE"}
+    two = one.unionByName(spark.createDataFrame([("水", "qing", 0, 0)], schema))
+    assert {r.Macro_Category for r in labels.apply_global_labels(two, "global_cluster", mapping).collect()} == {"Other"}
