@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,14 +126,37 @@ def version_rows(copies):
     return [*rows, ("n1", None), ("n2", ""), ("n3", "甲乙丙")]
 
 
-@pytest.mark.parametrize("group", [60, 2])
-def test_versions(spark, monkeypatch, group):
-    monkeypatch.setattr(neardup, "LARGE_GROUP", group)
+def test_versions(spark):
     rows = version_rows(5)
     df = spark.createDataFrame([(a, s, 1, "clash") for a, s in rows] + [("b000", "舊本一句已改", 0, "")], "occ_id string, sentence string, load_seq bigint, text string")
     found = {(r.occ_id_a, r.occ_id_b) for r in neardup.sentence_versions(df).collect()}
-    truth = brute_versions(rows)
-    assert found <= truth and len(found) >= 0.99 * len(truth)
+    assert found == brute_versions(rows)
+
+
+@pytest.mark.parametrize(("large", "group", "most"), [(4_000_000, 48, 8_000_000), (2, 48, 8_000_000), (2, 2, 40), (4_000_000, 2, 40), (12, 3, 1000)])
+def test_split_keys_lose_no_version(monkeypatch, large, group, most):
+    """Keys split before the shuffle, groups split by further tokens and in turns: always the pairs of a comparison of all."""
+    monkeypatch.setattr(neardup, "LARGE_KEY", large)
+    monkeypatch.setattr(neardup, "GROUP", group)
+    monkeypatch.setattr(neardup, "MOST_ROWS", most)
+    rng = random.Random(large + group)
+    chars = [chr(0x4E00 + i) for i in range(60)]
+    texts = []
+    for length in (12, 13, 18, 22, 23, 24, 25, 31, 60, 95, 96, 100, 130, 400):
+        for _ in range(12):
+            text = rng.choices(chars, k=length)
+            texts.append("".join(text))
+            for part in (8, 4):
+                other = [rng.choice(chars) if rng.random() < 1 / part else c for c in text]
+                texts.append("".join(rng.sample(other, len(other))[: rng.randrange(int(length * 0.8), length + 1)]))
+    texts = sorted(t for t in set(texts) if len(t) >= 12)
+    known, counts = np.unique(neardup._counted(neardup.bags(texts)[0]), return_counts=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["text_id", "plain"])
+    keys = pa.Table.from_batches(list(neardup._keys(known, counts, len(texts), 0.75, 12)(iter([batch])))).sort_by("key")
+    candidates = {(r["a"], r["b"]) for b in neardup._pairs(0.75)(iter(keys.to_batches(50))) for r in b.to_pylist()}
+    shared = lambda x, y: sum((Counter(x) & Counter(y)).values()) >= 0.75 * max(len(x), len(y))
+    truth = {(i, j) for j in range(len(texts)) for i in range(j) if shared(texts[i], texts[j])}
+    assert len(truth) > 100 and truth <= candidates
 
 
 @pytest.mark.parametrize("length", [12, 16, 24, 40, 130])
@@ -165,6 +189,13 @@ def test_many_copies_stay_linear(spark):
     assert neardup.sentence_versions(df.limit(0)).count() == 0
 
 
+def test_every_copy_with_every_copy(spark):
+    rows = version_rows(60)
+    df = spark.createDataFrame([(a, s, 1) for a, s in rows], "occ_id string, sentence string, load_seq bigint")
+    found = {(r.id_a, r.id_b) for r in neardup.versions(df, "occ_id", "sentence", "load_seq", copies=None).collect()}
+    assert found == brute_versions(rows)
+
+
 # --- 6 nearest vectors --------------------------------------------------------------------------------------------------
 
 
