@@ -18,7 +18,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return textstats.junk_sentences(table(spark, sf_dir, "occurrences"))
+    return textstats.junk_sentences(table(spark, sf_dir, "occurrences"), table(spark, sf_dir, "common_chars"))
 
 
 def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def p4_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.sentence_versions(table(spark, sf_dir, "occurrences"))
+    return neardup.sentence_versions(table(spark, sf_dir, "occurrences"), table(spark, sf_dir, "common_chars"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,14 +112,19 @@ stats AS (
     CASE WHEN words > 0 THEN len(regexp_extract_all(s, '{textstats.COUNTED.partition('(?!')[0]}([^{textstats.WORD[1:-1]}]|$)')) / words ELSE 0 END AS counted_share
   FROM counted)
 """
-CUT = lambda name, floor, least: f"(words >= {least} AND {name} > (SELECT median({name}) + {textstats.Z_CUT} * greatest((quantile_cont({name}, 0.75) - quantile_cont({name}, 0.25)) / 1.349, {floor}) FROM stats))"
+#: Statistic, least scale and least number of words: limits set apart from those of the operator.
+TAILS = (
+    ("n_markup", 0.25, 1), ("n_cells", 0.3, 1), ("rare_share", 0.05, 1), ("latin1_share", 0.017, 1), ("ascii_share", 0.017, 1), ("lost_share", 0.02, 1),
+    ("longest_run", 0.8, 1), ("list_share", 0.14, 5), ("counted_share", 0.1, 4),
+)
+CUT = lambda name, floor, least: f"(words >= {least} AND {name} > (SELECT median({name}) + 6.0 * greatest((quantile_cont({name}, 0.75) - quantile_cont({name}, 0.25)) / 1.349, {floor}) FROM stats))"
 
 SQL = {
     "p1_found": f"""{WORKS}
         SELECT occ_id FROM (
           SELECT occ_id, row_number() OVER (PARTITION BY work_category, work_title ORDER BY CASE WHEN isnan(quality) THEN NULL ELSE quality END DESC NULLS LAST, occ_id) AS place FROM works)
         WHERE place > (SELECT floor(0.02 * count(*)) FROM works)""",
-    "p3_found": STATS + "SELECT occ_id FROM stats WHERE " + " OR ".join(CUT(*t) for t in textstats.TAILS),
+    "p3_found": STATS + "SELECT occ_id FROM stats WHERE " + " OR ".join(CUT(*t) for t in TAILS),
     "p4_balance": """
         SELECT count(*) AS population, least(count(*), 10000) AS drawn, least(count(*), 10000) AS records
         FROM (SELECT DISTINCT occ_id FROM occurrences WHERE occ_id IS NOT NULL)""",

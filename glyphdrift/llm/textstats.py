@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from glyphdrift.operators.latest import latest_rows
@@ -18,20 +21,14 @@ WORD = rf"[\p{{L}}\p{{M}}\p{{N}}{LOST_MARKS}]"
 #: The end of a list entry that is a number with a measure.
 COUNTED = rf"[〇零一二三四五六七八九十百千0-9][卷冊册篇本部種斗升石斤兩文匹](?!{WORD})"
 
-#: Tail rules: statistic, least scale of its distribution, least number of words for which the statistic counts.
-#: The least scale keeps a statistic that is 0 for nearly all texts from flagging every small deviation.
-TAILS = (
-    ("n_markup", 0.25, 1),
-    ("n_cells", 0.3, 1),
-    ("rare_share", 0.05, 1),
-    ("latin1_share", 0.017, 1),
-    ("ascii_share", 0.017, 1),
-    ("lost_share", 0.02, 1),
-    ("longest_run", 0.8, 1),
-    ("list_share", 0.14, 5),
-    ("counted_share", 0.1, 4),
-)
-Z_CUT = 6.0
+#: Statistics that junk raises, and what one event (a character, word, tag, cell) adds to each: one by the named count.
+RAISED = {
+    "n_markup": None, "n_cells": None, "longest_run": None, "rare_share": "n_body", "latin1_share": "n_chars", "ascii_share": "n_chars",
+    "lost_share": "n_chars", "symbol_share": "n_chars", "list_share": "n_words", "counted_share": "n_words",
+}
+#: Statistics that junk lowers; natural text may lower one of them, so they count only together.
+LOWERED = {"mean_word_length": "n_words", "common_share": "n_body", "distinct_share": "n_chars"}
+Z_CUT = 3.5  # robust z-scores beyond are tails
 KLL_SIZE = 400
 
 
@@ -44,13 +41,13 @@ def _share(part: Column, whole: Column) -> Column:
 
 
 def frequent_characters(common: DataFrame, column: str = "ch") -> str:
-    """The fixed list of frequent characters as one string, at most a few hundred characters."""
-    rows = common.select(column).where(F.length(column) == 1).distinct().limit(5000).collect()
-    return "".join(sorted(r[0] for r in rows))
+    """The fixed list of frequent characters as one string, each once, fit for a character class. A list of characters is bounded by the character set."""
+    rows = common.select(column).where(F.length(column) == 1).distinct().collect()
+    return "".join(sorted(re.escape(r[0]) for r in rows))
 
 
-def tail_statistics(text: Column) -> Column:
-    """The struct of the statistics in ``TAILS`` with the number of words; null text counts as empty.
+def tail_statistics(text: Column, frequent: str = "") -> Column:
+    """The struct of the statistics in ``RAISED`` and ``LOWERED`` with their counts; null text counts as empty.
 
     A "word" is a run of letters and digits, which for Chinese is a clause or a list entry.
     """
@@ -61,42 +58,41 @@ def tail_statistics(text: Column) -> Column:
     run = F.array_max(F.transform(F.regexp_extract_all(s, F.lit(r"(?s)((.)\2{3,})"), F.lit(1)), lambda r: F.length(r)))
     return F.struct(
         words.alias("n_words"),
+        n.alias("n_chars"),
+        body.alias("n_body"),
         _count(s, r"</?[A-Za-z][^<>]*>|&#?\w+;|<!--").alias("n_markup"),
         _count(s, r"[\t|｜]|[\x{3000} ]{2,}").alias("n_cells"),
         _share(_count(s, r"[\x{3400}-\x{4DBF}\x{20000}-\x{3FFFF}\x{E000}-\x{F8FF}]"), body).alias("rare_share"),
         _share(_count(s, r"[\x{80}-\x{24F}]"), n).alias("latin1_share"),
         _share(_count(s, r"[A-Za-z0-9]"), n).alias("ascii_share"),
         _share(_count(s, f"[{LOST_MARKS}]"), n).alias("lost_share"),
+        _share(_count(s, rf"[^\p{{L}}\p{{N}}\s\p{{Z}}{PROSE_MARKS}]"), n).alias("symbol_share"),
         F.when(s.rlike(r"(?s)(.)\1{3,}"), run).otherwise(F.lit(0)).alias("longest_run"),
         F.when(body < 3.8 * words, 1 - _count(s, f"{WORD}{{5,}}") / words).otherwise(F.lit(0.0)).alias("list_share"),
         _share(_count(s, COUNTED), words).alias("counted_share"),
+        _share(body, words).alias("mean_word_length"),
+        _share(_count(s, f"[{frequent}]") if frequent else F.lit(0), body).alias("common_share"),
+        _share(F.size(F.array_distinct(F.split(s, ""))), n).alias("distinct_share"),
     )
 
 
 def with_statistics(df: DataFrame, text: str, common: DataFrame | None = None) -> DataFrame:
     """Add ``stats``, a struct of text statistics by built-in functions over the whole text.
 
-    Besides those of ``tail_statistics``: characters, letters and digits, word lengths, lines, shares of symbols, of
-    lines that end in punctuation, of enumeration commas, of distinct and of common characters (from the fixed list
-    ``common``). Null text gives the statistics of empty text: counts and shares 0. ``stats`` replaces a column of that name.
+    Besides those of ``tail_statistics`` (common characters come from the fixed list ``common``): the longest word,
+    lines, shares of lines that end in punctuation and of enumeration commas. Null text gives the statistics of empty text: counts and shares 0. ``stats`` replaces a column of that name.
     """
     frequent = "" if common is None else frequent_characters(common)
     s = F.coalesce(F.col(text), F.lit(""))
-    n, body, words, lines = F.length(s), _count(s, r"[\p{L}\p{N}]"), _count(s, f"{WORD}+"), _count(s, r"[^\n]*\S[^\n]*")
+    n, lines = F.length(s), _count(s, r"[^\n]*\S[^\n]*")
     longest = F.array_max(F.transform(F.regexp_extract_all(s, F.lit(f"({WORD}+)"), F.lit(1)), lambda w: F.length(w)))
     more = {
-        "n_chars": n,
-        "n_body": body,
-        "mean_word_length": _share(body, words),
         "longest_word": F.coalesce(longest, F.lit(0)),
-        "symbol_share": _share(_count(s, rf"[^\p{{L}}\p{{N}}\s\p{{Z}}{PROSE_MARKS}]"), n),
         "n_lines": lines,
         "lines_punct_share": _share(_count(s, r"(?m)\p{P}\s*$"), lines),
         "comma_list_share": _share(_count(s, "、"), _count(s, f"[{PROSE_MARKS}]")),
-        "distinct_share": _share(F.size(F.array_distinct(F.split(s, ""))), n),
-        "common_share": _share(_count(s, f"[{frequent}]") if frequent else F.lit(0), body),
     }
-    rest = df.withColumn("stats", tail_statistics(F.col(text)))
+    rest = df.withColumn("stats", tail_statistics(F.col(text), frequent))
     return rest.withColumn("stats", F.struct("stats.*", *[c.alias(k) for k, c in more.items()]))
 
 
@@ -121,39 +117,63 @@ def distribution(stats: DataFrame, names: list[str], group: str | None = None) -
     )
 
 
-def cuts_of(stats: DataFrame) -> dict[str, float]:
-    """From rows with ``stats``: the value of each tail statistic above which a text is junk; empty without rows.
+MOST_LANGUAGES = 10_000  # rows of centres and scales that are broadcast; more are joined by a shuffle
+
+
+def centres(stats: DataFrame, language: str | None = None) -> DataFrame:
+    """(language, centres): median and robust scale of each tail statistic per language, as a struct of structs (m, s)."""
+    names = [*RAISED, *LOWERED]
+    rows = distribution(stats, names, language)
+    return rows.select(F.col("group").alias("language"), F.struct(*[F.struct(F.col(f"q_{n}.median").alias("m"), F.col(f"q_{n}.scale").alias("s")).alias(n) for n in names]).alias("centres"))
+
+
+def tails_hit(stats: str, centre: Callable[[str, str], Column]) -> Column:
+    """Names of the statistics in whose tails a text lies; ``centre`` gives the median ("m") and scale ("s") of each.
 
-    That is ``Z_CUT`` robust scales above the median, the scale at least the rule's own.
+    The scale of a statistic is that of its distribution, but no less than what one event adds in this text: where
+    most texts have none, a single damaged character or list entry is no tail, four of them are.
     """
-    names = [n for n, _, _ in TAILS]
-    row = distribution(stats, names).select(*[f"q_{n}" for n in names]).first()
-    return {} if row is None else {n: row[f"q_{n}"]["median"] + Z_CUT * max(row[f"q_{n}"]["scale"], floor) for n, floor, _ in TAILS}
 
+    def z(name: str, unit: str | None) -> Column:
+        one = F.lit(1.0) if unit is None else 1 / F.greatest(F.col(f"{stats}.{unit}"), F.lit(1))
+        return (F.col(f"{stats}.{name}") - centre(name, "m")) / F.greatest(centre(name, "s"), one)
 
-def tails_hit(stats: str, cuts: dict[str, float]) -> Column:
-    """Names of the tail rules that the statistics hit. Texts of few words are no lists, whatever their words."""
-    hits = [F.when((F.col(f"{stats}.n_words") >= least) & (F.col(f"{stats}.{n}") > cuts[n]), F.lit(n)) for n, _, least in TAILS if n in cuts]
-    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
+    low = [z(n, u) < -Z_CUT for n, u in LOWERED.items()]
+    both = low[0]
+    for hit in low[1:]:
+        both = both & hit
+    return F.array_compact(F.array(*[F.when(z(n, u) > Z_CUT, F.lit(n)) for n, u in RAISED.items()], *[F.when(both, F.lit(n)) for n in LOWERED]))
 
 
-def with_tail_flags(df: DataFrame, text: str) -> DataFrame:
-    """Add ``stats`` and ``tails`` (names of the tail rules hit, empty for natural text); both replace like-named columns.
+def junk_cuts(stats: DataFrame) -> Row | None:
+    """The one row of ``centres`` over all of ``stats``; None without rows."""
+    return centres(stats).first()
+
+
+def _of_row(row: Row) -> Callable[[str, str], Column]:
+    return lambda name, part: F.lit(float(row["centres"][name][part]))
 
-    Statistics are checkpointed between the sketch and its use, so each text is read once. Null or empty text hits none.
-    """
-    rows = materialise(df.withColumn("stats", tail_statistics(F.col(text))))
-    return rows.withColumn("tails", tails_hit("stats", cuts_of(rows)))
 
+def with_tail_flags(df: DataFrame, text: str, language: str | None = None, common: DataFrame | None = None) -> DataFrame:
+    """Add ``stats`` and ``tails`` (names of the statistics in whose tails a text lies, empty for natural text); both replace like-named columns.
 
-def junk_cuts(df: DataFrame, text: str) -> dict[str, float]:
-    """``cuts_of`` the texts of ``df``."""
-    return cuts_of(df.select(tail_statistics(F.col(text)).alias("stats")))
+    Each language has its own sketches, null being one of them; without ``language`` all texts are of one. Statistics
+    are checkpointed between the sketch and its use, so each text is read once. Null or empty text is in no tail.
+    """
+    frequent = "" if common is None else frequent_characters(common)
+    rows = materialise(df.withColumn("stats", tail_statistics(F.col(text), frequent)))
+    if language is None:
+        row = junk_cuts(rows)
+        return rows.withColumn("tails", F.array().cast("array<string>") if row is None else tails_hit("stats", _of_row(row)))
+    table = materialise(centres(rows, language).withColumnRenamed("language", "__language"))
+    joined = rows.join(F.broadcast(table) if table.count() <= MOST_LANGUAGES else table, F.col(language).eqNullSafe(F.col("__language")))
+    return joined.withColumn("tails", tails_hit("stats", lambda name, part: F.col(f"centres.{name}.{part}"))).drop("__language", "centres")
 
 
-def without_junk(df: DataFrame, text: str, cuts: dict[str, float]) -> DataFrame:
-    """The rows of which no tail statistic of the text exceeds its cut."""
-    return df.withColumn("__stats", tail_statistics(F.col(text))).where(F.size(tails_hit("__stats", cuts)) == 0).drop("__stats")
+def no_junk(df: DataFrame, stats: str) -> DataFrame:
+    """The rows whose statistics lie in no tail of their distribution over all rows."""
+    row = junk_cuts(df)
+    return df if row is None else df.where(F.size(tails_hit(stats, _of_row(row))) == 0)
 
 
 def percentiles(stats: DataFrame, names: list[str], group: str) -> DataFrame:
@@ -165,8 +185,7 @@ def percentiles(stats: DataFrame, names: list[str], group: str) -> DataFrame:
     return rows.select("group", each).select("group", "row.statistic", "row.quantiles")
 
 
-def junk_sentences(occurrences: DataFrame) -> DataFrame:
+def junk_sentences(occurrences: DataFrame, common: DataFrame) -> DataFrame:
     """Ids of the records whose sentence is a list, a table or debris (problem 3). All sentences are one language."""
-    rows = latest_rows(occurrences, ["sentence"]).select("occ_id", tail_statistics(F.col("sentence")).alias("stats"))
-    rows = materialise(rows)
-    return rows.where(F.size(tails_hit("stats", cuts_of(rows))) > 0).select("occ_id")
+    rows = latest_rows(occurrences, ["sentence"]).select("occ_id", "sentence")
+    return with_tail_flags(rows, "sentence", common=common).where(F.size("tails") > 0).select("occ_id")
