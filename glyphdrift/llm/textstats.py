@@ -26,8 +26,6 @@ RAISED = {
     "n_markup": None, "n_cells": None, "longest_run": None, "rare_share": "n_body", "latin1_share": "n_chars", "ascii_share": "n_chars",
     "lost_share": "n_chars", "symbol_share": "n_chars", "list_share": "n_words", "counted_share": "n_words",
 }
-#: Statistics that junk lowers; natural text may lower one of them, so they count only together.
-LOWERED = {"mean_word_length": "n_words", "common_share": "n_body", "distinct_share": "n_chars"}
 Z_CUT = 3.5  # robust z-scores beyond are tails
 KLL_SIZE = 400
 
@@ -46,8 +44,8 @@ def frequent_characters(common: DataFrame, column: str = "ch") -> str:
     return "".join(sorted(re.escape(r[0]) for r in rows))
 
 
-def tail_statistics(text: Column, frequent: str = "") -> Column:
-    """The struct of the statistics in ``RAISED`` and ``LOWERED`` with their counts; null text counts as empty.
+def tail_statistics(text: Column) -> Column:
+    """The struct of the statistics in ``RAISED`` with their counts; null text counts as empty.
 
     A "word" is a run of letters and digits, which for Chinese is a clause or a list entry.
     """
@@ -70,29 +68,29 @@ def tail_statistics(text: Column, frequent: str = "") -> Column:
         F.when(s.rlike(r"(?s)(.)\1{3,}"), run).otherwise(F.lit(0)).alias("longest_run"),
         F.when(body < 3.8 * words, 1 - _count(s, f"{WORD}{{5,}}") / words).otherwise(F.lit(0.0)).alias("list_share"),
         _share(_count(s, COUNTED), words).alias("counted_share"),
-        _share(body, words).alias("mean_word_length"),
-        _share(_count(s, f"[{frequent}]") if frequent else F.lit(0), body).alias("common_share"),
-        _share(F.size(F.array_distinct(F.split(s, ""))), n).alias("distinct_share"),
     )
 
 
 def with_statistics(df: DataFrame, text: str, common: DataFrame | None = None) -> DataFrame:
     """Add ``stats``, a struct of text statistics by built-in functions over the whole text.
 
-    Besides those of ``tail_statistics`` (common characters come from the fixed list ``common``): the longest word,
-    lines, shares of lines that end in punctuation and of enumeration commas. Null text gives the statistics of empty text: counts and shares 0. ``stats`` replaces a column of that name.
+    Besides those of ``tail_statistics``: mean and longest word length, lines, shares of lines that end in punctuation, of
+    enumeration commas, of distinct and of common characters (from the fixed list ``common``). Null text gives the statistics of empty text: counts and shares 0. ``stats`` replaces a column of that name.
     """
     frequent = "" if common is None else frequent_characters(common)
     s = F.coalesce(F.col(text), F.lit(""))
-    n, lines = F.length(s), _count(s, r"[^\n]*\S[^\n]*")
+    n, body, words, lines = F.length(s), _count(s, r"[\p{L}\p{N}]"), _count(s, f"{WORD}+"), _count(s, r"[^\n]*\S[^\n]*")
     longest = F.array_max(F.transform(F.regexp_extract_all(s, F.lit(f"({WORD}+)"), F.lit(1)), lambda w: F.length(w)))
     more = {
+        "mean_word_length": _share(body, words),
         "longest_word": F.coalesce(longest, F.lit(0)),
+        "distinct_share": _share(F.size(F.array_distinct(F.split(s, ""))), n),
+        "common_share": _share(_count(s, f"[{frequent}]") if frequent else F.lit(0), body),
         "n_lines": lines,
         "lines_punct_share": _share(_count(s, r"(?m)\p{P}\s*$"), lines),
         "comma_list_share": _share(_count(s, "、"), _count(s, f"[{PROSE_MARKS}]")),
     }
-    rest = df.withColumn("stats", tail_statistics(F.col(text), frequent))
+    rest = df.withColumn("stats", tail_statistics(F.col(text)))
     return rest.withColumn("stats", F.struct("stats.*", *[c.alias(k) for k, c in more.items()]))
 
 
@@ -122,7 +120,7 @@ MOST_LANGUAGES = 10_000  # rows of centres and scales that are broadcast; more a
 
 def centres(stats: DataFrame, language: str | None = None) -> DataFrame:
     """(language, centres): median and robust scale of each tail statistic per language, as a struct of structs (m, s)."""
-    names = [*RAISED, *LOWERED]
+    names = list(RAISED)
     rows = distribution(stats, names, language)
     return rows.select(F.col("group").alias("language"), F.struct(*[F.struct(F.col(f"q_{n}.median").alias("m"), F.col(f"q_{n}.scale").alias("s")).alias(n) for n in names]).alias("centres"))
 
@@ -138,11 +136,7 @@ def tails_hit(stats: str, centre: Callable[[str, str], Column]) -> Column:
         one = F.lit(1.0) if unit is None else 1 / F.greatest(F.col(f"{stats}.{unit}"), F.lit(1))
         return (F.col(f"{stats}.{name}") - centre(name, "m")) / F.greatest(centre(name, "s"), one)
 
-    low = [z(n, u) < -Z_CUT for n, u in LOWERED.items()]
-    both = low[0]
-    for hit in low[1:]:
-        both = both & hit
-    return F.array_compact(F.array(*[F.when(z(n, u) > Z_CUT, F.lit(n)) for n, u in RAISED.items()], *[F.when(both, F.lit(n)) for n in LOWERED]))
+    return F.array_compact(F.array(*[F.when(z(n, u) > Z_CUT, F.lit(n)) for n, u in RAISED.items()]))
 
 
 def junk_cuts(stats: DataFrame) -> Row | None:
@@ -154,14 +148,13 @@ def _of_row(row: Row) -> Callable[[str, str], Column]:
     return lambda name, part: F.lit(float(row["centres"][name][part]))
 
 
-def with_tail_flags(df: DataFrame, text: str, language: str | None = None, common: DataFrame | None = None) -> DataFrame:
+def with_tail_flags(df: DataFrame, text: str, language: str | None = None) -> DataFrame:
     """Add ``stats`` and ``tails`` (names of the statistics in whose tails a text lies, empty for natural text); both replace like-named columns.
 
     Each language has its own sketches, null being one of them; without ``language`` all texts are of one. Statistics
     are checkpointed between the sketch and its use, so each text is read once. Null or empty text is in no tail.
     """
-    frequent = "" if common is None else frequent_characters(common)
-    rows = materialise(df.withColumn("stats", tail_statistics(F.col(text), frequent)))
+    rows = materialise(df.withColumn("stats", tail_statistics(F.col(text))))
     if language is None:
         row = junk_cuts(rows)
         return rows.withColumn("tails", F.array().cast("array<string>") if row is None else tails_hit("stats", _of_row(row)))
@@ -185,7 +178,7 @@ def percentiles(stats: DataFrame, names: list[str], group: str) -> DataFrame:
     return rows.select("group", each).select("group", "row.statistic", "row.quantiles")
 
 
-def junk_sentences(occurrences: DataFrame, common: DataFrame) -> DataFrame:
+def junk_sentences(occurrences: DataFrame) -> DataFrame:
     """Ids of the records whose sentence is a list, a table or debris (problem 3). All sentences are one language."""
     rows = latest_rows(occurrences, ["sentence"]).select("occ_id", "sentence")
-    return with_tail_flags(rows, "sentence", common=common).where(F.size("tails") > 0).select("occ_id")
+    return with_tail_flags(rows, "sentence").where(F.size("tails") > 0).select("occ_id")
