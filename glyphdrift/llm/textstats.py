@@ -26,7 +26,7 @@ RAISED = {
     "n_markup": None, "n_cells": None, "longest_run": None, "rare_share": "n_body", "latin1_share": "n_chars", "ascii_share": "n_chars",
     "lost_share": "n_chars", "symbol_share": "n_chars", "list_share": "n_words", "counted_share": "n_words",
 }
-Z_CUT = 3.5  # robust z-scores beyond are tails
+Z_CUT = 4.0  # robust z-scores beyond are tails
 KLL_SIZE = 400
 
 
@@ -119,8 +119,8 @@ MOST_LANGUAGES = 10_000  # rows of centres and scales that are broadcast; more a
 
 
 def centres(stats: DataFrame, language: str | None = None) -> DataFrame:
-    """(language, centres): median and robust scale of each tail statistic per language, as a struct of structs (m, s)."""
-    names = list(RAISED)
+    """(language, centres): median and robust scale of each tail statistic and its unit per language, as a struct of structs (m, s)."""
+    names = [*RAISED, *dict.fromkeys(u for u in RAISED.values() if u)]
     rows = distribution(stats, names, language)
     return rows.select(F.col("group").alias("language"), F.struct(*[F.struct(F.col(f"q_{n}.median").alias("m"), F.col(f"q_{n}.scale").alias("s")).alias(n) for n in names]).alias("centres"))
 
@@ -128,15 +128,16 @@ def centres(stats: DataFrame, language: str | None = None) -> DataFrame:
 def tails_hit(stats: str, centre: Callable[[str, str], Column]) -> Column:
     """Names of the statistics in whose tails a text lies; ``centre`` gives the median ("m") and scale ("s") of each.
 
-    The scale of a statistic is that of its distribution, but no less than what one event adds in this text: where
-    most texts have none, a single damaged character or list entry is no tail, four of them are.
+    The scale of a statistic is that of its distribution, but no less than what one event adds in this text, or in one
+    of median length if this is longer: where most texts have none, a single damaged character or list entry is no
+    tail, four of them are.
     """
 
     def z(name: str, unit: str | None) -> Column:
-        one = F.lit(1.0) if unit is None else 1 / F.greatest(F.col(f"{stats}.{unit}"), F.lit(1))
+        one = F.lit(1.0) if unit is None else 1 / F.greatest(F.least(F.col(f"{stats}.{unit}"), centre(unit, "m")), F.lit(1.0))
         return (F.col(f"{stats}.{name}") - centre(name, "m")) / F.greatest(centre(name, "s"), one)
 
-    return F.array_compact(F.array(*[F.when(z(n, u) > Z_CUT, F.lit(n)) for n, u in RAISED.items()]))
+    return F.array_compact(F.array(*[F.when(z(n, u) > Z_CUT + 1e-6, F.lit(n)) for n, u in RAISED.items()]))
 
 
 def junk_cuts(stats: DataFrame) -> Row | None:
