@@ -21,12 +21,12 @@ WORD = rf"[\p{{L}}\p{{M}}\p{{N}}{LOST_MARKS}]"
 #: The end of a list entry that is a number with a measure.
 COUNTED = rf"[〇零一二三四五六七八九十百千0-9][卷冊册篇本部種斗升石斤兩文匹](?!{WORD})"
 
-#: Statistics that junk raises, and what one event (a character, word, tag, cell) adds to each: one by the named count.
+#: Statistics that junk raises, and what one event (a character, word, gap between words, tag, cell) adds to each: one by the named count.
 RAISED = {
     "n_markup": None, "n_cells": None, "longest_run": None, "rare_share": "n_body", "latin1_share": "n_chars", "ascii_share": "n_chars",
-    "lost_share": "n_chars", "symbol_share": "n_chars", "list_share": "n_words", "counted_share": "n_words",
+    "lost_share": "n_chars", "symbol_share": "n_chars", "list_share": "n_gaps", "counted_share": "n_words",
 }
-Z_CUT = 4.0  # robust z-scores beyond are tails
+Z_CUT = 3.5  # robust z-scores beyond are tails
 KLL_SIZE = 400
 
 
@@ -56,6 +56,7 @@ def tail_statistics(text: Column) -> Column:
     run = F.array_max(F.transform(F.regexp_extract_all(s, F.lit(r"(?s)((.)\2{3,})"), F.lit(1)), lambda r: F.length(r)))
     return F.struct(
         words.alias("n_words"),
+        F.greatest(words - 1, F.lit(0)).alias("n_gaps"),
         n.alias("n_chars"),
         body.alias("n_body"),
         _count(s, r"</?[A-Za-z][^<>]*>|&#?\w+;|<!--").alias("n_markup"),
@@ -119,25 +120,25 @@ MOST_LANGUAGES = 10_000  # rows of centres and scales that are broadcast; more a
 
 
 def centres(stats: DataFrame, language: str | None = None) -> DataFrame:
-    """(language, centres): median and robust scale of each tail statistic and its unit per language, as a struct of structs (m, s)."""
+    """(language, centres): median, robust scale and upper quartile of each tail statistic and unit per language, as a struct of structs (m, s, h)."""
     names = [*RAISED, *dict.fromkeys(u for u in RAISED.values() if u)]
     rows = distribution(stats, names, language)
-    return rows.select(F.col("group").alias("language"), F.struct(*[F.struct(F.col(f"q_{n}.median").alias("m"), F.col(f"q_{n}.scale").alias("s")).alias(n) for n in names]).alias("centres"))
+    return rows.select(F.col("group").alias("language"), F.struct(*[F.struct(F.col(f"q_{n}.median").alias("m"), F.col(f"q_{n}.scale").alias("s"), F.col(f"q_{n}.high").alias("h")).alias(n) for n in names]).alias("centres"))
 
 
 def tails_hit(stats: str, centre: Callable[[str, str], Column]) -> Column:
-    """Names of the statistics in whose tails a text lies; ``centre`` gives the median ("m") and scale ("s") of each.
+    """Names of the statistics in whose tails a text lies; ``centre`` gives the median ("m"), scale ("s") and upper quartile ("h") of each.
 
     The scale of a statistic is that of its distribution, but no less than what one event adds in this text, or in one
-    of median length if this is longer: where most texts have none, a single damaged character or list entry is no
+    of twice the upper quartile of lengths if this is longer: where most texts have none, a single damaged character or list entry is no
     tail, four of them are.
     """
 
     def z(name: str, unit: str | None) -> Column:
-        one = F.lit(1.0) if unit is None else 1 / F.greatest(F.least(F.col(f"{stats}.{unit}"), centre(unit, "m")), F.lit(1.0))
+        one = F.lit(1.0) if unit is None else 1 / F.greatest(F.least(F.col(f"{stats}.{unit}"), 2 * centre(unit, "h")), F.lit(1.0))
         return (F.col(f"{stats}.{name}") - centre(name, "m")) / F.greatest(centre(name, "s"), one)
 
-    return F.array_compact(F.array(*[F.when(z(n, u) > Z_CUT + 1e-6, F.lit(n)) for n, u in RAISED.items()]))
+    return F.array_compact(F.array(*[F.when(z(n, u) > Z_CUT, F.lit(n)) for n, u in RAISED.items()]))
 
 
 def junk_cuts(stats: DataFrame) -> Row | None:
