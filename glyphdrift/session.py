@@ -41,5 +41,5 @@ def materialise(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """Like ``materialise`` through a Parquet table in the same folder: smaller, and read by column."""
     folder = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
