@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,15 +11,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphdrift.session import written
+
 K1, B = 1.2, 0.5
 PASSAGE, STRIDE = 160, 64  # tokens of a passage and from one's start to the next's; they cover the whole text
-BLOCK_ITEMS = 16
-THRESHOLD = 0.35  # least share of an item's own score
-INDEX_ITEMS = 4_000  # items of one index; more are searched by further passes
+PART = 96  # tokens of a part of an item; items of less than twice as many are one part if they fit a passage
+BLOCK_PARTS = 16
+THRESHOLD = 0.125  # least share of a part's own score: half of what must be held (it may stand in two places), and of that half the word pairs without a change
+SEARCHED = 300_000  # tokens of the texts that are searched together
+INDEX_TOKENS = 2_000_000  # characters of the items of one index; more are searched by further passes
 LEAST_SHARE = 0.5  # of an item's wording
 LEAST_WEIGHT = 0.45  # of the summed rarity of an item's words, so that stock phrases alone don't make a case
 JUMP = 2  # equal tokens of a running passage lie at most this far apart: single tokens may differ
 LEAST_RUN = 4  # equal tokens of a run
+DRIFT = 32  # by half as many tokens, put in or left out, a place may differ from its part of the item
 
 IDEOGRAPH = "㐀-䶿一-鿿\U00020000-\U0003ffff"
 TOKEN = re.compile(rf"[{IDEOGRAPH}]|[^\W_{IDEOGRAPH}]+")
@@ -32,108 +35,188 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(unicodedata.normalize("NFKC", text).lower())
 
 
-def terms(words: list[str]) -> list[str]:
-    """Index terms: words; ideographs with their follower, as single ones tell little."""
-    out = []
-    for i, w in enumerate(words):
-        if len(w) == 1 and w > "⿿":
-            out.append(w + words[i + 1] if i + 1 < len(words) else w)
-        else:
-            out.append(w)
-    return out
+def spread(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each run of ``counts`` places from ``starts`` on: the run's number, and the places."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[row]
 
 
 class ItemIndex:
-    """Inverted index of test items with BM25 impacts as shares of the item's own score.
+    """Inverted index of the parts of test items, with BM25 impacts as shares of a part's own score.
 
-    ``blocks[b][t, i]`` is what term t adds for item i of block b. Items are ordered by language so that blocks are alike, and
-    ``ceiling[t, b]`` is the largest impact of a term within a block: the sum over a passage's terms bounds every
-    item of the block, and blocks whose bound stays below the threshold are never scored.
+    Terms are pairs of neighbouring words or ideographs, as single ones tell little. A term's postings are the parts
+    that hold it with its impact there; ``block_top`` holds a term's largest impact within each block of parts, and
+    ``top`` that of all. Items are ordered by language so that the parts of a block are alike.
     """
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.words = [tokens(t) for _, t in items]
+        texts = [tokens(t) for _, t in items]
         self.ids = [i for i, _ in items]
-        self.bags = [Counter(terms(w)) for w in self.words]
-        self.vocabulary = {t: n for n, t in enumerate(sorted({t for b in self.bags for t in b}))}
+        self.number = {w: n for n, w in enumerate(sorted({w for t in texts for w in t}))}
+        self.words = [self.numbers(t) for t in texts]
+        codes = [self.codes(w) for w in self.words]
+        self.vocabulary = np.unique(np.concatenate(codes)) if codes else np.empty(0, np.int64)
+        self.terms = [np.searchsorted(self.vocabulary, c) for c in codes]
+        self.parts = [(n, a, b) for n, w in enumerate(self.words) for a, b in parts_of(len(w))]
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Word numbers, -1 for words of no item."""
+        get = self.number.get
+        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+
+    def codes(self, words: np.ndarray) -> np.ndarray:
+        """A code for each place, of the word and its follower; -1 where one is in no item."""
+        follower = np.append(words[1:], -2)  # -2: the end
+        return np.where((words < 0) | (follower == -1), -1, (words << 31) | (follower + 2))
+
+    def known(self, words: np.ndarray) -> np.ndarray:
+        """Term number of each place of a text, -1 for terms of no item."""
+        code = self.codes(words)
+        at = np.minimum(np.searchsorted(self.vocabulary, code), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == code, at, -1)
 
     def weigh(self, seen: np.ndarray, total: int) -> None:
-        """Fill the impacts from the number of corpus texts, of ``total``, that hold each term."""
-        mean = sum(sum(b.values()) for b in self.bags) / max(1, len(self.bags))
-        columns = math.ceil(max(1, len(self.bags)) / BLOCK_ITEMS) * BLOCK_ITEMS
-        impact = np.zeros((len(self.vocabulary) + 1, columns), np.float32)
+        """Fill the postings from the number of corpus texts, of ``total``, that hold each term."""
         rarity = np.log(1 + (max(total, seen.max(initial=0)) - seen + 0.5) / (seen + 0.5))
-        self.rarity = [[float(rarity[self.vocabulary[t]]) for t in terms(words)] for words in self.words]
-        for i, bag in enumerate(self.bags):
-            length = sum(bag.values())
-            weights = {
-                t: rarity[self.vocabulary[t]] * n * (K1 + 1) / (n + K1 * (1 - B + B * length / mean)) for t, n in bag.items()
-            }
-            own = sum(weights.values()) or 1.0
-            for t, w in weights.items():
-                impact[self.vocabulary[t], i] = w / own
-        by_block = impact.reshape(len(impact), -1, BLOCK_ITEMS)
-        self.ceiling = by_block.max(2)
-        self.blocks = np.ascontiguousarray(by_block.transpose(1, 0, 2))
-
-    def search(self, passages: list[np.ndarray]) -> list[tuple[int, int]]:
-        """(passage, item) of every score of at least the threshold. A passage is an array of distinct term numbers."""
-        found: list[tuple[int, int]] = []
-        filled = [n for n, p in enumerate(passages) if len(p)]
-        for at in range(0, len(filled), 512):
-            part = filled[at : at + 512]
-            flat = np.concatenate([passages[n] for n in part])
-            starts = np.concatenate([[0], np.cumsum([len(passages[n]) for n in part])[:-1]])
-            bounds = np.add.reduceat(self.ceiling[flat], starts, axis=0)
-            lengths = np.diff(np.append(starts, len(flat)))
-            for block in np.flatnonzero((bounds >= THRESHOLD).any(0)).tolist():
-                rows = np.flatnonzero(bounds[:, block] >= THRESHOLD)
-                found += [(part[rows[r]], block * BLOCK_ITEMS + i) for r, i in self.score(flat, starts[rows], lengths[rows], block)]
-        return found
-
-    def score(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, block: int) -> list[tuple[int, int]]:
-        """(row, item of the block) of the scores of at least the threshold, of passages that the bound let through."""
-        ends = np.cumsum(lengths)
-        own = np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])
-        scores = np.add.reduceat(self.blocks[block][flat[own]], ends - lengths, axis=0)
-        return list(zip(*(x.tolist() for x in np.nonzero(scores >= THRESHOLD))))
-
-
-def passages_of(index: ItemIndex, words: list[str]) -> list[np.ndarray]:
-    """Distinct known terms of each overlapping passage."""
-    known = np.array([index.vocabulary.get(t, -1) for t in terms(words)], np.int64)
-    starts = range(0, max(1, len(known) - PASSAGE + STRIDE), STRIDE)
-    return [np.unique(part[part >= 0]) for part in (known[s : s + PASSAGE] for s in starts)]
-
-
-Run = tuple[int, int, int, int, list[int]]
-
-
-def runs(item: list[str], text: list[str]) -> list[Run]:
+        self.rarity = [rarity[t] for t in self.terms]
+        mean = sum(b - a for _, a, b in self.parts) / max(1, len(self.parts))
+        term, part, impact = [], [], []
+        for p, (n, a, b) in enumerate(self.parts):
+            own, times = np.unique(self.terms[n][a:b], return_counts=True)
+            weight = rarity[own] * times * (K1 + 1) / (times + K1 * (1 - B + B * (b - a) / mean))
+            term.append(own)
+            part.append(np.full(len(own), p))
+            impact.append(weight / (weight.sum() or 1.0))
+        term, part, impact = np.concatenate(term), np.concatenate(part), np.concatenate(impact)
+        order = np.lexsort((part, term))
+        self.part, self.impact = part[order], impact[order]
+        self.starts = np.searchsorted(term[order], np.arange(len(self.vocabulary) + 1))
+        blocks = -(-len(self.parts) // BLOCK_PARTS)
+        key = term[order] * blocks + self.part // BLOCK_PARTS
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.block, self.block_top = key[first] % blocks, np.maximum.reduceat(self.impact, first)
+        self.block_starts = np.searchsorted(key[first] // blocks, np.arange(len(self.vocabulary) + 1))
+        self.top = np.maximum.reduceat(self.impact, self.starts[:-1])
+        sizes = np.array([b - a for _, a, b in self.parts])
+        self.part_starts = np.cumsum(sizes) - sizes
+        self.part_rarity = np.concatenate([self.rarity[n][a:b] for n, a, b in self.parts])
+        self.part_weight = np.maximum(np.add.reduceat(self.part_rarity, self.part_starts), 1e-9)
+        codes = np.concatenate([(p << 31) | self.words[n][a:b] for p, (n, a, b) in enumerate(self.parts)])
+        order = np.argsort(codes, kind="stable")
+        self.part_codes, self.part_places = codes[order], np.concatenate([np.arange(n) for n in sizes])[order]
+
+    def search(self, passage: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """(passage, part) of every score of at least the threshold; ``passage`` is sorted, its terms are distinct.
+
+        A passage's terms are put in rising order of their largest impact. Those before the pivot, where the sum of
+        largest impacts reaches the threshold, can't bring a part there alone: only blocks with a posting of a later
+        term are looked at, if the sum of the block's largest impacts reaches it, and only their parts are scored.
+        """
+        order = np.lexsort((self.top[term], passage))
+        passage, term = passage[order], term[order]
+        total = np.cumsum(self.top[term])
+        first = np.flatnonzero(np.diff(passage, prepend=-1))
+        before = np.repeat((total - self.top[term])[first], np.diff(np.append(first, len(passage))))
+        late = np.flatnonzero(total - before >= THRESHOLD - 1e-9)
+        blocks, parts = -(-len(self.parts) // BLOCK_PARTS), len(self.parts)
+        row, at = spread(self.block_starts[term[late]], np.diff(self.block_starts)[term[late]])
+        seen = np.unique(passage[late][row] * blocks + self.block[at])
+        own = np.flatnonzero(np.isin(passage, seen // blocks))
+        row, at = spread(self.block_starts[term[own]], np.diff(self.block_starts)[term[own]])
+        bounds = self.summed(seen, passage[own][row] * blocks + self.block[at], self.block_top[at])
+        seen = seen[bounds >= THRESHOLD - 1e-9]
+        own = np.flatnonzero(np.isin(passage, seen // blocks))
+        row, at = spread(self.starts[term[own]], np.diff(self.starts)[term[own]])
+        inside = np.flatnonzero(np.isin(passage[own][row] * blocks + self.part[at] // BLOCK_PARTS, seen))
+        key = passage[own][row[inside]] * parts + self.part[at[inside]]
+        pairs = np.unique(key)
+        found = pairs[self.summed(pairs, key, self.impact[at[inside]]) >= THRESHOLD - 1e-9]
+        return np.stack([found // parts, found % parts], 1)
+
+    @staticmethod
+    def summed(keys: np.ndarray, key: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Sum of the values of each of the sorted ``keys``; other values count nowhere."""
+        if not len(keys):
+            return np.empty(0)
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        same = keys[at] == key
+        return np.bincount(at[same], value[same], len(keys))
+
+
+def parts_of(length: int) -> list[tuple[int, int]]:
+    """An item's parts: of about ``PART`` tokens, the whole item if a passage's step can't miss it."""
+    count = max(1, length // PART) if length > PASSAGE - STRIDE + PART // 4 else min(1, length)
+    bounds = [length * n // count for n in range(count + 1)] if count else []
+    return list(zip(bounds, bounds[1:]))
+
+
+def passages_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Passages of the texts' term numbers: the text and beginning of each, then passage and term of each distinct known term."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    count = np.maximum(1, -(-(lengths - PASSAGE) // STRIDE) + 1)
+    text = np.repeat(np.arange(len(texts)), count)
+    begin = (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
+    offset = np.cumsum(lengths) - lengths
+    size = np.minimum(PASSAGE, lengths[text] - begin)
+    row, at = spread(offset[text] + begin, size)
+    term = np.concatenate(texts)[at] if len(texts) else np.empty(0, np.int64)
+    key = np.unique((row[term >= 0] << 32) | term[term >= 0])
+    return text, begin, key >> 32, key & (2**32 - 1)
+
+
+def places_of(index: ItemIndex, words: np.ndarray, ends: np.ndarray, begin: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """For each hit, of a passage that begins at ``begin`` and a part: the largest weight of its runs there that shift by less than ``DRIFT``, as a share of the part's.
+
+    ``words`` holds texts one after the other and ``ends`` the end of each hit's text. The surroundings of half a step on
+    either side belong to a passage, so every place of a part lies whole in one of them.
+    """
+    row, at = spread(begin, np.minimum(begin + PASSAGE + STRIDE, ends) - begin)
+    known = np.flatnonzero(words[at] >= 0)
+    row, at = row[known], at[known]
+    code = (part[row] << 31) | words[at]
+    low, high = np.searchsorted(index.part_codes, code), np.searchsorted(index.part_codes, code, side="right")
+    match, place = spread(low, high - low)
+    i = index.part_places[place]
+    key = np.sort((row[match] << 44) | ((at[match] - begin[row[match]] - i + 2 * PASSAGE + 2**14) << 20) | i)
+    way, i = key >> 20, key & (2**20 - 1)
+    first = np.flatnonzero((np.diff(way, prepend=-1) != 0) | (np.diff(i, prepend=0) > JUMP))
+    if not len(first):
+        return np.zeros(len(begin))
+    last = np.append(first[1:], len(i)) - 1
+    hit, count = way[first] >> 24, last + 1 - first
+    kept = (count >= LEAST_RUN) & (count >= 0.7 * (i[last] + 1 - i[first]))
+    weight = np.add.reduceat(index.part_rarity[index.part_starts[part[way >> 24]] + i], first)
+    hit, weight, shift = hit[kept], weight[kept], (way[first] & (2**24 - 1))[kept]
+    best = np.zeros(len(begin))
+    for half in (0, DRIFT // 2):
+        band = (hit << 24) | ((shift + half) // DRIFT)
+        ends_of = np.flatnonzero(np.diff(band, append=-1)) if len(band) else np.empty(0, np.int64)
+        total = np.diff(np.cumsum(weight)[ends_of], prepend=0.0)
+        np.maximum.at(best, hit[ends_of], total)
+    return best / index.part_weight[part]
+
+
+Run = tuple[int, int, int, int, np.ndarray]
+
+
+def runs(item: np.ndarray, text: np.ndarray) -> list[Run]:
     """Running passages: (item start, item end, text start, text end, item positions of equal tokens), by diagonals.
 
     A run holds equal tokens of one diagonal with at most ``JUMP`` - 1 differing ones between neighbours, and has at
     least ``LEAST_RUN`` equal tokens. Neighbouring diagonals (a word left out or put in) are joined afterwards.
     """
-    places: dict[str, list[int]] = {}
-    for i, w in enumerate(item):
-        places.setdefault(w, []).append(i)
-    diagonals: dict[int, list[int]] = {}
-    for j, w in enumerate(text):
-        for i in places.get(w, ()):
-            diagonals.setdefault(j - i, []).append(i)
-    out: list[Run] = []
-    for d, at in diagonals.items():
-        if len(at) < LEAST_RUN:
-            continue
-        own: list[int] = []
-        for i in [*at, 10**9]:
-            if own and i - own[-1] > JUMP:
-                if len(own) >= LEAST_RUN and len(own) >= 0.7 * (own[-1] + 1 - own[0]):
-                    out.append((own[0], own[-1] + 1, own[0] + d, own[-1] + 1 + d, own))
-                own = []
-            own.append(i)
-    return out
+    order = np.argsort(item, kind="stable")
+    low, high = np.searchsorted(item[order], text), np.searchsorted(item[order], text, side="right")
+    row, at = spread(low, np.where(text < 0, 0, high - low))
+    i = order[at]
+    way = row - i
+    order = np.lexsort((i, way))
+    i, way = i[order], way[order]
+    first = np.flatnonzero((np.diff(way, prepend=way[:1] - 1) != 0) | (np.diff(i, prepend=0) > JUMP))
+    ends = np.append(first[1:], len(i))
+    length = i[ends - 1] + 1 - i[first] if len(i) else np.empty(0, np.int64)
+    kept = np.flatnonzero((ends - first >= LEAST_RUN) & (ends - first >= 0.7 * length))
+    return [(int(i[a]), int(i[b - 1]) + 1, int(i[a] + way[a]), int(i[b - 1] + way[a]) + 1, i[a:b]) for a, b in zip(first[kept].tolist(), ends[kept].tolist())]
 
 
 def joined(pieces: list[Run]) -> list[Run]:
@@ -154,20 +237,20 @@ def joined(pieces: list[Run]) -> list[Run]:
         else:
             q = out[n]
             ends[q[3], q[1]].remove(n)
-            out[n] = (q[0], r[1], q[2], r[3], [*q[4], *(i for i in r[4] if i > q[4][-1])])
+            out[n] = (q[0], r[1], q[2], r[3], np.append(q[4], r[4][r[4] > q[4][-1]]))
         ends.setdefault((out[n][3], out[n][1]), []).append(n)
     return out
 
 
-def share_held(item: list[str], rarity: list[float], text: list[str]) -> tuple[float, float]:
+def share_held(item: np.ndarray, rarity: np.ndarray, text: np.ndarray) -> tuple[float, float]:
     """Of the item, the share of tokens and of their rarity in the text's best running passage, broken at most once.
 
     Both parts of a broken passage stand in the item's order. The best later part of each run comes from a sweep over
     falling text places; ``best`` holds, for each place in the item, the best run that begins there or later.
     """
     pieces = joined(runs(item, text))
-    length, whole = max(1, len(item)), sum(rarity) or 1.0
-    weight = [sum(rarity[i] for i in r[4]) for r in pieces]
+    length, whole = max(1, len(item)), float(rarity.sum()) or 1.0
+    weight = [float(rarity[r[4]].sum()) for r in pieces]
     top = (0.0, 0.0)
     later = sorted(range(len(pieces)), key=lambda n: -pieces[n][2])
     best: list[tuple[float, int, int]] = [(0.0, 0, 0)] * (len(item) + 1)
@@ -189,13 +272,22 @@ def share_held(item: list[str], rarity: list[float], text: list[str]) -> tuple[f
     return top[1], top[0]
 
 
+def _number(index: ItemIndex) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = [index.numbers(tokens(t)).astype("<i4").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.binary())], names=["doc_id", "words"])
+
+    return run
+
+
 def _count(index: ItemIndex) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(len(index.vocabulary), np.int64)
         for batch in batches:
-            for text in batch.column(1).to_pylist():
-                known = {index.vocabulary.get(t, -1) for t in terms(tokens(text))} - {-1}
-                seen[list(known)] += 1
+            for words in batch.column(1).to_pylist():
+                held = np.unique(index.known(np.frombuffer(words, "<i4").astype(np.int64)))
+                seen[held[held >= 0]] += 1
         held = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(seen[held])], names=["term", "n"])
 
@@ -203,19 +295,34 @@ def _count(index: ItemIndex) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 
 def _scan(index: ItemIndex) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    item_of = np.array([n for n, _, _ in index.parts])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            texts = [np.frombuffer(w, "<i4").astype(np.int64) for w in batch.column(1).to_pylist()]
             docs, items, shares = [], [], []
-            texts = [tokens(t) for t in batch.column(1).to_pylist()]
-            parts = [passages_of(index, words) for words in texts]
-            owner = [n for n, p in enumerate(parts) for _ in p]
-            near = dict.fromkeys((owner[passage], item) for passage, item in index.search([p for ps in parts for p in ps]))
-            for doc, item in near:
-                share, weight = share_held(index.words[item], index.rarity[item], texts[doc])
-                if share >= LEAST_SHARE and weight >= LEAST_WEIGHT:
-                    docs.append(batch.column(0)[doc].as_py())
-                    items.append(index.ids[item])
-                    shares.append(share)
+            first = 0
+            while first < len(texts):
+                last, size = first, 0
+                while last < len(texts) and (last == first or size < SEARCHED):
+                    size += len(texts[last])
+                    last += 1
+                near = texts[first:last]
+                owner, begin, passage, term = passages_of([index.known(t) for t in near])
+                hits = index.search(passage, term)
+                lengths = np.array([len(t) for t in near], np.int64)
+                offset = np.cumsum(lengths) - lengths
+                text = owner[hits[:, 0]]
+                held = places_of(index, np.concatenate(near), (offset + lengths)[text], offset[text] + np.maximum(0, begin[hits[:, 0]] - STRIDE // 2), hits[:, 1])
+                hits = hits[held >= LEAST_WEIGHT / 2 - 1e-9]
+                for key in np.unique(owner[hits[:, 0]] * len(index.ids) + item_of[hits[:, 1]]).tolist():
+                    doc, item = first + key // len(index.ids), key % len(index.ids)
+                    share, weight = share_held(index.words[item], index.rarity[item], texts[doc])
+                    if share >= LEAST_SHARE and weight >= LEAST_WEIGHT:
+                        docs.append(batch.column(0)[doc].as_py())
+                        items.append(index.ids[item])
+                        shares.append(share)
+                first = last
             yield pa.RecordBatch.from_arrays([pa.array(docs, batch.schema.field(0).type), pa.array(items, pa.int64()), pa.array(shares, pa.float64())], names=["doc_id", "item_id", "share"])
 
     return run
@@ -224,26 +331,31 @@ def _scan(index: ItemIndex) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 def leaked_items(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, share) of every document that holds at least half of a test item's wording.
 
-    Items form an inverted index that goes to every task (at most ``INDEX_ITEMS`` items; further items are searched
-    by further passes). Each overlapping passage of each text retrieves all items whose BM25 score reaches
-    ``THRESHOLD`` of the item's own score, with block-max pruning; term rarity is counted over the corpus. A retrieved item is then verified token by token
+    The parts of the items form an inverted index that goes to every task (items of at most ``INDEX_TOKENS`` characters, as the
+    test material is small; further items are searched by further passes). Each overlapping passage of each text
+    (written once as word numbers) retrieves all parts whose BM25 score reaches ``THRESHOLD`` of their own, by block-max pruning behind a pivot; term
+    rarity is counted over the corpus. Of an item that is half held in at most two places, one place holds a quarter
+    of a part at least; passages without such a place are passed over, and the item is then verified token by token
     against the whole text. Items or texts that are null or without tokens hold nothing; repeated document rows
     give one row, repeated items one row for each item id. Rows without ids are left out.
     """
     rows = items.select(F.col("item_id").cast("bigint"), F.col("text"), F.col("lang")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     texts = documents.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     found, total = None, texts.count()
-    shards = -(-rows.count() // INDEX_ITEMS)
+    length = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    shards = -(-length // INDEX_TOKENS)
     for n in range(shards):
         part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == n).orderBy("lang", "item_id", "text")
         index = ItemIndex([(r[0], r[1]) for r in part.collect() if tokens(r[1])])
         if index.ids:
-            counts = texts.mapInArrow(_count(index), "term bigint, n bigint").groupBy("term").agg(F.sum("n")).collect()
+            kind = texts.schema["doc_id"].dataType.simpleString()
+            numbered = written(texts.mapInArrow(_number(index), f"doc_id {kind}, words binary"))
+            counts = numbered.mapInArrow(_count(index), "term bigint, n bigint").groupBy("term").agg(F.sum("n")).collect()
             seen = np.zeros(len(index.vocabulary))
             for term, n in counts:
                 seen[term] = n
             index.weigh(seen, total)
-            hits = texts.mapInArrow(_scan(index), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, item_id bigint, share double")
+            hits = numbered.mapInArrow(_scan(index), f"doc_id {kind}, item_id bigint, share double")
             found = hits if found is None else found.unionByName(hits)
     if found is None:
         return documents.sparkSession.createDataFrame([], f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, item_id bigint, share double")

@@ -351,15 +351,36 @@ def test_leaks(spark):
     assert leakage.leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), empty).count() == 0
 
 
+def numbered(*texts):
+    known = {w: n for n, w in enumerate(sorted(set(texts[0])))}
+    return [np.array([known.get(w, -1) for w in t]) for t in texts]
+
+
+@pytest.mark.parametrize("length", [50, 110, 125, 200, 450, 480, 600, 1000, 5000])
+def test_items_of_any_length_are_found(spark, length):
+    """Copies of a whole item, of either half, and of two far quarters, every tenth word changed."""
+    rng = random.Random(length)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    words = [word() for _ in range(length)]
+    noise = lambda n: [word() for _ in range(n)]
+    changed = [word() if n % 10 == 3 else w for n, w in enumerate(words)]
+    half, quarter = length // 2 + 2, length // 4 + 3
+    docs = [words, noise(300) + words[:half] + noise(90), noise(77) + words[-half:], noise(40) + changed + noise(5), noise(9) + words[:quarter] + noise(700) + words[-quarter:], noise(2 * length), words[: length // 3] + noise(50)]
+    df = spark.createDataFrame([(n, " ".join(d)) for n, d in enumerate(docs)] + [(100 + n, " ".join(noise(60))) for n in range(30)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, " ".join(words), "en"), (2, " ".join(noise(60)), "en")], "item_id bigint, text string, lang string")
+    assert {(r.doc_id, r.item_id) for r in leakage.leaked_items(df, items).collect()} == {(n, 1) for n in range(5)}
+
+
 def test_no_run_is_cut_off():
     item = [f"w{i}" for i in range(40)]
     stock, gap = item[:9], ["x"] * 6
     # 70 stock phrases that weigh more than the second part of a passage broken once
     text = (stock + gap) * 70 + item[10:25] + gap + item[26:34]
-    share, weight = leakage.share_held(item, [1.0] * 40, text)
+    item, text = numbered(item, text)
+    share, weight = leakage.share_held(item, np.ones(40), text)
     assert weight >= 23 / 40 and share >= 23 / 40
     # a part that continues another after nine runs that begin in between
-    parts = [(0, 20, 0, 20, list(range(20))), *((30, 34, 5 + i, 9 + i, [30, 31, 32, 33]) for i in range(9)), (21, 30, 21, 30, list(range(21, 30)))]
+    parts = [(0, 20, 0, 20, np.arange(20)), *((30, 34, 5 + i, 9 + i, np.arange(30, 34)) for i in range(9)), (21, 30, 21, 30, np.arange(21, 30))]
     assert any(r[0] == 0 and r[1] == 30 for r in leakage.joined(parts))
 
 
@@ -368,7 +389,8 @@ def test_share_held_equals_all_pairs():
     for _ in range(60):
         item = [f"w{rng.randrange(12)}" for _ in range(30)]
         text = [t for _ in range(12) for at in [rng.randrange(25)] for t in [*item[at : at + rng.randint(4, 12)], "x", "y", "z"]]
-        rarity = [1.0 + i % 3 for i in range(30)]
+        rarity = np.array([1.0 + i % 3 for i in range(30)])
+        item, text = numbered(item, text)
         runs = leakage.joined(leakage.runs(item, text))
         weigh = lambda r: sum(rarity[i] for i in r[4])
         most = max([weigh(a) for a in runs] + [weigh(a) + weigh(b) for a in runs for b in runs if b[0] >= a[1] - 1 and b[2] >= a[3] - 1], default=0)
