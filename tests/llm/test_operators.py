@@ -465,25 +465,24 @@ def test_mentions(spark, monkeypatch):
     assert personal.mentions(df.limit(0), parts).count() == 0
 
 
-@pytest.mark.parametrize("length", [40, 49, 70, 130, 400])
-def test_long_mentions_at_every_place(monkeypatch, length):
-    """A mention longer than the overlap of windows is found whole wherever it begins."""
-    import pyarrow as pa
-
-    class Codes:
-        table = staticmethod(lambda: None)
-        encode = staticmethod(lambda table, text: np.array([ord(c) for c in text], np.int32))
-
-    def tagged(model, x):
-        tags = np.where((x > 32), 2 + 2 * personal.KINDS.index("email"), 0)
-        begins = (x > 32) & (np.concatenate([np.zeros((1, x.shape[1]), x.dtype), x[:-1]]) <= 32)
-        return np.where(begins, tags - 1, tags)
-
-    monkeypatch.setattr(personal, "Alphabet", Codes)
-    monkeypatch.setattr(personal, "decode", tagged)
+@pytest.mark.parametrize("length", [40, 48, 49, 70, 130, 400])
+def test_long_mentions_at_every_place(length):
+    """A mention longer than the overlap of windows is found whole wherever it begins, also where it leaves the scored windows."""
+    email = 1 + 2 * personal.KINDS.index("email")
+
+    def score(parts):
+        out = []
+        for part in parts:
+            x = np.array([c != " " for c in part])
+            scores = np.zeros((len(part), tagger.TAGS), np.float32)
+            scores[:, 0] = np.where(x, -4, 4)
+            scores[:, email + 1] = np.where(x, 4, -4)
+            scores[np.flatnonzero(np.diff(x.astype(int), prepend=0) > 0), email] = 6
+            out.append(scores)
+        return out
+
     mention = "m" * 20 + "@" + "n" * (length - 24) + ".ex"
-    texts = [" " * at + mention + " " * 300 for at in range(260)]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(260), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
-    (found,) = personal._find({}, Codes, personal.OPENERS, personal.Names([]))(iter([batch]))
-    rows = zip(*(found.column(c).to_pylist() for c in ("doc_id", "start_pos", "end_pos")))
-    assert sorted(rows) == [(at, at, at + length) for at in range(260)]
+    texts = [" " * at + mention + " " * 300 for at in range(400)]
+    found = list(personal.found_in(texts, score, np.zeros((tagger.TAGS, tagger.TAGS), np.float32), personal.OPENERS))
+    assert sorted(f[:4] for f in found) == [(at, at, at + length, "email") for at in range(400)]
+
