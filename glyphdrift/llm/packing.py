@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphdrift.session import written
+
 CAPACITY = 2_048
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-#: Items of one block. A block wastes at most about a container, so larger blocks gain nothing.
-BLOCK_ITEMS = 20_000
+#: Pieces of one block. A block wastes at most about a container, so larger blocks gain nothing.
+BLOCK_PIECES = 20_000
 
 
 def encoder(path: str) -> object:
@@ -132,7 +134,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     ``items`` has item and size; of a repeated item the largest size counts. An item larger than the capacity is
     cut into pieces, all but the last of them full, and only such an item is cut. Items of size 0, null size or
-    null item take no room and are left out. Items are spread evenly over blocks by a hash; each block is packed by
+    null item take no room and are left out. ``items`` is read twice, so its sizes should be materialised. Pieces are spread evenly over blocks by a hash; each block is packed by
     best-two-fit, full pieces fill a container alone. An empty table gives no rows.
     """
     kind = items.schema["item"].dataType.simpleString()
@@ -140,12 +142,13 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     pieces = one.select(
         "item", F.posexplode(F.sequence(F.lit(0).cast("bigint"), F.col("whole") - 1, F.lit(capacity).cast("bigint"))).alias("piece", "start"), "whole"
     ).select("item", "piece", "start", F.least(F.col("whole") - F.col("start"), F.lit(capacity)).cast("bigint").alias("size"))
-    blocks = max(1, math.ceil(items.count() / BLOCK_ITEMS))
+    count = one.agg(F.sum(F.ceil(F.col("whole") / capacity))).first()[0] or 0
+    blocks = max(1, math.ceil(int(count) / BLOCK_PIECES))
     blocked = pieces.withColumn("block", F.pmod(F.xxhash64("item", "piece"), F.lit(blocks)))
     return blocked.groupBy("block").applyInArrow(_pack(capacity), PACKED.format(kind))
 
 
 def packed_documents(documents: DataFrame, capacity: int = CAPACITY, path: str = TOKENIZER) -> DataFrame:
     """Layout of ``documents.text`` (problem 8)."""
-    out = pack(token_sizes(documents, "doc_id", "text", path), capacity)
+    out = pack(written(token_sizes(documents, "doc_id", "text", path)), capacity)
     return out.select("container", "place", F.col("item").alias("doc_id"), "piece", F.col("start").alias("start_token"), F.col("size").alias("n_tokens"))
