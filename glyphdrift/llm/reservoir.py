@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from glyphdrift.operators.latest import latest_rows
 
 FAN = 64  # reservoirs merged at once
-LEVELS = 3  # enough for FAN ** LEVELS partitions
+LEVELS = 6  # FAN ** LEVELS is more than any number of partitions
 
 
 class Reservoir:
