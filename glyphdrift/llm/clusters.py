@@ -15,14 +15,16 @@ from glyphdrift.llm.vectors import decode, latest_codes
 from glyphdrift.session import materialise
 
 DIMENSIONS = 12  # reduced features
-LARGEST = 12  # components tried: 1 to this
+LARGEST = 12  # components tried at first: 1 to this; where most are best, up to twice as many, and so on
 RIDGE = 0.05  # added to the diagonal of every covariance, in standardised units
 SEED_ROWS = 4_000  # rows of each key on which starting values are found; all rows take part in the fit
-ITERATIONS = 4  # rounds over all rows
+GAIN = 1e-4  # log likelihood of a row: a mixture whose last round gained less has converged
+ROUNDS = 100  # rounds over all rows at most, far beyond what convergence takes
+HOPE = 10  # a mixture is given up when its criterion is worse than the best by more than so many times what the last round gained
 LEAST_ROWS = 10  # keys with fewer usable vectors get no clusters
 COHERENCE = 0.5  # least mean cosine of a cluster's members to its direction
 MERGE = 0.8  # components whose directions are as similar are one cluster
-MOST_KEYS = 5_000  # models of so many keys fit on the driver and in a task; more need several calls
+KEYS_AT_ONCE = 500  # keys whose models are held on the driver and in the tasks at a time
 MEMBER = 0.45  # least cosine of a member to its cluster's direction
 
 
@@ -92,9 +94,12 @@ def start(x: np.ndarray, k: int, seed: int) -> Mixture:
     d = x.shape[1]
     spread = np.mean([x[nearest == j].var(0).mean() for j in range(k) if (nearest == j).any()]) + RIDGE
     mixture = Mixture(np.array([0.02, *([0.98 / k] * k)]), np.vstack([np.zeros(d), centres]), np.array([np.eye(d), *([spread * np.eye(d)] * k)])).prepare()
-    nothing = np.empty((len(x), 0))
-    for _ in range(15):
-        mixture = mixture.updated(mixture.statistics(x, nothing))
+    nothing, last = np.empty((len(x), 0)), -np.inf
+    for _ in range(ROUNDS):
+        stats = mixture.statistics(x, nothing)
+        if stats[-1, 0] - last < GAIN * len(x):
+            break
+        last, mixture = stats[-1, 0], mixture.updated(stats)
     return mixture
 
 
@@ -187,11 +192,13 @@ class Clusters:
         return np.where(cosine >= MEMBER, cluster, -1), density, cosine
 
 
-def choose(space: Space, tried: dict[int, tuple[Mixture, np.ndarray]], n: float, size: int) -> Clusters:
-    """The mixture of least information criterion (BIC); its coherent components, like ones merged."""
-    d = space.axes.shape[1]
-    bic = {k: -2 * stats[-1, 0] + k * (1 + d + d * (d + 1) / 2) * np.log(n) for k, (_, stats) in tried.items()}
-    mixture, stats = tried[min(bic, key=bic.get)]
+def criterion(k: int, likelihood: float, n: float, d: int) -> float:
+    """BIC of a mixture with k components beside the background."""
+    return -2 * likelihood + k * (1 + d + d * (d + 1) / 2) * np.log(n)
+
+
+def choose(space: Space, mixture: Mixture, stats: np.ndarray, size: int) -> Clusters:
+    """The mixture's coherent components; those of one direction are one cluster."""
     mass, sums = stats[:-1, 0], stats[:-1, -size:]
     resultant = np.linalg.norm(sums, axis=1) / np.maximum(mass, 1e-9)
     groups: list[np.ndarray] = []
@@ -210,38 +217,91 @@ def choose(space: Space, tried: dict[int, tuple[Mixture, np.ndarray]], n: float,
     return Clusters(space, mixture, cluster, np.array([g / np.linalg.norm(g) for g in groups]).reshape(-1, size))
 
 
+def _starts(spaces: dict[str, Space], least: dict[str, int], size: int) -> Callable[[pa.Table], pa.Table]:
+    """Starting mixtures of one key from its sampled rows: of ``least`` to twice as many components (1 to ``LARGEST`` at first)."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        key = rows["key"][0].as_py()
+        x = spaces[key].reduce(decode(pa.array(sorted(rows["code"].to_pylist()), pa.binary()), size).astype(np.float64))
+        first = least[key]
+        last = max(first, min(LARGEST if first == 1 else 2 * first - 1, len(x) // LEAST_ROWS))
+        found = {k: start(x, k, 7) for k in range(first, last + 1)}
+        bodies = [np.concatenate([m.weights, m.means.ravel(), m.covariances.ravel()]).astype("<f8").tobytes() for m in found.values()]
+        return pa.table({"key": pa.array([key] * len(found), pa.string()), "k": pa.array(list(found), pa.int32()), "body": pa.array(bodies, pa.binary())})
+
+    return run
+
+
+def _mixture(body: bytes, k: int) -> Mixture:
+    values = np.frombuffer(body, "<f8")
+    d = round((-1 + np.sqrt(1 + 4 * (len(values) / (k + 1) - 1))) / 2)
+    cut = [k + 1, (k + 1) * (1 + d)]
+    return Mixture(values[: cut[0]], values[cut[0] : cut[1]].reshape(k + 1, d).copy(), values[cut[1] :].reshape(k + 1, d, d).copy()).prepare()
+
+
 def fit(rows: DataFrame, size: int) -> dict[str, Clusters]:
-    """Models of all keys of ``rows`` (key, code), by a fixed number of passes over all rows.
+    """Models of all keys of ``rows`` (key, code).
 
-    Each pass computes the sums of the expectation step inside the tasks for every number of components at once;
-    a dominant key is therefore spread over all tasks. Only starting values come from a bounded sample.
+    Each pass over the rows computes the sums of the expectation step inside the tasks, for every mixture that is still
+    in question, so a dominant key is spread over all tasks. Starting values come from a bounded sample, fitted to
+    convergence in a task for each key. A mixture has converged when a round over all rows gains less than ``GAIN`` a
+    row; one whose BIC can't become the best any more is given up before. Where the largest number of components
+    is best, larger ones are tried.
     """
     moments = summed(rows, lambda key, u: {0: np.concatenate([[len(u)], u.sum(0), (u.T @ u).ravel()])}, size)
     counts = {k: m[0][0] for k, m in moments.items() if m[0][0] >= LEAST_ROWS}
-    if not counts:
-        return {}
-    if len(counts) > MOST_KEYS:
-        raise ValueError(f"{len(counts)} keys; cluster at most {MOST_KEYS} in one call")
     spaces = {k: space_of(moments[k][0][0], moments[k][0][1 : 1 + size], moments[k][0][1 + size :].reshape(size, size)) for k in counts}
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SEED_ROWS / n))]), F.col("key"))
-    seeds: dict[str, list[bytes]] = {}
-    for key, code in rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000).select("key", "code").collect():
-        if key in counts:
-            seeds.setdefault(key, []).append(bytes(code))
-    mixtures: dict[str, dict[int, Mixture]] = {}
-    for key, codes in seeds.items():
-        x = spaces[key].reduce(decode(pa.array(sorted(codes), pa.binary()), size).astype(np.float64))
-        mixtures[key] = {k: start(x, k, 7) for k in range(1, max(2, min(LARGEST, len(x) // LEAST_ROWS)) + 1)}
-
-    def expect(key: str, u: np.ndarray) -> dict[int, np.ndarray]:
-        x = spaces[key].reduce(u) if key in mixtures else None
-        return {} if x is None else {k: m.statistics(x, u).ravel() for k, m in mixtures[key].items()}
-
-    for turn in range(ITERATIONS):
-        stats = {key: {k: s.reshape(k + 2, -1) for k, s in by_k.items()} for key, by_k in summed(rows, expect, size).items()}
-        if turn < ITERATIONS - 1:
-            mixtures = {key: {k: mixtures[key][k].updated(s) for k, s in by_k.items()} for key, by_k in stats.items()}
-    return {key: choose(spaces[key], {k: (mixtures[key][k], s) for k, s in by_k.items()}, counts[key], size) for key, by_k in stats.items()}
+    found: dict[str, tuple[float, Mixture, np.ndarray]] = {}
+    least = dict.fromkeys(counts, 1)
+    spark = rows.sparkSession
+    while least:
+        shares = spark.createDataFrame([(k, float(min(1.0, SEED_ROWS / counts[k]))) for k in least], "key string, share double")
+        some = rows.join(F.broadcast(shares), "key").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("share") * 1_000_000).select("key", "code")
+        begun = some.groupBy("key").applyInArrow(_starts(spaces, least, size), "key string, k int, body binary").collect()
+        tried: dict[str, dict[int, Mixture]] = {}
+        for key, k, body in begun:
+            tried.setdefault(key, {})[k] = _mixture(bytes(body), k)
+        best = converged(rows.join(F.broadcast(shares.drop("share")), "key") if len(least) < len(counts) else rows, spaces, tried, counts, size)
+        at_top = {}
+        for key, (value, mixture, stats) in best.items():
+            if key not in found or value < found[key][0]:
+                found[key] = (value, mixture, stats)
+                top = max(tried[key])
+                if len(mixture.means) - 1 == top >= LARGEST and counts[key] >= 2 * (top + 1) * LEAST_ROWS:
+                    at_top[key] = top + 1
+        least = at_top
+    return {key: choose(spaces[key], mixture, stats, size) for key, (_, mixture, stats) in found.items()}
+
+
+def converged(rows: DataFrame, spaces: dict[str, Space], tried: dict[str, dict[int, Mixture]], counts: dict[str, float], size: int) -> dict[str, tuple[float, Mixture, np.ndarray]]:
+    """Of each key the mixture of least BIC among those tried, with its criterion and sums, fitted to convergence."""
+    best: dict[str, tuple[float, Mixture, np.ndarray]] = {}
+    open_ones = {key: dict(by_k) for key, by_k in tried.items()}
+    last: dict[tuple[str, int], float] = {}
+    for _ in range(ROUNDS):
+
+        def expect(key: str, u: np.ndarray, models: dict[str, dict[int, Mixture]] = open_ones) -> dict[int, np.ndarray]:
+            if key not in models:
+                return {}
+            x = spaces[key].reduce(u)
+            return {k: m.statistics(x, u).ravel() for k, m in models[key].items()}
+
+        after: dict[str, dict[int, Mixture]] = {}
+        for key, by_k in summed(rows, expect, size).items():
+            d, n = spaces[key].axes.shape[1], counts[key]
+            values = {k: criterion(k, s.reshape(k + 2, -1)[-1, 0], n, d) for k, s in by_k.items()}
+            gains = {k: last.get((key, k), np.inf) - v for k, v in values.items()}
+            for k, v in values.items():
+                last[key, k] = v
+                if key not in best or v < best[key][0]:
+                    best[key] = (v, open_ones[key][k], by_k[k].reshape(k + 2, -1))
+            for k, v in values.items():
+                if gains[k] > 2 * GAIN * n and v - HOPE * gains[k] < best[key][0] + GAIN * n:
+                    after.setdefault(key, {})[k] = open_ones[key][k].updated(by_k[k].reshape(k + 2, -1))
+        open_ones = after
+        if not open_ones:
+            break
+    return best
 
 
 def _assign(models: dict[str, Clusters], size: int) -> Callable[[Batches], Batches]:
@@ -273,12 +333,17 @@ def similarity_clusters(df: DataFrame, ident: str, key: str, vector: str, order:
     vector and keys of fewer than ``LEAST_ROWS`` such rows. Length plays no part. Nothing for an empty table.
     """
     rows = materialise(latest_codes(df, [key], vector, size, ident, order).select(F.col(ident).alias("id"), F.col(key).cast("string").alias("key"), "code").where("key IS NOT NULL"))
-    models = fit(rows, size)
-    members = rows.select("key", "code", "id").mapInArrow(_assign(models, size), f"id {rows.schema['id'].dataType.simpleString()}, key string, cluster int, density double, cosine double")
+    kind = f"id {rows.schema['id'].dataType.simpleString()}, key string, cluster int, density double, cosine double"
+    ranges = max(1, -(-rows.select("key").distinct().count() // KEYS_AT_ONCE))
+    members = None
+    for n in range(ranges):
+        own = rows if ranges == 1 else rows.where(F.pmod(F.xxhash64("key"), F.lit(ranges)) == n)
+        some = own.select("key", "code", "id").mapInArrow(_assign(fit(own, size), size), kind)
+        members = some if members is None else members.unionByName(some)
     members = materialise(members)
     least = members.groupBy("key", "cluster").agg(F.min("id").alias("cluster_key"))
-    # at most LARGEST rows for each key that has a model, and all models are on the driver
-    return members.join(F.broadcast(least), ["key", "cluster"]).select("id", "key", "cluster_key", "density", "cosine")
+    # a few rows for each key, so the size is checked where there are many keys
+    return members.join(F.broadcast(least) if ranges == 1 else least, ["key", "cluster"]).select("id", "key", "cluster_key", "density", "cosine")
 
 
 def typical_members(members: DataFrame, count: int = 8) -> DataFrame:
