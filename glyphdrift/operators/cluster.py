@@ -14,7 +14,9 @@ from pyspark.sql import Window as W
 from glyphdrift.functions.vectors import as_matrix, distance
 from glyphdrift.session import materialise
 
-START_ROWS = 2_000  # rows of a group on which starting centroids are found; all rows take part in the rounds
+START_ROWS = 30_000  # rows of a group on which the best of several starts is found; larger groups go on over all their rows
+TRIAL_ROWS = 3_000  # rows on which the starts are compared
+STARTS, ROUNDS, TOLERANCE = 10, 300, 1e-4  # starts, rounds at most, and the squared shift (in variances) below which centroids stand still
 MOST_GROUPS = 5_000  # centroids of so many groups fit on the driver and in a task; more need several calls
 Batches = Iterator[pa.RecordBatch]
 Key = str
@@ -92,25 +94,71 @@ def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres**2).sum(1) - 2 * points @ centres.T).argmin(1)
 
 
-def grouped_kmeans(rows: DataFrame, k: dict[Key, int], size: int, rounds: int = 8, seed: int = 42, spaces: dict[Key, np.ndarray] | None = None) -> dict[Key, np.ndarray]:
+def settled(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The centroids moved until they stand still; one without rows stays where it is."""
+    still = TOLERANCE * points.var(0).mean()
+    for _ in range(ROUNDS):
+        label = nearest(points, centres)
+        own = (label == np.arange(len(centres))[:, None]).astype(points.dtype)
+        size = own.sum(1, keepdims=True)
+        moved = np.where(size > 0, own @ points / np.maximum(size, 1), centres)
+        shift, centres = ((moved - centres) ** 2).sum(), moved
+        if shift <= still:
+            break
+    return centres
+
+
+def lloyd(points: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Centroids of k-means: the best by inertia of ``STARTS`` starts on at most about ``TRIAL_ROWS`` rows, settled on all."""
+    some = points[:: max(1, len(points) // TRIAL_ROWS)]
+    tries = [settled(some, _start(some, k, seed + n)) for n in range(STARTS)]
+    return settled(points, min(tries, key=lambda c: ((some - c[nearest(some, c)]) ** 2).sum()))
+
+
+def grouped_kmeans(rows: DataFrame, k: dict[Key, int], counts: dict[Key, int], size: int, seed: int = 42, spaces: dict[Key, np.ndarray] | None = None) -> dict[Key, np.ndarray]:
     """Centroids of each group of ``rows`` (grp, id, vec), all groups fitted in the same passes over the rows.
 
-    Starting centroids come from at most about ``START_ROWS`` rows of a group, each round uses all rows. ``spaces``
-    maps a group's vectors into fewer dimensions first (a matrix whose first row is the mean to subtract).
+    ``counts`` has the rows of each group. The best of several starts is found on about ``START_ROWS`` rows of a group, in
+    a task for each; groups with more rows go on from there, each round over all their rows, until they stand still.
+    ``spaces`` maps a group's vectors into fewer dimensions first (a matrix whose first row is the mean to subtract).
     """
     spaces = spaces or {}
-    counts = {key: int(n[0]) for key, n in grouped_sums(rows, lambda key, v: np.array([float(len(v))]), size).items() if key in k}
+    reduce = lambda key, v: (v - spaces[key][0]) @ spaces[key][1:].T if key in spaces else v
+
+    def begin(part: pa.Table) -> pa.Table:
+        key = part["grp"][0].as_py()
+        order = np.argsort(part["id"].to_numpy().astype(str), kind="stable")
+        points = reduce(key, as_matrix(part["vec"].combine_chunks(), size)[order])
+        body = np.concatenate([[points.var(0).mean()], lloyd(points, k[key], seed).ravel()])
+        return pa.table({"grp": part["grp"][:1], "body": pa.array([body.astype("<f8").tobytes()], pa.binary())})
+
     if not counts:
         return {}
-    share = F.element_at(F.create_map(*[F.lit(x) for key, n in counts.items() for x in (key, min(1.0, START_ROWS / n))]), F.col("grp"))
-    chosen: dict[Key, list[tuple[str, list[float]]]] = {}
-    for key, ident, vector in rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000).select("grp", "id", "vec").collect():
-        if key in counts:
-            chosen.setdefault(key, []).append((str(ident), vector))
-    reduce = lambda key, v: (v - spaces[key][0]) @ spaces[key][1:].T if key in spaces else v
-    centres = {key: _start(reduce(key, np.array([v for _, v in sorted(x)])), k[key], seed) for key, x in chosen.items()}
+    shares = rows.sparkSession.createDataFrame([(key, float(min(1.0, START_ROWS / n))) for key, n in counts.items() if key in k], "grp string, share double")
+    some = rows.select("grp", "id", "vec").join(F.broadcast(shares), "grp").where((F.col("share") == 1) | (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("share") * 1_000_000))
+    centres, still = {}, {}
+    for key, body in some.drop("share").groupBy("grp").applyInArrow(begin, "grp string, body binary").collect():
+        values = np.frombuffer(bytes(body), "<f8")
+        still[key] = TOLERANCE * values[0]
+        centres[key] = values[1:].reshape(-1, len(spaces[key]) - 1 if key in spaces else size)
+    moving = {key: centres[key] for key in centres if counts[key] > START_ROWS}
+    for _ in range(ROUNDS):
+        if not moving:
+            break
+        sums = grouped_sums(rows, _step(dict(moving), reduce), size)
+        for key, own in list(moving.items()):
+            s = sums[key].reshape(len(own), -1)
+            centres[key] = np.where(s[:, :1] > 0, s[:, 1:] / np.maximum(s[:, :1], 1), own)
+            moving[key] = centres[key]
+            if ((centres[key] - own) ** 2).sum() <= still[key]:
+                del moving[key]
+    return centres
+
+
+def _step(centres: dict[Key, np.ndarray], reduce: Callable[[Key, np.ndarray], np.ndarray]) -> Callable[[Key, np.ndarray], np.ndarray]:
+    """Number and sum of the vectors nearest to each centroid."""
 
-    def step(key: Key, vectors: np.ndarray) -> np.ndarray:
+    def run(key: Key, vectors: np.ndarray) -> np.ndarray:
         if key not in centres:
             return np.zeros(1)
         points, own = reduce(key, vectors), centres[key]
@@ -120,17 +168,7 @@ def grouped_kmeans(rows: DataFrame, k: dict[Key, int], size: int, rounds: int =
         np.add.at(out[:, 1:], label, points)
         return out.ravel()
 
-    for _ in range(rounds):
-        sums = grouped_sums(rows, step, size)
-        moved = {}
-        for key, own in centres.items():
-            s = sums[key].reshape(len(own), -1)
-            moved[key] = np.where(s[:, :1] > 0, s[:, 1:] / np.maximum(s[:, :1], 1), own)
-        done = all(np.allclose(moved[key], centres[key], atol=1e-6) for key in centres)
-        centres = moved
-        if done:
-            break
-    return centres
+    return run
 
 
 def assigned(rows: DataFrame, centres: dict[Key, np.ndarray], size: int, spaces: dict[Key, np.ndarray] | None = None) -> DataFrame:
@@ -211,6 +249,11 @@ def renumbered(rows: DataFrame, label: Column, numbers: dict[str, int]) -> DataF
     return rows.withColumn("label", label).join(F.broadcast(table), "label").select("grp", "id", "vec", F.col("new").alias("cluster"))
 
 
+def rows_of_labels(rows: DataFrame, labels: dict[str, int]) -> DataFrame:
+    """The labels as a table: at most a few for each of ``MOST_GROUPS`` groups, so it is broadcast."""
+    return F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in sorted(labels)], "label string"))
+
+
 @dataclass
 class Clustering:
     """Rows with their cluster (grp, id, vec, cluster), the merge steps and split clusters of each group."""
@@ -246,7 +289,7 @@ def over_clustered(rows: DataFrame, size: int, base_k: int = 20, pooled: bool =
     counts = {key: int(n[0]) for key, n in grouped_sums(rows, lambda key, v: np.array([float(len(v))]), size).items() if n[0] >= least_rows}
     if len(counts) > MOST_GROUPS:
         raise ValueError(f"{len(counts)} groups; cluster at most {MOST_GROUPS} in one call")
-    first = grouped_kmeans(rows, {key: base_k if pooled else adaptive_k(n, base_k) for key, n in counts.items()}, size)
+    first = grouped_kmeans(rows, {key: base_k if pooled else adaptive_k(n, base_k) for key, n in counts.items()}, counts, size)
     over = materialise(assigned(rows, first, size))
     sums = grouped_sums(over.withColumn("grp", cluster_label()), lambda key, v: np.concatenate([[len(v)], v.sum(0)]), size)
     found = {key: [sums.get(f"{i}|{key}") for i in range(len(centres))] for key, centres in first.items()}
@@ -277,9 +320,12 @@ def refined(over: Overclustering, merge_ratio: float = 0.95, split_ratio: float
     if not large:
         return Clustering(merged, merges, splits)
     merged = materialise(merged)
-    part = merged.where(cluster_label().isin(*large)).select(cluster_label().alias("grp"), "id", "vec")
-    spaces = {key: principal_axes(*m, min(50, int(m[0]), over.size)) for key, m in moments(part, over.size).items()}
-    within = assigned(part, grouped_kmeans(part, large, over.size, spaces=spaces), over.size, spaces)
+    labelled = merged.withColumn("label", cluster_label())
+    parts = rows_of_labels(labelled, large)
+    part = labelled.join(parts, "label", "left_semi").select(F.col("label").alias("grp"), "id", "vec")
+    found = moments(part, over.size)
+    spaces = {key: principal_axes(*m, min(50, int(m[0]), over.size)) for key, m in found.items()}
+    within = assigned(part, grouped_kmeans(part, large, {key: int(m[0]) for key, m in found.items()}, over.size, spaces=spaces), over.size, spaces)
     final: dict[str, int] = {}
     for key, n in kept.items():
         whole = [i for i in range(len(n)) if f"{i}|{key}" not in large]
@@ -289,7 +335,7 @@ def refined(over: Overclustering, merge_ratio: float = 0.95, split_ratio: float
             splits[key][i] = list(range(number, number + large[f"{i}|{key}"]))
             final |= {f"{i}|{key}|{p}": c for p, c in enumerate(splits[key][i])}
             number += large[f"{i}|{key}"]
-    same = merged.where(~cluster_label().isin(*large)).withColumn("old", F.concat(cluster_label(), F.lit("|")))
+    same = labelled.join(parts, "label", "left_anti").withColumn("old", F.concat("label", F.lit("|")))
     cut = within.withColumn("old", F.concat_ws("|", "grp", F.col("cluster").cast("string"))).withColumn("grp", F.regexp_replace("grp", r"^\d+\|", ""))
     both = same.select("grp", "id", "vec", "old").unionByName(cut.select("grp", "id", "vec", "old"))
     return Clustering(renumbered(both, F.col("old"), final), merges, splits)
