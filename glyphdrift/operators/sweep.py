@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 CONFIG_SCHEMA = "grp string, value double, k int, merge_ratio double, split_ratio double"
 
@@ -53,6 +54,13 @@ def best_run(runs: DataFrame, keys: list[str], ident: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min(F.struct(ident, "silhouette", "k_final")).alias("row")).select(*keys, "row.*")
 
 
+def top_runs(runs: DataFrame, keys: list[str], ident: str, count: int = 10) -> DataFrame:
+    """The ``count`` runs of highest silhouette with their place, ties to fewer clusters, then to the smaller name."""
+    order = [F.desc("silhouette"), F.col("k_final").asc_nulls_last(), F.col(ident)]
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return runs.where(F.col("silhouette").isNotNull()).withColumn("place", place).where(F.col("place") <= count)
+
+
 def baseline_run(runs: DataFrame, baseline: tuple[int, float, float]) -> DataFrame:
     """Runs whose parameters are the baseline's within 1e-9."""
     k, merge, split = baseline

@@ -159,18 +159,25 @@ def valid_dynasty_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("dynasty_category").agg(F.count("*").alias("n"), F.countDistinct("urn").alias("n_urn"))
 
 
-def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts by urn put together from the sentences of each reference: the last sentence that each one holds."""
+def _last_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By urn the last sentence that a reference holds."""
     rows = records(spark, sf_dir, "reference_id", "sentence").withColumn("urn", F.regexp_extract("reference_id", "[0-9]+", 0))
     return latest.upsert_last_wins(rows, "urn", "occ_id", "sentence").select(F.col("key").alias("urn"), F.col("sentence").alias("text"))
 
 
-TEXTS = f"(SELECT regexp_extract(reference_id, '[0-9]+') AS urn, arg_max(sentence, occ_id) AS text FROM {LATEST} GROUP BY 1)"
+@query(f"SELECT regexp_extract(reference_id, '[0-9]+') AS key, arg_max(sentence, occ_id) AS sentence FROM {LATEST} GROUP BY 1")
+def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _last_texts(spark, sf_dir).select(F.col("urn").alias("key"), F.col("text").alias("sentence"))
 
 
-@query(f"SELECT urn AS key, text AS sentence FROM {TEXTS}")
-def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(spark, sf_dir).select(F.col("urn").alias("key"), F.col("text").alias("sentence"))
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts by urn: the sentences of a reference, which is one chapter, put together in order."""
+    rows = records(spark, sf_dir, "reference_id", "sentence", "sentence_index").withColumn("urn", F.regexp_extract("reference_id", "[0-9]+", 0))
+    parts = F.array_sort(F.collect_list(F.struct(F.coalesce("sentence_index", F.lit(-1)).alias("i"), "occ_id", "sentence")))
+    return rows.where("sentence IS NOT NULL").groupBy("urn").agg(F.array_join(F.transform(parts, lambda p: p["sentence"]), "").alias("text"))
+
+
+TEXTS = f"(SELECT regexp_extract(reference_id, '[0-9]+') AS urn, string_agg(sentence, '' ORDER BY coalesce(sentence_index, -1), occ_id) AS text FROM {LATEST} WHERE sentence IS NOT NULL GROUP BY 1)"
 
 
 DONE = "(SELECT DISTINCT topurn || '_' || coalesce(title, '') AS text_id FROM metadata WHERE title LIKE '卷%')"
@@ -272,10 +279,10 @@ for _mode in REMOVED:
     _clean1(_mode)
 
 
-@query(f"{RULED} SELECT dynasty_category, count(*) AS total, count(*) - count(r) AS kept, count(r) AS removed FROM (SELECT dynasty_category, {REMOVED['conservative']} AS r FROM ruled WHERE dynasty_category IS NOT NULL) GROUP BY ROLLUP (dynasty_category)")
+@query(f"{RULED} SELECT dynasty_category, count(*) AS total, count(*) - count(r) AS kept, count(r) AS removed FROM (SELECT coalesce(dynasty_category, 'unknown') AS dynasty_category, {REMOVED['conservative']} AS r FROM ruled) GROUP BY ROLLUP (dynasty_category)")
 def clean1_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kept and removed records by period and overall."""
-    rows = records(spark, sf_dir, "sentence", "dynasty_category").where("dynasty_category IS NOT NULL")
+    rows = records(spark, sf_dir, "sentence", "dynasty_category").fillna("unknown", ["dynasty_category"])
     return quality.removal_totals(rows.withColumn("r", quality.removal_reason(F.col("sentence"), "conservative")), ["dynasty_category"], "r")
 
 
@@ -376,9 +383,9 @@ def baseline_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.capped_strata(capped, ["dynasty_category", "word"], "occ_id", 500, seed=7).select("occ_id", "dynasty_category", "word")
 
 
-@query(f"SELECT a.dynasty_category, a.word, a.toptitle, a.n AS original, coalesce(b.n, 0) AS sampled, round(coalesce(b.n, 0) / a.n, 6) AS ratio FROM (SELECT dynasty_category, word, toptitle, count(*) AS n FROM {UNIQUE} WHERE dynasty_category IS NOT NULL GROUP BY ALL) a LEFT JOIN (SELECT dynasty_category, word, toptitle, count(*) AS n FROM {CAPPED} GROUP BY ALL) b USING (dynasty_category, word, toptitle)")
+@query(f"SELECT a.dynasty_category, a.word, a.toptitle, a.n AS original, coalesce(b.n, 0) AS sampled, round(coalesce(b.n, 0) / a.n, 6) AS ratio FROM (SELECT coalesce(dynasty_category, 'unknown') AS dynasty_category, word, toptitle, count(*) AS n FROM {UNIQUE} GROUP BY ALL) a LEFT JOIN (SELECT coalesce(dynasty_category, 'unknown') AS dynasty_category, word, toptitle, count(*) AS n FROM {CAPPED} GROUP BY ALL) b USING (dynasty_category, word, toptitle)")
 def source_sample_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unique = _unique(spark, sf_dir).where("dynasty_category IS NOT NULL")
+    unique = _unique(spark, sf_dir).fillna("unknown", ["dynasty_category"])
     return sampling.sample_ratios(unique, sampling.capped_strata(unique, STRATA, "occ_id", CAP), STRATA).withColumn("ratio", F.round("ratio", 6))
 
 
@@ -394,9 +401,9 @@ def top_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.top_sources(capped, ["dynasty_category", "word"], "toptitle").withColumn("percentage", F.round("percentage", 6))
 
 
-@query(f"SELECT word, count(*) AS matched, count(*) - count(DISTINCT dynasty_category || '|' || sentence) AS duplicates, count(DISTINCT toptitle) AS n_toptitles FROM {LATEST} WHERE dynasty_category IS NOT NULL GROUP BY word")
+@query(f"SELECT word, count(*) AS matched, count(*) - count(DISTINCT dynasty_category || '|' || sentence) AS duplicates, count(DISTINCT toptitle) AS n_toptitles FROM (SELECT * REPLACE (coalesce(dynasty_category, 'unknown') AS dynasty_category) FROM {LATEST}) GROUP BY word")
 def sampling_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = records(spark, sf_dir, "sentence", *STRATA).where("dynasty_category IS NOT NULL")
+    rows = records(spark, sf_dir, "sentence", *STRATA).fillna("unknown", ["dynasty_category"])
     unique = F.countDistinct("dynasty_category", "sentence")
     return rows.groupBy("word").agg(F.count("*").alias("matched"), (F.count("*") - unique).alias("duplicates"), F.countDistinct("toptitle").alias("n_toptitles"))
 
@@ -457,9 +464,9 @@ def split_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("word", "dynasty", "n", k.alias("k"), F.greatest(F.floor(n * 0.3), F.lit(100)).alias("threshold"), cluster.sub_k(n).alias("parts"))
 
 
-@query(f"SELECT word, global_cluster, CAST(dense_rank() OVER (PARTITION BY word ORDER BY global_cluster) - 1 AS INTEGER) AS new_cluster, count(*) AS n FROM {ASSIGNED} WHERE global_cluster % 3 <> 1 GROUP BY word, global_cluster")
+@query(f"SELECT word, global_cluster, CAST(dense_rank() OVER (PARTITION BY word ORDER BY global_cluster) - 1 AS INTEGER) AS new_cluster, count(*) AS n FROM {ASSIGNED} GROUP BY word, global_cluster")
 def dense_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = assignments(spark, sf_dir).where("global_cluster % 3 <> 1").select("word", "global_cluster")
+    rows = assignments(spark, sf_dir).select("word", "global_cluster")
     return cluster.dense_relabel(rows, ["word"], "global_cluster").groupBy("word", "global_cluster", "new_cluster").agg(F.count("*").alias("n"))
 
 
@@ -516,7 +523,7 @@ def pca_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 JOINT = "(SELECT word, cluster, min({'m': macro, 's': sub}) AS p FROM label_map WHERE scope = 'joint' GROUP BY 1, 2)"
 OWN = "(SELECT word, dynasty, cluster AS local_cluster, min({'m': macro, 's': sub}) AS o FROM label_map WHERE scope = 'local' AND dynasty IS NOT NULL GROUP BY 1, 2, 3)"
-POOLED = f"(SELECT word, dynasty, sentence, arg_max(global_cluster, occ_id) AS global_cluster FROM {ASSIGNED} WHERE occ_id >= 'ctext_1008' GROUP BY 1, 2, 3)"
+POOLED = f"(SELECT word, dynasty, sentence, arg_max(global_cluster, occ_id) AS global_cluster FROM {ASSIGNED} GROUP BY 1, 2, 3)"
 MATCHED = f"(SELECT l.* EXCLUDE (global_cluster), p.global_cluster FROM {ASSIGNED} l LEFT JOIN {POOLED} p USING (word, dynasty, sentence))"
 VOTES = f"""
 counts AS (SELECT word, dynasty, local_cluster, global_cluster, count(*) AS n FROM {MATCHED} WHERE global_cluster IS NOT NULL GROUP BY ALL),
@@ -527,9 +534,9 @@ votes AS (SELECT r.word, r.dynasty, r.local_cluster, CAST(total AS BIGINT) AS to
 
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Local rows with the pooled cluster of the same text; the pooled table lacks the first work, so some don't match."""
+    """Local rows with the pooled cluster of the same text."""
     rows = assignments(spark, sf_dir)
-    pooled = rows.where("occ_id >= 'ctext_1008'").select("word", "dynasty", "sentence", "occ_id", "global_cluster")
+    pooled = rows.select("word", "dynasty", "sentence", "occ_id", "global_cluster")
     return labels.matched_clusters(rows.drop("global_cluster", "vector"), pooled, ["word", "dynasty", "sentence"], "occ_id")
 
 
@@ -562,8 +569,7 @@ def vote_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _whole(sql: str) -> str:
     every = f"(SELECT r.occ_id, r.word, r.dynasty_category AS dynasty, r.sentence, a.local_cluster FROM {LATEST} r LEFT JOIN {ASSIGNED} a USING (occ_id))"
-    pooled = POOLED.replace(" WHERE occ_id >= 'ctext_1008'", "")
-    return sql.replace(MATCHED, f"(SELECT l.*, p.global_cluster FROM {every} l LEFT JOIN {pooled} p USING (word, dynasty, sentence))").replace("WHERE global_cluster IS NOT NULL", "WHERE global_cluster IS NOT NULL AND local_cluster IS NOT NULL")
+    return sql.replace(MATCHED, f"(SELECT l.*, p.global_cluster FROM {every} l LEFT JOIN {POOLED} p USING (word, dynasty, sentence))").replace("WHERE global_cluster IS NOT NULL", "WHERE global_cluster IS NOT NULL AND local_cluster IS NOT NULL")
 
 
 def _matched_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -598,7 +604,7 @@ def vote_distribution_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("word", "dynasty", "local_cluster", "d.global_cluster", "d.n", "d.pct", (F.col("at") + 1).alias("place"))
 
 
-@query(_whole(SQL["dense_relabel"].replace(" WHERE global_cluster % 3 <> 1", "")))
+@query(SQL["dense_relabel"])
 def dense_relabel_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = assignments(spark, sf_dir).select("word", "global_cluster")
     return cluster.dense_relabel(rows, ["word"], "global_cluster").groupBy("word", "global_cluster", "new_cluster").agg(F.count("*").alias("n"))
@@ -782,3 +788,7 @@ def sweep_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _clusterable(spark, sf_dir).select(F.col("word").alias("grp"), F.col("occ_id").alias("id"), F.col("vector").alias("vec")).where("grp IS NOT NULL")
     configs = sweep.one_factor_configs(spark, (12, 0.8, 0.5), [8, 12], [0.8, 0.9], [0.5])
     return sweep.with_results(configs, pipeline.sweep_results(rows, configs, SIZE).withColumnRenamed("grp", "word"))
+
+
+# The queries of whole runs register themselves here.
+from glyphdrift.plans import runs  # noqa: E402, F401

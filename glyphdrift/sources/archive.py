@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import tarfile
+import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,44 +18,89 @@ from glyphdrift.operators.latest import upsert_last_wins
 MEMBERS = "archive string, place bigint, member string, payload string"
 
 
+BLOCK_BYTES = 4_000_000  # payloads of one batch
+
+
+class Chain(io.RawIOBase):
+    """The bytes of some parts one after the other, without putting them together."""
+
+    def __init__(self, parts: Iterator[bytes]) -> None:
+        self.parts, self.left = parts, memoryview(b"")
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer: bytearray) -> int:
+        while not len(self.left):
+            part = next(self.parts, None)
+            if part is None:
+                return 0
+            self.left = memoryview(part)
+        n = min(len(buffer), len(self.left))
+        buffer[:n], self.left = self.left[:n], self.left[n:]
+        return n
+
+
+def read_members(path: str, parts: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    """The JSON members of one archive in batches of a few MB; damaged members are passed over as far as the stream goes on."""
+
+    def block() -> pa.RecordBatch:
+        columns = [pa.array([path] * len(names), pa.string()), pa.array(range(place - len(names), place), pa.int64()), pa.array(names, pa.string()), pa.array(payloads, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["archive", "place", "member", "payload"])
+
+    names, payloads, size, place = [], [], 0, 0
+    try:
+        with tarfile.open(fileobj=io.BufferedReader(Chain(parts), 1 << 20), mode="r|*", ignore_zeros=True) as archive:
+            for member in archive:
+                if member.isfile() and member.name.endswith(".json"):
+                    content = archive.extractfile(member).read()
+                    names.append(member.name)
+                    payloads.append(content.decode("utf-8", "ignore"))
+                    size, place = size + len(content), place + 1
+                    if size >= BLOCK_BYTES:
+                        yield block()
+                        names, payloads, size = [], [], 0
+    except (tarfile.TarError, EOFError, OSError, zlib.error):
+        pass  # what was read before the damage stays
+    yield block()
+
+
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            names, payloads = [], []
-            try:
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as archive:
-                    for member in archive:
-                        if member.isfile() and member.name.endswith(".json"):
-                            names.append(member.name)
-                            payloads.append(archive.extractfile(member).read().decode("utf-8", "ignore"))
-            except (tarfile.TarError, EOFError, OSError):
-                pass  # what was read before the damage stays
-            columns = [pa.array([path] * len(names)), pa.array(range(len(names)), pa.int64()), pa.array(names, pa.string()), pa.array(payloads, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["archive", "place", "member", "payload"])
+        for n in range(batch.num_rows):
+            yield from read_members(batch.column(0)[n].as_py(), iter([batch.column(1)[n].as_py()]))
+
+
+def _split_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts sorted by folder and name; an archive's parts are read as they come."""
+    rows = ((batch.column(0)[n].as_py(), batch.column(2)[n].as_py()) for batch in batches for n in range(batch.num_rows))
+    for folder, parts in groupby(rows, key=lambda r: r[0]):
+        yield from read_members(folder, (content for _, content in parts))
+
+
+def members_of(files: DataFrame) -> DataFrame:
+    """Members of the tar archives in ``content`` (with their ``path``), plain or compressed."""
+    return files.select("path", "content").mapInArrow(_members, MEMBERS)
 
 
 def scan_archives(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Members of tar archives, plain or compressed: archive, place in it, member name, payload.
 
-    An archive is one task's work, as compressed tar files can't be split; many archives spread over tasks. Damaged
-    archives give their readable members, other files than ``.json`` are passed over. Paths that match nothing give
-    no rows.
+    An archive is one task's work, as compressed tar files can't be split; many archives spread over tasks. Members come
+    in batches of a few MB, damaged ones are passed over, other files than ``.json`` too. Paths that match nothing
+    give no rows.
     """
-    files = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(paths)
-    return files.select("path", "content").mapInArrow(_members, MEMBERS)
+    return members_of(spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(paths))
 
 
 def scan_split_archive(spark: SparkSession, pattern: str) -> DataFrame:
-    """Members of one archive that is stored as parts; the parts in name order are its bytes.
+    """Members of archives that are stored as parts; the parts of a folder in name order are the bytes of one.
 
-    The parts of one gzip stream mean nothing alone, so they are joined in one task; each archive is one row.
+    The parts of one gzip stream mean nothing alone, so one task reads them, one after the other; archives of several
+    folders spread over tasks.
     """
-    parts = spark.read.format("binaryFile").load(pattern)
-    whole = parts.groupBy(F.regexp_replace("path", r"[^/]*$", "").alias("path")).agg(
-        F.array_sort(F.collect_list(F.struct("path", "content"))).alias("parts")
-    )
-    joined = whole.select("path", F.aggregate("parts", F.lit(b""), lambda all_, p: F.concat(all_, p["content"])).alias("content"))
-    return joined.mapInArrow(_members, MEMBERS)
+    parts = spark.read.format("binaryFile").load(pattern).select(F.regexp_replace("path", r"[^/]*$", "").alias("folder"), "path", "content")
+    return parts.repartition("folder").sortWithinPartitions("folder", "path").mapInArrow(_split_members, MEMBERS)
 
 
 def payload_text(payload: Column) -> Column:
