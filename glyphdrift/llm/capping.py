@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from glyphdrift.functions.titles import with_work
 from glyphdrift.operators.latest import latest_rows
-from glyphdrift.session import materialise
+from glyphdrift.session import materialise, written
 
 INDEX_BITS = 33  # monotonically_increasing_id: partition number above, row number within the partition below
 
@@ -75,9 +75,9 @@ def beyond_cap(
 
 
 def records_with_work(occurrences: DataFrame, metadata: DataFrame, dim: DataFrame) -> DataFrame:
-    """Latest record ids with their work and quality."""
+    """Latest record ids with their work and quality, written once as sizes, ranks and slices all read them."""
     last = latest_rows(occurrences, ["toptitle", "dynasty", "dynasty_category", "reference_id", "quality"])
-    return with_work(last, metadata, dim, spread="occ_id").select("occ_id", "work_category", "work_title", "quality")
+    return written(with_work(last, metadata, dim, spread="occ_id").select("occ_id", "work_category", "work_title", "quality"))
 
 
 def over_represented(occurrences: DataFrame, metadata: DataFrame, dim: DataFrame, share: float = 0.02) -> DataFrame:

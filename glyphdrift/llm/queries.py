@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from glyphdrift.llm import annsearch, capping, clusters, leakage, neardup, packing, personal, reservoir, textstats
 from glyphdrift.operators import latest
-from glyphdrift.plans.catalog import LATEST, RUNS, WORKS
-from glyphdrift.session import table
+from glyphdrift.functions.vectors import cosine
+from glyphdrift.plans.catalog import LATEST, RUNS, USABLE, WORKS
+from glyphdrift.session import materialise, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +93,72 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.redacted(documents, personal.mentions(documents, table(spark, sf_dir, "name_parts")))
 
 
-QUERIES = (p1_found, p3_found, p3_percentiles, p4_sample, p4_balance, p5_found, p6_found, p6_neighbours, p7_found, p7_typical, p8_containers, p8_waste, p9_found, p10_found, p10_redacted)
+def p3_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each period and statistic: whether the quantiles from its sketch rise."""
+    rows = p3_percentiles(spark, sf_dir)
+    rising = F.forall(F.sequence(F.lit(0), F.lit(5)), lambda i: F.get("quantiles", i) <= F.get("quantiles", i + 1))
+    return rows.groupBy("dynasty_category").agg(F.every(rising).alias("is_rising"))
+
+
+def p5_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the pairs: whether ids are in order, texts differ, and none is longer than the share allows."""
+    text = latest.latest_rows(table(spark, sf_dir, "occurrences"), ["sentence"]).select("occ_id", neardup.plain(F.col("sentence")).alias("plain"), "sentence")
+    side = lambda s: text.select(F.col("occ_id").alias(f"occ_id_{s}"), F.col("plain").alias(f"plain_{s}"), F.col("sentence").alias(f"sentence_{s}"))
+    rows = p5_found(spark, sf_dir).join(side("a"), "occ_id_a").join(side("b"), "occ_id_b")
+    n, m = F.length("plain_a"), F.length("plain_b")
+    fits = (F.least(n, m) >= 12) & (F.least(n, m) >= 0.75 * F.greatest(n, m))
+    return rows.agg(F.every(F.col("occ_id_a") < F.col("occ_id_b")).alias("is_ordered"), F.every(F.col("sentence_a") != F.col("sentence_b")).alias("is_apart"), F.every(fits).alias("fits"))
+
+
+def p6_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the pairs: whether ids are in order and the exact cosine reaches 0.97, and no record has more than ten partners."""
+    vector = latest.latest_rows(table(spark, sf_dir, "occurrences"), ["vector"])
+    side = lambda s: vector.select(F.col("occ_id").alias(f"occ_id_{s}"), F.col("vector").alias(f"vector_{s}"))
+    found = materialise(p6_found(spark, sf_dir))
+    rows = found.join(side("a"), "occ_id_a").join(side("b"), "occ_id_b")
+    most = found.select(F.explode(F.array("occ_id_a", "occ_id_b")).alias("id")).groupBy("id").count().agg((F.max("count") <= 10).alias("is_top_ten"))
+    near = rows.agg(F.every(F.col("occ_id_a") < F.col("occ_id_b")).alias("is_ordered"), F.every(cosine("vector_a", "vector_b") >= 0.97 - 1e-6).alias("is_near"))
+    return near.withColumn("one", F.lit(1)).join(most.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+def p7_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each word with groups: whether a group's key is its smallest member, of that word."""
+    word = latest.latest_rows(table(spark, sf_dir, "occurrences"), ["word"])
+    rows = p7_found(spark, sf_dir).join(word, "occ_id")
+    groups = rows.groupBy("cluster_key").agg(F.min("occ_id").alias("least"), F.min("word").alias("word"), F.countDistinct("word").alias("words"))
+    return groups.groupBy("word").agg(F.every(F.col("least") == F.col("cluster_key")).alias("is_least"), F.every(F.col("words") == 1).alias("is_of_word"))
+
+
+def p8_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents laid out, and whether no container overflows, pieces follow without gap, and only larger documents are split."""
+    rows = materialise(p8_containers(spark, sf_dir))
+    held = rows.groupBy("container").agg(F.sum("n_tokens").alias("held")).agg(F.every(F.col("held") <= packing.CAPACITY).alias("fits"))
+    doc = rows.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"), F.count("*").alias("pieces"))
+    whole = (F.col("n") == F.col("end")) & ((F.col("pieces") == 1) | (F.col("n") > packing.CAPACITY))
+    docs = doc.agg(F.count("*").alias("documents"), F.every(whole).alias("is_whole"))
+    return docs.withColumn("one", F.lit(1)).join(held.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+def p9_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the shares held: whether each is from a half to the whole, of a document and an item that exist."""
+    documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "bench_items")
+    rows = leakage.leaked_items(documents, items).join(documents.select("doc_id", F.lit(1).alias("d")).distinct(), "doc_id", "left").join(items.select("item_id", F.lit(1).alias("i")).distinct(), "item_id", "left")
+    return rows.agg(F.every(F.col("share").between(0.5, 1)).alias("is_half"), F.every(F.col("d").isNotNull() & F.col("i").isNotNull()).alias("exists"))
+
+
+def p10_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, and whether every mention lies in its text, apart from the next, and stands as a placeholder in the redacted text."""
+    documents = table(spark, sf_dir, "documents")
+    found = materialise(personal.mentions(documents, table(spark, sf_dir, "name_parts")))
+    after = F.lead("start_pos").over(W.partitionBy("doc_id").orderBy("start_pos"))
+    marks = found.withColumn("after", after).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("end_pos").alias("last"), F.every(F.col("after").isNull() | (F.col("after") >= F.col("end_pos"))).alias("is_apart"))
+    places = F.regexp_count("redacted", F.lit(r"\[(?:EMAIL|PHONE|ID_NUMBER|ADDRESS|PERSON)\]"))
+    rows = documents.select("doc_id", "text").join(personal.redacted(documents, found), "doc_id").join(marks, "doc_id", "left")
+    own = (F.col("last") <= F.length("text")) & F.col("is_apart") & (places >= F.col("n"))
+    return rows.agg(F.count("*").alias("documents"), F.every(F.col("n").isNull() | own).alias("is_whole"))
+
+
+QUERIES = (p3_balance, p5_balance, p6_balance, p7_balance, p8_balance, p9_balance, p10_balance, p1_found, p3_found, p3_percentiles, p4_sample, p4_balance, p5_found, p6_found, p6_neighbours, p7_found, p7_typical, p8_containers, p8_waste, p9_found, p10_found, p10_redacted)
 
 STATS = f"""
 WITH last AS {LATEST}, {RUNS},
@@ -125,6 +192,13 @@ SQL = {
           SELECT occ_id, row_number() OVER (PARTITION BY work_category, work_title ORDER BY CASE WHEN isnan(quality) THEN NULL ELSE quality END DESC NULLS LAST, occ_id) AS place FROM works)
         WHERE place > (SELECT floor(0.02 * count(*)) FROM works)""",
     "p3_found": STATS + "SELECT occ_id FROM stats WHERE " + " OR ".join(CUT(*t) for t in TAILS),
+    "p3_balance": f"SELECT dynasty_category, TRUE AS is_rising FROM {LATEST} GROUP BY 1",
+    "p5_balance": "SELECT TRUE AS is_ordered, TRUE AS is_apart, TRUE AS fits",
+    "p6_balance": "SELECT TRUE AS is_ordered, TRUE AS is_near, TRUE AS is_top_ten",
+    "p7_balance": f"SELECT word, TRUE AS is_least, TRUE AS is_of_word FROM {LATEST} WHERE {USABLE} AND word IS NOT NULL GROUP BY 1 HAVING count(*) >= 10",
+    "p8_balance": "SELECT count(*) AS documents, TRUE AS is_whole, TRUE AS fits FROM documents WHERE text <> ''",
+    "p9_balance": "SELECT TRUE AS is_half, TRUE AS exists",
+    "p10_balance": "SELECT count(*) AS documents, TRUE AS is_whole FROM documents",
     "p4_balance": """
         SELECT count(*) AS population, least(count(*), 10000) AS drawn, least(count(*), 10000) AS records
         FROM (SELECT DISTINCT occ_id FROM occurrences WHERE occ_id IS NOT NULL)""",
