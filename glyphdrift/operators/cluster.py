@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from glyphdrift.functions.vectors import as_matrix, distance
-from glyphdrift.session import materialise
+from glyphdrift.session import materialise, small
 
 START_ROWS = 30_000  # rows of a group on which the best of several starts is found; larger groups go on over all their rows
 TRIAL_ROWS = 3_000  # rows on which the starts are compared
@@ -363,9 +363,10 @@ def representatives(df: DataFrame, centres: DataFrame, keys: list[str], vector:
     """The ``core`` rows nearest to their cluster's centroid and the ``boundary`` farthest ones, with kind and place.
 
     Both by rising distance, ties by ident. A cluster of at most core + boundary rows has no boundary. ``centres``
-    has the keys, size and centroid of each cluster. Rank filters bound what each task sends for a cluster.
+    has the keys, size and centroid of each cluster; it is computed once and its rows are counted before it is broadcast,
+    so vectors are not shuffled by few keys. Rank filters bound what each task sends for a cluster.
     """
-    measured = df.join(centres, keys).withColumn("dist", distance(F.col(vector), F.col("centroid")))
+    measured = df.join(small(centres), keys).withColumn("dist", distance(F.col(vector), F.col("centroid")))
     rows = measured.select(*keys, ident, "dist", "size")
     near = rows.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy("dist", ident))).where(F.col("place") <= core)
     far = rows.where(F.col("size") > core + boundary)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from glyphdrift.functions.text import overlap_length
 
 
+Tokens = list[tuple[int, int, np.ndarray]]
+
+
 class Embedder(Protocol):
-    """Token spans and vectors of a sentence: [(start, end, vector)]. Made once in each task."""
+    """Token spans and vectors (start, end, vector) of each sentence of a batch."""
 
-    def __call__(self, sentence: str) -> list[tuple[int, int, np.ndarray]]: ...
+    def __call__(self, sentences: list[str]) -> list[Tokens]: ...
 
 
 class HashEmbedder:
@@ -26,7 +29,10 @@ class HashEmbedder:
     def __init__(self, size: int = 16, width: int = 2) -> None:
         self.size, self.width = size, width
 
-    def __call__(self, sentence: str) -> list[tuple[int, int, np.ndarray]]:
+    def __call__(self, sentences: list[str]) -> list[Tokens]:
+        return [self.tokens(s) for s in sentences]
+
+    def tokens(self, sentence: str) -> Tokens:
         out = []
         for at in range(0, len(sentence), self.width):
             end = min(len(sentence), at + self.width)
@@ -35,16 +41,24 @@ class HashEmbedder:
         return out
 
 
-def token_vectors(sentences: DataFrame, ident: str, text: str, embedder: Embedder) -> DataFrame:
-    """(id, token_start, token_end, vector) of every token; only distinct rows that hold a target should come here."""
+def token_vectors(sentences: DataFrame, ident: str, text: str, factory: Callable[[], Embedder], together: int = 256) -> DataFrame:
+    """(id, token_start, token_end, vector) of every token; only distinct rows that hold a target should come here.
+
+    ``factory`` makes the embedder once in each task, so a model is loaded there and never sent; it gets ``together``
+    sentences at a time. Null and empty sentences have no tokens.
+    """
     rows = sentences.select(F.col(ident).alias("id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        embedder = factory()
         for batch in batches:
-            found = [(i, a, b, v.tolist()) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for a, b, v in embedder(t)]
-            columns = list(zip(*found)) or [(), (), (), ()]
-            kinds = (batch.schema.field(0).type, pa.int32(), pa.int32(), pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "token_start", "token_end", "vector"])
+            held = [(i, t) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t]
+            for first in range(0, len(held), together):
+                part = held[first : first + together]
+                found = [(i, a, b, v.tolist()) for (i, _), tokens in zip(part, embedder([t for _, t in part])) for a, b, v in tokens]
+                columns = list(zip(*found)) or [(), (), (), ()]
+                kinds = (batch.schema.field(0).type, pa.int32(), pa.int32(), pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "token_start", "token_end", "vector"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, token_start int, token_end int, vector array<float>")
 
@@ -52,11 +66,14 @@ def token_vectors(sentences: DataFrame, ident: str, text: str, embedder: Embedde
 def pooled(characters: DataFrame, tokens: DataFrame) -> DataFrame:
     """Vector of each character span (id, char_pos): mean of its overlapping tokens' vectors, weighted by overlap share.
 
-    A character no token covers is left out. The join is by sentence, then by overlap within it.
+    A character no token covers is left out. The join is by sentence, then by overlap within it; the few tokens that
+    cover a character are gathered and averaged in place.
     """
     spans = characters.select("id", "char_pos").distinct()
     both = tokens.join(spans, "id").withColumn("overlap", overlap_length("token_start", "token_end", "char_pos", F.col("char_pos") + 1)).where("overlap > 0")
     weight = F.col("overlap") / F.greatest(F.lit(1), F.col("token_end") - F.col("token_start"))
-    parts = both.select("id", "char_pos", weight.alias("w"), F.posexplode("vector").alias("place", "x"))
-    means = parts.groupBy("id", "char_pos", "place").agg((F.sum(F.col("x") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1e-9))).alias("x"))
-    return means.groupBy("id", "char_pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda p: p["x"]).alias("vector"))
+    held = both.groupBy("id", "char_pos").agg(F.collect_list(F.struct(weight.alias("w"), "vector")).alias("tokens"))
+    whole = F.greatest(F.aggregate("tokens", F.lit(0.0), lambda s, t: s + t["w"]), F.lit(1e-9))
+    place = lambda i: F.aggregate("tokens", F.lit(0.0), lambda s, t: s + t["w"] * t["vector"][i]) / F.col("whole")
+    size = F.size(F.col("tokens")[0]["vector"])
+    return held.withColumn("whole", whole).select("id", "char_pos", F.transform(F.sequence(F.lit(0), size - 1), place).alias("vector"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from glyphdrift.session import small
+
 SINGLE = "__single__"
 MIXED_BELOW = 60.0
 MAPPING_SCHEMA = "word string, scope string, dynasty string, cluster int, macro string, sub string"
@@ -174,14 +176,15 @@ def majority_vote(matched: DataFrame, mapping: DataFrame, word: str = "word", dy
 def apply_local_labels(df: DataFrame, votes: DataFrame, mapping: DataFrame, word: str = "word", dynasty: str = "dynasty") -> DataFrame:
     """Labels of single-period clusters: the mapping's own (``local``) first, then the vote, else ``NOISE / Unmatched``.
 
-    An override replaces the pair, also where its second label is null.
+    An override replaces the pair, also where its second label is null. Both tables hold a row for each cluster at
+    most; they are computed once and counted before they are broadcast.
     """
     keys = [word, dynasty, "local_cluster"]
     own = scoped(for_words(mapping, df, word), "local").where("dynasty IS NOT NULL").groupBy("word", "dynasty", "cluster").agg(F.min(F.struct("macro", "sub")).alias("own"))
     own = own.select(F.col("word").alias(word), F.col("dynasty").alias(dynasty), F.col("cluster").alias("local_cluster"), "own")
     voted = votes.select(*keys, F.struct("macro", "sub").alias("voted"))
     pair = F.coalesce("own", "voted", F.struct(F.lit("NOISE").alias("macro"), F.lit("Unmatched").alias("sub")))
-    joined = df.join(own, keys, "left").join(voted, keys, "left").withColumn("pair", pair)
+    joined = df.join(small(own), keys, "left").join(small(voted), keys, "left").withColumn("pair", pair)
     return joined.withColumns({"Cluster_ID": F.col("local_cluster"), "Macro_Category": F.col("pair.macro"), "Sub_Category": F.col("pair.sub")}).drop("own", "voted", "pair")
 
 

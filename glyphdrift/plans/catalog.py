@@ -232,7 +232,7 @@ def span_overlap_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pooled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character vectors pooled from the tokens of a model-free embedder. The embedder is Python, so there is no SQL."""
     rows = records(spark, sf_dir, "sentence", "char_pos").where(T.contains_any("sentence", TARGETS))
-    tokens = embed.token_vectors(rows, "occ_id", "sentence", embed.HashEmbedder())
+    tokens = embed.token_vectors(rows, "occ_id", "sentence", embed.HashEmbedder)
     return embed.pooled(rows.select(F.col("occ_id").alias("id"), "char_pos"), tokens)
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,3 +44,9 @@ def written(df: DataFrame) -> DataFrame:
     folder = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def small(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """A table that is expected to be small, computed once: broadcast if its rows are counted within ``limit``, else joined as it is."""
+    held = materialise(df)
+    return F.broadcast(held) if held.count() <= limit else held
