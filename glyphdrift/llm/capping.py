@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from glyphdrift.functions.titles import with_work
 from glyphdrift.operators.latest import latest_rows
-from glyphdrift.session import materialise, written
+from glyphdrift.session import materialise, small, written
 
 INDEX_BITS = 33  # monotonically_increasing_id: partition number above, row number within the partition below
 
@@ -70,7 +70,7 @@ def beyond_cap(
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"large_{k}"))
-    hot = df.join(F.broadcast(large) if share else large, same).drop(*[f"large_{k}" for k in keys])
+    hot = df.join(small(large), same).drop(*[f"large_{k}" for k in keys])
     return ranked_within(hot, keys, quality, ident).where(F.col("rank") > F.col("cap"))
 
 
