@@ -100,13 +100,25 @@ def processed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_manifest(path: str, **values: object) -> None:
-    """A run's parameters or results as a JSON file."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(values, ensure_ascii=False, indent=2, default=str), encoding="utf-8")
+    """A run's parameters or results as a JSON file, on any file system that Spark knows."""
+    text = json.dumps(values, ensure_ascii=False, indent=2, default=str)
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_text(text, encoding="utf-8")
+        return
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
 
 
 def markdown_table(df: DataFrame, limit: int = 500) -> str:
-    """The first rows of a small table as Markdown."""
+    """A small table as Markdown. More than ``limit`` rows are refused; ``reports.markdown`` writes tables of any size."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows; write them with reports.markdown")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    lines += ["| " + " | ".join("" if v is None else str(v) for v in row) + " |" for row in df.limit(limit).collect()]
-    return "\n".join(lines)
+    return "\n".join([*lines, *("| " + " | ".join("" if v is None else str(v) for v in row) + " |" for row in rows)])

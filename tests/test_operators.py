@@ -224,3 +224,64 @@ def test_flat_document_serves_the_one_word(spark, tmp_path):
     assert {r.Macro_Category for r in labels.apply_local_labels(one, votes, mapping).collect()} == {"Body", "Skill", "NOISE"}
     two = one.unionByName(spark.createDataFrame([("水", "qing", 0, 0)], schema))
     assert {r.Macro_Category for r in labels.apply_global_labels(two, "global_cluster", mapping).collect()} == {"Other"}
+
+
+def test_damaged_members_are_passed_over():
+    """A destroyed header loses its member only; members come in batches of bounded size."""
+    import io
+    import tarfile
+
+    from glyphdrift.sources import archive
+
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as pack:
+        for i in range(6):
+            body = (b'{"fulltext": "' + str(i).encode() * 2_500_000 + b'"}') if i in (1, 4) else b'{"fulltext": "x"}'
+            info = tarfile.TarInfo(f"a_b_{i}.json")
+            info.size = len(body)
+            pack.addfile(info, io.BytesIO(body))
+    raw = bytearray(out.getvalue())
+    at = raw.index(b"a_b_2.json")
+    raw[at : at + 512] = b"\xff" * 512
+    parts = [bytes(raw[i : i + 700_001]) for i in range(0, len(raw), 700_001)]  # as an archive in several files
+    batches = list(archive.read_members("p", iter(parts)))
+    names = [m for b in batches for m in b.column(2).to_pylist()]
+    assert [n for n in names if n != "a_b_2.json"] == [f"a_b_{i}.json" for i in (0, 1, 3, 4, 5)]
+    assert len(batches) > 1 and [p for b in batches for p in b.column(1).to_pylist()] == list(range(len(names)))
+
+
+def test_kmeans_finds_apart_groups_and_settles():
+    from glyphdrift.operators import cluster
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 8, (6, 5))
+    points = np.concatenate([c + rng.normal(0, 0.3, (n, 5)) for c, n in zip(centres, (4000, 30, 500, 90, 1500, 60))])
+    found = cluster.lloyd(points, 6, 1)
+    assert max(np.min(np.linalg.norm(found - c, axis=1)) for c in centres) < 0.2
+    assert np.allclose(cluster.settled(points, found), found, atol=1e-2)
+
+
+def test_a_stage_that_is_there_is_not_built(spark, tmp_path):
+    from glyphdrift.plans import pipeline
+
+    built = []
+    stages = {"extract": lambda: built.append("extract") or spark.range(3), "clean1": lambda: built.append("clean1") or spark.range(2)}
+    pipeline.Run(str(tmp_path), dict(stages)).execute()
+    log = pipeline.Run(str(tmp_path), dict(stages)).execute(skip_existing=True)
+    assert built == ["extract", "clean1"] and [e["message"] for e in log] == ["skipped", "skipped"]
+
+
+def test_documents_sections_and_markdown(spark):
+    from glyphdrift.operators import reports
+
+    rows = spark.createDataFrame(
+        [("w", "p" if i % 2 else "q", i % 3 and 1, f"s{i:02d}|x" if i else None, "t", [float(i), 1.0]) for i in range(20)], "word string, period string, c int, sentence string, id string, v array<double>"
+    ).withColumn("id", F.format_string("%03d", F.monotonically_increasing_id()))
+    doc = reports.statistics_documents(rows, ["word"], "c", "id", "v", ["sentence"], core=2, boundary=1).first()
+    assert doc.n_samples == 20 and doc.k_final == 2 and {k: v["count"] for k, v in doc.cluster_sentences.items()} == {"0": 7, "1": 13}
+    assert all(len(v["core"]) == 2 and len(v["boundary"]) == 1 for v in doc.cluster_sentences.values())
+    sections = {r.c: r.section for r in reports.label_sections(rows, ["word"], "c", "period", "sentence", "id", samples=2).collect()}
+    assert sections[0].startswith("## w C0 (7)\np: 3, q: 4\n- ")
+    lines = [r.line for r in reports.markdown(rows.select("word", "sentence"), ["sentence"]).collect()]
+    assert lines[0] == "| word | sentence |" and len(lines) == 22 and all(x.count("|") == 3 for x in lines)
+    assert reports.statistics_documents(rows.limit(0), ["word"], "c", "id", "v", ["sentence"]).count() == 0
