@@ -209,6 +209,18 @@ def test_every_copy_with_every_copy(spark):
     assert found == brute_versions(rows)
 
 
+@pytest.mark.parametrize("held", [None, 1, 3])
+def test_texts_with_many_copies_are_paired_whole(spark, held):
+    """Two versions of 30 and 25 copies, beyond the ids that an entry holds: all 750 pairs, each once."""
+    text = "".join(chr(0x4E00 + i) for i in range(30))
+    rows = [*version_rows(25), *((f"x{i:03d}", text) for i in range(30)), *((f"y{i:03d}", text[:-1] + "甲") for i in range(25))]
+    df = spark.createDataFrame([(a, s, 1) for a, s in rows], "occ_id string, sentence string, load_seq bigint")
+    found = [(r.id_a, r.id_b) for r in neardup.versions(df, "occ_id", "sentence", "load_seq", copies=held).collect()]
+    assert len(found) == len(set(found)) and set(found) == brute_versions(rows)
+    if held is None:
+        assert {(r.occ_id_a, r.occ_id_b) for r in neardup.sentence_versions(df).collect()} == set(found)
+
+
 # --- 6 nearest vectors --------------------------------------------------------------------------------------------------
 
 
