@@ -23,6 +23,7 @@ WINDOW, STEP = 160, 120  # characters of a window, and from one window's start t
 #: Bounds of the labelled sample, whatever the size of the table.
 SAMPLE_DOCUMENTS, LABELLED_WINDOWS, OTHER_WINDOWS = 10_000, 4_000, 5_000
 VARIANTS = 6  # training examples of a labelled window, all but one with invented values
+BLOCK = 400_000  # characters of the texts that are scored and decoded at a time
 CROP = 90  # characters of a training example
 ROUNDS = 900
 MARGIN = 2.0  # least score of a mention above "outside", names apart, which are held against the known parts
@@ -127,7 +128,7 @@ def windows(text: str) -> list[int]:
     return list(range(0, max(1, len(text) - WINDOW + STEP), STEP))
 
 
-#: What a mention has: an at sign, a longer or divided number, a house number, an initial, or Han text.
+#: What most mentions have, by which windows are chosen to train on: an at sign, a longer or divided number, a house number, an initial, or Han text.
 LIVE = re.compile(rf"@|[(\[]at[)\]]|\d{{3}}|\d\s?[-./(),]|\d\s(?:bis|ter)\b|[\wß]\s\d{{1,4}}[a-z]?(?:[.,;]|\serb)|[A-Z]\.\s[A-Z]|{HAN}")
 #: Or two capitalised words, or a number before one; such words that are stock phrases of the texts are passed over.
 PAIR = re.compile(rf"(?:({WORD}),?\s(?:[A-Z]\.\s)?(?={WORD}))|(?:\d[a-z]?\s([A-ZÀ-Þ][\w]*))")
@@ -371,30 +372,25 @@ def stitched(length: int, scored: dict[int, np.ndarray]) -> list[tuple[int, np.n
     return [(at, np.concatenate(parts)) for at, parts in out]
 
 
-def found_in(texts: list[str], score: Callable[[list[str]], list[np.ndarray]], steps: np.ndarray, stock: frozenset[str]) -> Iterator[tuple[int, int, int, str, float]]:
+def found_in(texts: list[str], score: Callable[[list[str]], list[np.ndarray]], steps: np.ndarray, _stock: frozenset[str] = OPENERS) -> Iterator[tuple[int, int, int, str, float]]:
     """(text, start, end, kind, margin) of every mention in folded texts.
 
-    The scores of a text's windows are put together and decoded as one run, so a mention may be of any length. Where
-    a mention reaches the edge of what was scored, the window beyond is scored too and the text decoded again.
+    Every window of every text is scored; a text's scores are put together and decoded as one run, so a mention may be
+    of any length. Texts of about ``BLOCK`` characters are held at a time. No window is left out for its words, so
+    ``_stock`` isn't looked at.
     """
-    scored: dict[int, dict[int, np.ndarray]] = {}
-    wanted = [(n, at) for n, t in enumerate(texts) for at in windows(t) if is_live(t[at : at + WINDOW], stock)]
-    while wanted:
+    ends = np.cumsum([len(t) for t in texts]) // BLOCK
+    for block in np.unique(ends):
+        own = np.flatnonzero(ends == block).tolist()
+        wanted = [(n, at) for n in own for at in windows(texts[n])]
+        scored: dict[int, dict[int, np.ndarray]] = {n: {} for n in own}
         for (n, at), scores in zip(wanted, score([texts[n][at : at + WINDOW] for n, at in wanted])):
-            scored.setdefault(n, {})[at] = scores
-        runs = [(n, at, scores) for n in sorted({n for n, _ in wanted}) for at, scores in stitched(len(texts[n]), scored[n])]
-        wanted, out = [], []
+            scored[n][at] = scores
+        runs = [(n, at, scores) for n in own for at, scores in stitched(len(texts[n]), scored.pop(n))]
         for (n, at, scores), tags in zip(runs, decode_runs(steps, [r[2] for r in runs])):
-            found = spans(tags)
-            for (start, end, kind), margin in zip(found, margins(steps, scores, tags, found)):
-                out.append((n, at + start, at + end, kind, margin))
-                if start == 0 and at:
-                    wanted.append((n, at - STEP))
-                if end == len(tags) and at + end < len(texts[n]):
-                    wanted.append((n, (at + end - WINDOW) // STEP * STEP + STEP))
-        again = {n for n, _ in wanted}
-        wanted = sorted(set(wanted))
-        yield from (m for m in out if m[0] not in again)
+            found = spans(tags) if tags.any() else []
+            for (start, end, kind), margin in zip(found, margins(steps, scores, tags, found) if found else []):
+                yield n, at + start, at + end, kind, margin
 
 
 def _find(model: dict[str, np.ndarray], alphabet: Alphabet, stock: frozenset[str], names: Names) -> Callable[[Batches], Batches]:
@@ -404,7 +400,7 @@ def _find(model: dict[str, np.ndarray], alphabet: Alphabet, stock: frozenset[str
         for batch in batches:
             texts = [fold(t) for t in batch.column(1).to_pylist()]
             rows = []
-            for n, start, end, kind, margin in found_in(texts, score, model["steps"], stock):
+            for n, start, end, kind, margin in found_in(texts, score, model["steps"]):
                 placed = checked(texts[n], start, end, kind, margin, names, stock)
                 if placed:
                     rows.append((n, placed[0], placed[1], kind))
@@ -421,9 +417,8 @@ def mentions(documents: DataFrame, name_parts: DataFrame, doc: str = "doc_id", t
     """(doc_id, kind, start_pos, end_pos) of every mention, positions in code points from 0.
 
     The tagger is trained on a bounded sample of ``documents`` (see ``fit``) and sent to the tasks. Each whole text
-    is cut into overlapping windows; windows without any sign of a mention (``is_live``) are passed over, the scores of
-    the others are put together and decoded over the whole text (see ``found_in``), and what is decoded is checked
-    (see ``checked``). Null and empty texts have none, repeated rows give repeated rows once each, documents without
+    is cut into overlapping windows, all of which are scored; the scores are put together and decoded over the whole text
+    (see ``found_in``), and what is decoded is checked (see ``checked``). Null and empty texts have none, repeated rows give repeated rows once each, documents without
     id are left out. The name parts are a list that fits a task.
     """
     texts = documents.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text <> ''")

@@ -85,6 +85,41 @@ def forward(p: dict[str, np.ndarray], x: np.ndarray, keep: bool) -> tuple[np.nda
     return hidden @ p["out"] + p["bias"], memo
 
 
+def _scores(p: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """The tag scores of ``forward`` without what the gradient needs, in about two thirds of the time.
+
+    With s(z) = 1 / (1 + exp(-2 z)), which numpy has faster than tanh, the gates are s(z) and tanh(z) is 2 s(z) - 1.
+    """
+    steps, batch = x.shape
+    hidden = np.empty((steps, batch, 2 * HIDDEN), np.float32)
+    z, own = np.empty((batch, 4 * HIDDEN), np.float32), np.empty((batch, 4 * HIDDEN), np.float32)
+    squashed, kept = np.empty((batch, HIDDEN), np.float32), np.empty((batch, HIDDEN), np.float32)
+    with np.errstate(over="ignore"):  # 1 / (1 + inf) is 0
+        for way in "fb":
+            table, weights = -2 * (p["embed"] @ p[f"x{way}"] + p[f"c{way}"]), -2 * p[f"h{way}"]
+            h, c = np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32)
+            at = slice(0, HIDDEN) if way == "f" else slice(HIDDEN, 2 * HIDDEN)
+            for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
+                np.take(table, x[t], axis=0, out=z, mode="clip")
+                z += np.matmul(h, weights, out=own)
+                np.exp(z, out=z)
+                z += 1
+                np.reciprocal(z, out=z)
+                i, f, o, g = z[:, :HIDDEN], z[:, HIDDEN : 2 * HIDDEN], z[:, 2 * HIDDEN : 3 * HIDDEN], z[:, 3 * HIDDEN :]
+                g *= 2
+                g -= 1
+                c *= f
+                c += np.multiply(i, g, out=kept)
+                np.multiply(c, -2, out=squashed)
+                np.exp(squashed, out=squashed)
+                squashed += 1
+                np.divide(2, squashed, out=squashed)
+                squashed -= 1
+                np.multiply(o, squashed, out=h)
+                hidden[t, :, at] = h
+    return hidden @ p["out"] + p["bias"]
+
+
 def loss(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean negative log likelihood of the tags y (time, batch) and its gradient."""
     scores, memo = forward(p, x, True)
@@ -198,7 +233,7 @@ def window_scores(p: dict[str, np.ndarray], codes: list[np.ndarray], together: i
         x = np.zeros((len(codes[chunk[-1]]), len(chunk)), np.int32)
         for n, k in enumerate(chunk):
             x[: len(codes[k]), n] = codes[k]
-        scores, _ = forward(p, x, False)
+        scores = _scores(p, x)
         for n, k in enumerate(chunk):
             out[k] = scores[: len(codes[k]), n].copy()
     return out

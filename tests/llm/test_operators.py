@@ -498,3 +498,33 @@ def test_long_mentions_at_every_place(length):
     found = list(personal.found_in(texts, score, np.zeros((tagger.TAGS, tagger.TAGS), np.float32), personal.OPENERS))
     assert sorted(f[:4] for f in found) == [(at, at, at + length, "email") for at in range(400)]
 
+
+def test_no_window_is_passed_over(monkeypatch):
+    """Windows without a digit, an at sign or capitals are scored too, whatever the number of texts held at a time."""
+    kind = 1 + 2 * personal.KINDS.index("person")
+    seen = []
+
+    def score(parts):
+        seen.extend(parts)
+        out = []
+        for part in parts:
+            scores = np.zeros((len(part), tagger.TAGS), np.float32)
+            at = part.find("halda vasket")
+            if at >= 0:
+                scores[at, kind] = 6
+                scores[at + 1 : at + 12, kind + 1] = 6
+            out.append(scores)
+        return out
+
+    texts = ["a plain word " * 30 + "by halda vasket of old " + "another word " * 40, "", "no case " * 90, "halda vasket"]
+    for block in (50, 400_000):
+        monkeypatch.setattr(personal, "BLOCK", block, raising=False)
+        found = list(personal.found_in(texts, score, np.zeros((tagger.TAGS, tagger.TAGS), np.float32), personal.OPENERS))
+        assert [f[:4] for f in found] == [(0, 393, 405, "person"), (3, 0, 12, "person")]
+    assert sum(map(len, seen)) >= 2 * sum(map(len, texts))
+
+
+def test_scores_without_gradient_are_those_of_forward():
+    p = tagger.initial(30, 4)
+    x = np.random.default_rng(1).integers(0, 30, (70, 9))
+    assert np.abs(tagger._scores(p, x) - tagger.forward(p, x, False)[0]).max() < 1e-3
