@@ -1,6 +1,7 @@
 """Training-data operators on small tables against brute force, with nulls, ties, copies, hot groups and empty tables."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -172,6 +173,26 @@ def test_split_keys_lose_no_version(monkeypatch, large, group, most):
     assert len(truth) > 100 and truth <= candidates
 
 
+def test_a_large_key_is_split_in_bounded_memory(monkeypatch):
+    """Turns of a split are made one after the other, so what is held besides a key's texts doesn't grow with its further tokens."""
+    monkeypatch.setattr(neardup, "MOST_ROWS", 4_000)
+    monkeypatch.setattr(neardup, "BLOCK_PAIRS", 4_000)
+    monkeypatch.setattr(neardup, "SPREAD", 1_000, raising=False)
+    rng = np.random.default_rng(2)
+    texts = ["".join(chr(0x4E00 + c) for c in row) for row in rng.permuted(np.tile(np.arange(400), (8_000, 1)), axis=1)[:, :23]]
+    known, counts = np.unique(neardup._counted(neardup.bags(texts)[0]), return_counts=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["text_id", "plain"])
+    rows = [r | {"key": 1} for b in neardup._keys(known, counts, len(texts), 0.75, 12)(iter([batch])) for r in b.to_pylist() if r["level"] == 0]
+    group = neardup.Group(rows[:250], 0.75)
+    ways = int(np.clip(np.minimum(group.left + 1, group.ends - group.starts), 0, None).sum())
+    tracemalloc.start()
+    for _ in group.pairs():
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * ways
+
+
 @pytest.mark.parametrize("length", [12, 16, 24, 40, 130])
 def test_no_version_at_the_limit_is_lost(spark, length):
     """A quarter of the characters replaced at random places, the rest shuffled in half of the pairs."""
