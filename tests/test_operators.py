@@ -3,6 +3,7 @@
 import io
 import json
 import tarfile
+import threading
 
 import numpy as np
 import pytest
@@ -285,3 +286,24 @@ def test_documents_sections_and_markdown(spark):
     lines = [r.line for r in reports.markdown(rows.select("word", "sentence"), ["sentence"]).collect()]
     assert lines[0] == "| word | sentence |" and len(lines) == 22 and all(x.count("|") == 3 for x in lines)
     assert reports.statistics_documents(rows.limit(0), ["word"], "c", "id", "v", ["sentence"]).count() == 0
+
+
+def _swept_together(spark, monkeypatch, parts):
+    """A small sweep whose two over-clusterings wait for each other; both orders of work give the same figures."""
+    rng = np.random.default_rng(3)
+    data = [(f"g{i % 2}", f"r{i:03d}", [float(x) for x in rng.normal(size=4) + 5 * (i % 3)]) for i in range(120)]
+    rows = spark.createDataFrame(data, "grp string, id string, vec array<float>")
+    configs = sweep.one_factor_configs(spark, (4, 0.95, 0.3), [4, 12], [0.95], [0.3])
+    figures = lambda: sorted((r.grp, r.k, r.k_final, r.n_samples, round(r.silhouette, 9)) for r in pipeline.sweep_results(rows, configs, 4, parts).collect())
+    alone, barrier, over = figures(), threading.Barrier(2), cluster.over_clustered
+
+    def waiting(*args, **named):
+        barrier.wait(30)
+        return over(*args, **named)
+
+    monkeypatch.setattr(cluster, "over_clustered", waiting)
+    assert figures() == alone and len(alone) == 4
+
+
+def test_over_clusterings_of_a_pooled_sweep_run_together(spark, monkeypatch):
+    _swept_together(spark, monkeypatch, 6)
