@@ -307,3 +307,7 @@ def _swept_together(spark, monkeypatch, parts):
 
 def test_over_clusterings_of_a_pooled_sweep_run_together(spark, monkeypatch):
     _swept_together(spark, monkeypatch, 6)
+
+
+def test_over_clusterings_of_a_sweep_of_periods_run_together(spark, monkeypatch):
+    _swept_together(spark, monkeypatch, None)
