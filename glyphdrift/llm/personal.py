@@ -355,52 +355,46 @@ def checked(text: str, start: int, end: int, kind: str, margin: float, names: Na
     return (start, end) if is_name and (kind == "person" or margin >= MARGIN) else None
 
 
-def stitched(length: int, scored: dict[int, np.ndarray]) -> list[tuple[int, np.ndarray]]:
-    """The scores of a text's windows (by their start) put together: start and scores of each run without a gap.
+def kept_of(length: int) -> list[tuple[int, int, int]]:
+    """Start of each window of a text, and from where to where in the window its scores count.
 
     Where two windows overlap, each counts for the half that lies further from its edge.
     """
-    edge = (WINDOW - STEP) // 2
-    out: list[tuple[int, list[np.ndarray]]] = []
-    for at in sorted(scored):
-        low = edge if at - STEP in scored else 0
-        high = STEP + edge if at + STEP in scored else len(scored[at])
-        if low:
-            out[-1][1].append(scored[at][low:high])
-        else:
-            out.append((at, [scored[at][:high]]))
-    return [(at, np.concatenate(parts)) for at, parts in out]
+    edge, starts = (WINDOW - STEP) // 2, list(range(0, max(1, length - WINDOW + STEP), STEP))
+    return [(at, edge if at else 0, STEP + edge if at < starts[-1] else length - at) for at in starts]
 
 
-def found_in(texts: list[str], score: Callable[[list[str]], list[np.ndarray]], steps: np.ndarray, _stock: frozenset[str] = OPENERS) -> Iterator[tuple[int, int, int, str, float]]:
+def found_in(texts: list[str], score: Callable, steps: np.ndarray, _stock: frozenset[str] = OPENERS, ranged: bool = False) -> Iterator[tuple[int, int, int, str, float]]:
     """(text, start, end, kind, margin) of every mention in folded texts.
 
     Every window of every text is scored; a text's scores are put together and decoded as one run, so a mention may be
     of any length. Texts of about ``BLOCK`` characters are held at a time. No window is left out for its words, so
-    ``_stock`` isn't looked at.
+    ``_stock`` isn't looked at. With ``ranged`` ``score`` also takes which range of each window counts, and gives the
+    scores of these ranges only, one after the other.
     """
     ends = np.cumsum([len(t) for t in texts]) // BLOCK
     for block in np.unique(ends):
         own = np.flatnonzero(ends == block).tolist()
-        wanted = [(n, at) for n in own for at in windows(texts[n])]
-        scored: dict[int, dict[int, np.ndarray]] = {n: {} for n in own}
-        for (n, at), scores in zip(wanted, score([texts[n][at : at + WINDOW] for n, at in wanted])):
-            scored[n][at] = scores
-        runs = [(n, at, scores) for n in own for at, scores in stitched(len(texts[n]), scored.pop(n))]
-        for (n, at, scores), tags in zip(runs, decode_runs(steps, [r[2] for r in runs])):
+        wanted = [(n, at, low, high) for n in own for at, low, high in kept_of(len(texts[n]))]
+        parts, kept = [texts[n][at : at + WINDOW] for n, at, _, _ in wanted], [(low, high) for _, _, low, high in wanted]
+        scored = score(parts, kept) if ranged else np.concatenate([s[low:high] for s, (low, high) in zip(score(parts), kept)])
+        bounds = np.cumsum([0] + [len(texts[n]) for n in own]).tolist()
+        runs = [scored[a:b] for a, b in zip(bounds, bounds[1:])]
+        for n, scores, tags in zip(own, runs, decode_runs(steps, runs)):
             found = spans(tags) if tags.any() else []
             for (start, end, kind), margin in zip(found, margins(steps, scores, tags, found) if found else []):
-                yield n, at + start, at + end, kind, margin
+                yield n, start, end, kind, margin
 
 
 def _find(model: dict[str, np.ndarray], alphabet: Alphabet, stock: frozenset[str], names: Names) -> Callable[[Batches], Batches]:
+    table = alphabet.table()
+
     def run(batches: Batches) -> Batches:
-        table = alphabet.table()
-        score = lambda parts: window_scores(model, [Alphabet.encode(table, p) for p in parts])
+        score = lambda parts, kept: window_scores(model, Alphabet.encode(table, "".join(parts)), np.array([len(p) for p in parts], np.int64), kept)
         for batch in batches:
             texts = [fold(t) for t in batch.column(1).to_pylist()]
             rows = []
-            for n, start, end, kind, margin in found_in(texts, score, model["steps"]):
+            for n, start, end, kind, margin in found_in(texts, score, model["steps"], ranged=True):
                 placed = checked(texts[n], start, end, kind, margin, names, stock)
                 if placed:
                     rows.append((n, placed[0], placed[1], kind))

@@ -85,39 +85,45 @@ def forward(p: dict[str, np.ndarray], x: np.ndarray, keep: bool) -> tuple[np.nda
     return hidden @ p["out"] + p["bias"], memo
 
 
-def _scores(p: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    """The tag scores of ``forward`` without what the gradient needs, in about two thirds of the time.
+def _states(p: dict[str, np.ndarray], way: str, x: np.ndarray) -> np.ndarray:
+    """Twice the hidden states (time, batch, hidden) of one direction over x (time, batch), whose rows are in its order.
 
-    With s(z) = 1 / (1 + exp(-2 z)), which numpy has faster than tanh, the gates are s(z) and tanh(z) is 2 s(z) - 1.
+    Every gate has an array of its own, so that no operation steps over the others; with sigmoid(2 z) = (tanh(z) + 1) / 2
+    the halves go into the recurrent weights and one product.
     """
     steps, batch = x.shape
-    hidden = np.empty((steps, batch, 2 * HIDDEN), np.float32)
-    z, own = np.empty((batch, 4 * HIDDEN), np.float32), np.empty((batch, 4 * HIDDEN), np.float32)
-    squashed, kept = np.empty((batch, HIDDEN), np.float32), np.empty((batch, HIDDEN), np.float32)
-    with np.errstate(over="ignore"):  # 1 / (1 + inf) is 0
-        for way in "fb":
-            table, weights = -2 * (p["embed"] @ p[f"x{way}"] + p[f"c{way}"]), -2 * p[f"h{way}"]
-            h, c = np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32)
-            at = slice(0, HIDDEN) if way == "f" else slice(HIDDEN, 2 * HIDDEN)
-            for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
-                np.take(table, x[t], axis=0, out=z, mode="clip")
-                z += np.matmul(h, weights, out=own)
-                np.exp(z, out=z)
-                z += 1
-                np.reciprocal(z, out=z)
-                i, f, o, g = z[:, :HIDDEN], z[:, HIDDEN : 2 * HIDDEN], z[:, 2 * HIDDEN : 3 * HIDDEN], z[:, 3 * HIDDEN :]
-                g *= 2
-                g -= 1
-                c *= f
-                c += np.multiply(i, g, out=kept)
-                np.multiply(c, -2, out=squashed)
-                np.exp(squashed, out=squashed)
-                squashed += 1
-                np.divide(2, squashed, out=squashed)
-                squashed -= 1
-                np.multiply(o, squashed, out=h)
-                hidden[t, :, at] = h
-    return hidden @ p["out"] + p["bias"]
+    table = np.ascontiguousarray((p["embed"] @ p[f"x{way}"] + p[f"c{way}"]).astype(np.float32).reshape(-1, 4, HIDDEN).transpose(1, 0, 2))
+    weights = np.ascontiguousarray((0.5 * p[f"h{way}"]).astype(np.float32).reshape(HIDDEN, 4, HIDDEN).transpose(1, 0, 2))
+    z, own = np.empty((4, batch, HIDDEN), np.float32), np.empty((4, batch, HIDDEN), np.float32)
+    i, f, o, g = z
+    c, squashed, h = np.zeros((batch, HIDDEN), np.float32), np.empty((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32)
+    hidden = np.empty((steps, batch, HIDDEN), np.float32)
+    for t in range(steps):
+        for k in range(4):
+            table[k].take(x[t], 0, z[k], "clip")
+        z += np.matmul(h, weights, out=own)
+        np.tanh(z, out=z)
+        z[:3] += 1
+        c *= f
+        i *= g
+        c += i
+        c *= np.float32(0.5)
+        np.tanh(c, out=squashed)
+        h = hidden[t]
+        np.multiply(o, squashed, out=h)
+    return hidden
+
+
+def _shares(p: dict[str, np.ndarray], way: str, x: np.ndarray) -> np.ndarray:
+    """What one direction gives to the tag scores (time, batch, tag)."""
+    own = p["out"][:HIDDEN] if way == "f" else p["out"][HIDDEN:]
+    steps, batch = x.shape
+    return (_states(p, way, x).reshape(-1, HIDDEN) @ (0.5 * own).astype(np.float32)).reshape(steps, batch, TAGS)
+
+
+def _scores(p: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """The tag scores of ``forward`` without what the gradient needs."""
+    return _shares(p, "f", x) + _shares(p, "b", x[::-1])[::-1] + p["bias"]
 
 
 def loss(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -224,54 +230,86 @@ def best_path(steps: np.ndarray, scores: np.ndarray) -> np.ndarray:
     return tags
 
 
-def window_scores(p: dict[str, np.ndarray], codes: list[np.ndarray], together: int = 512) -> list[np.ndarray]:
-    """Tag scores (length, tag) of each window of character numbers, windows of like length together."""
-    out: list[np.ndarray] = [np.empty(0)] * len(codes)
-    order = sorted(range(len(codes)), key=lambda k: len(codes[k]))
-    for first in range(0, len(order), together):
-        chunk = order[first : first + together]
-        x = np.zeros((len(codes[chunk[-1]]), len(chunk)), np.int32)
-        for n, k in enumerate(chunk):
-            x[: len(codes[k]), n] = codes[k]
-        scores = _scores(p, x)
-        for n, k in enumerate(chunk):
-            out[k] = scores[: len(codes[k]), n].copy()
+def window_scores(p: dict[str, np.ndarray], codes: np.ndarray, sizes: np.ndarray, kept: list[tuple[int, int]], together: int = 320) -> np.ndarray:
+    """Tag scores (place, tag) of the ``kept`` range of each window, one after the other; windows of like length together.
+
+    ``codes`` holds the character numbers of all windows, of ``sizes`` characters each. Each direction begins at its end
+    of a window and stops where the range ends for it.
+    """
+    low, high = np.array(kept, np.int64).reshape(-1, 2).T
+    begin, place = np.cumsum(sizes) - sizes, (np.cumsum(high - low) - (high - low)).tolist()
+    out = np.empty((int((high - low).sum()), TAGS), np.float32)
+    for way in "fb":
+        length = high if way == "f" else sizes - low
+        order = np.argsort(length, kind="stable")
+        for first in range(0, len(order), together):
+            chunk = order[first : first + together]
+            step = np.minimum(np.arange(length[chunk[-1]])[:, None], length[chunk] - 1)  # the last one again, where nothing is kept
+            x = codes[begin[chunk] + step if way == "f" else (begin + sizes - 1)[chunk] - step]
+            shares = _shares(p, way, x)
+            if way == "f":
+                shares += p["bias"]
+            for n, (k, a, b, size) in enumerate(zip(chunk.tolist(), low[chunk].tolist(), high[chunk].tolist(), sizes[chunk].tolist())):
+                if way == "f":
+                    out[place[k] : place[k] + b - a] = shares[a:b, n]
+                else:
+                    out[place[k] : place[k] + b - a] += shares[size - b : size - a, n][::-1]
     return out
 
 
-PIECE = 400  # characters of a long run of scores that are decoded together
+GAP = -1e7  # between texts, so that no tagged run reaches from one into the next
 
 
-def pieces(scores: np.ndarray) -> list[tuple[int, int]]:
-    """A long run is cut where "outside" is most certain within the second half of a piece, else where it first leads again."""
-    out, at = [], 0
-    lead = scores[:, 0] - scores[:, 1:].max(1)
-    while len(scores) - at > PIECE:
-        end = at + PIECE // 2 + int(lead[at + PIECE // 2 : at + PIECE].argmax())
-        if lead[end] <= 0:
-            later = np.flatnonzero(lead[at + PIECE :] > 0)
-            if not len(later):
-                break
-            end = at + PIECE + int(later[0])
-        out.append((at, end))
-        at = end
-    return [*out, (at, len(scores))]
+def live(steps: np.ndarray, lead: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the most likely tags may be others than "outside"; everywhere else they can't.
+
+    ``lead`` (tag, place) holds the scores of all other tags less that of "outside", ``starts`` the first places of the
+    texts. A place is out when no mention of any kind that holds it would gain anything over "outside", whatever stands
+    beside it: taking such a mention out of a path makes it better.
+    """
+    moves = np.where(ALLOWED, steps, -np.inf).astype(np.float64) - float(steps[0, 0])
+    enter, leave, joint = moves[0, 1::2], moves[1:, 0], moves[1:, 1::2]
+    enter, leave = np.maximum(enter, (joint - leave[:, None]).max(0)), np.maximum(leave, (joint - enter).max(1))
+    out = np.zeros(lead.shape[1], bool)
+    for k in range(len(KINDS)):
+        total = np.cumsum(lead[2 * k + 1] + moves[2 * k + 2, 2 * k + 2], dtype=np.float64)
+        begin = lead[2 * k] + enter[k] - total
+        begin[starts] += max(0.0, -enter[k])  # nothing is entered from at the first place
+        more = max(0.0, moves[2 * k + 1, 2 * k + 2] - moves[2 * k + 2, 2 * k + 2]) + leave[2 * k : 2 * k + 2].max()
+        out |= np.maximum.accumulate(begin) + np.maximum.accumulate(total[::-1])[::-1] + more > -1e-2
+    return out
 
 
 def decode_runs(steps: np.ndarray, runs: list[np.ndarray]) -> list[np.ndarray]:
-    """Most likely tags of each run of scores (length, tag) as a whole."""
-    tags = [np.zeros(len(r), np.int8) for r in runs]
-    parts = sorted(((b - a, n, a, b) for n, r in enumerate(runs) for a, b in pieces(r)))
-    for first in range(0, len(parts), 512):
-        chunk = parts[first : first + 512]
-        scores = np.full((chunk[-1][0], len(chunk), TAGS), BARRED, np.float32)
-        scores[:, :, 0] = 0
-        for k, (length, n, a, b) in enumerate(chunk):
-            scores[:length, k] = runs[n][a:b]
-        found = best_path(steps, scores)
-        for k, (length, n, a, b) in enumerate(chunk):
-            tags[n][a:b] = found[:length, k]
-    return tags
+    """Most likely tags of each run of scores (length, tag) as a whole.
+
+    The places that may have other tags than "outside" are decoded, each stretch of them between places that can't; a run
+    ends before one that is outside.
+    """
+    ends = np.cumsum([len(r) + 1 for r in runs], dtype=np.int64)
+    starts = ends - [len(r) + 1 for r in runs]
+    lead = np.full((TAGS - 1, int(ends[-1]) if len(runs) else 0), GAP)
+    for r, start in zip(runs, starts.tolist()):
+        np.subtract(r[:, 1:].T, r[:, 0], out=lead[:, start : start + len(r)])
+    tags = np.zeros(lead.shape[1], np.int8)
+    if (edges := np.flatnonzero(np.diff(live(steps, lead, starts), prepend=False, append=False))).size:
+        owner = np.searchsorted(ends, edges[::2], side="right")
+        parts = []
+        for n, low, high in zip(owner.tolist(), edges[::2].tolist(), edges[1::2].tolist()):
+            start = int(starts[n])
+            low, high = low - start, min(high - start, len(runs[n]))
+            parts.append((high - low, n, low, high, start))
+        parts.sort()
+        for first in range(0, len(parts), 512):
+            chunk = parts[first : first + 512]
+            scores = np.full((chunk[-1][0] + 2, len(chunk), TAGS), BARRED, np.float32)
+            scores[:, :, 0] = 0
+            for k, (length, n, low, high, _) in enumerate(chunk):
+                scores[low > 0 :, k][:length] = runs[n][low:high]  # before the first place of a run there is nothing
+            found = best_path(steps, scores)
+            for k, (length, _, low, _, start) in enumerate(chunk):
+                tags[start + low : start + low + length] = found[int(low > 0) :, k][:length]
+    return [tags[start : start + len(r)] for r, start in zip(runs, starts.tolist())]
 
 
 def margins(steps: np.ndarray, scores: np.ndarray, tags: np.ndarray, found: list[tuple[int, int, str]]) -> list[float]:

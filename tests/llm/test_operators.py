@@ -549,3 +549,37 @@ def test_scores_without_gradient_are_those_of_forward():
     p = tagger.initial(30, 4)
     x = np.random.default_rng(1).integers(0, 30, (70, 9))
     assert np.abs(tagger._scores(p, x) - tagger.forward(p, x, False)[0]).max() < 1e-3
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_runs_are_decoded_as_a_whole(seed):
+    """Tags are those of a search of the whole run, though only stretches where a mention could stand are searched."""
+    rng = np.random.default_rng(seed)
+    steps = rng.normal(0, 1.5, (tagger.TAGS, tagger.TAGS)).astype(np.float32)
+    runs = []
+    for length in (1, 2, 30, 700, 2500):
+        scores = rng.normal(0, 2, (length, tagger.TAGS)).astype(np.float32)
+        scores[:, 0] += 2 + seed
+        runs.append(scores)
+    gains = 0.0
+    for scores, tags in zip(runs, tagger.decode_runs(steps, runs)):
+        end = np.full((1, tagger.TAGS), tagger.BARRED, np.float32)
+        end[0, 0] = 0
+        best = tagger.best_path(steps, np.concatenate([scores, end])[:, None])[:-1, 0]
+
+        def value(path):
+            path = np.append(path, 0)
+            return scores[np.arange(len(scores)), path[:-1]].sum(dtype=np.float64) + steps[path[:-1], path[1:]].sum(dtype=np.float64)
+
+        assert value(tags) >= value(best) - 1e-2
+        gains += value(best) - value(np.zeros(len(best), int))
+    assert gains > 0
+
+
+def test_scores_of_ranges_are_those_of_whole_windows():
+    p, rng = tagger.initial(30, 4), np.random.default_rng(1)
+    sizes = np.array([7, 160, 160, 31, 160])
+    kept = [(0, 7), (0, 140), (20, 140), (20, 31), (20, 160)]
+    codes = [rng.integers(0, 30, n) for n in sizes]
+    whole = [tagger.forward(p, c[:, None], False)[0][a:b, 0] for c, (a, b) in zip(codes, kept)]
+    assert np.abs(tagger.window_scores(p, np.concatenate(codes), sizes, kept, together=2) - np.concatenate(whole)).max() < 1e-3
