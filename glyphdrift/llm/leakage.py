@@ -37,8 +37,14 @@ def tokens(text: str) -> list[str]:
 
 def spread(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each run of ``counts`` places from ``starts`` on: the run's number, and the places."""
-    row = np.repeat(np.arange(len(counts)), counts)
-    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[row]
+    return np.repeat(np.arange(len(counts)), counts), places(starts, counts)
+
+
+def places(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Places of runs of ``counts`` from ``starts`` on."""
+    out = np.repeat(starts - (np.cumsum(counts) - counts), counts)
+    out += np.arange(len(out))
+    return out
 
 
 class ItemIndex:
@@ -64,16 +70,22 @@ class ItemIndex:
         get = self.number.get
         return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
 
-    def codes(self, words: np.ndarray) -> np.ndarray:
-        """A code for each place, of the word and its follower; -1 where one is in no item."""
+    def codes(self, words: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
+        """A code for each place, of the word and its follower; -1 where one is in no item. ``words`` may hold several texts, with their ``ends``."""
         follower = np.append(words[1:], -2)  # -2: the end
+        if ends is not None:
+            follower[ends[ends > 0] - 1] = -2
         return np.where((words < 0) | (follower == -1), -1, (words << 31) | (follower + 2))
 
-    def known(self, words: np.ndarray) -> np.ndarray:
-        """Term number of each place of a text, -1 for terms of no item."""
-        code = self.codes(words)
-        at = np.minimum(np.searchsorted(self.vocabulary, code), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == code, at, -1)
+    def known(self, words: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
+        """Term number of each place of a text (or of several, see ``codes``), -1 for terms of no item."""
+        code = self.codes(words, ends)
+        out = np.full(len(words), -1, np.int64)
+        some = np.flatnonzero(code >= 0)
+        at = np.minimum(np.searchsorted(self.vocabulary, code[some]), len(self.vocabulary) - 1)
+        same = self.vocabulary[at] == code[some]
+        out[some[same]] = at[same]
+        return out
 
     def weigh(self, seen: np.ndarray, total: int) -> None:
         """Fill the postings from the number of corpus texts, of ``total``, that hold each term."""
@@ -90,6 +102,7 @@ class ItemIndex:
         term, part, impact = np.concatenate(term), np.concatenate(part), np.concatenate(impact)
         order = np.lexsort((part, term))
         self.part, self.impact = part[order], impact[order]
+        self.part_block = self.part // BLOCK_PARTS
         self.starts = np.searchsorted(term[order], np.arange(len(self.vocabulary) + 1))
         blocks = -(-len(self.parts) // BLOCK_PARTS)
         key = term[order] * blocks + self.part // BLOCK_PARTS
@@ -104,6 +117,22 @@ class ItemIndex:
         codes = np.concatenate([(p << 31) | self.words[n][a:b] for p, (n, a, b) in enumerate(self.parts)])
         order = np.argsort(codes, kind="stable")
         self.part_codes, self.part_places = codes[order], np.concatenate([np.arange(n) for n in sizes])[order]
+        first = np.flatnonzero(np.diff(self.part_codes, prepend=-1))
+        self.part_runs = np.repeat(np.diff(np.append(first, len(codes))), np.diff(np.append(first, len(codes))))
+        self.shift = 64 - max(12, int(len(codes)).bit_length() + 5)
+        self.marked = np.zeros(1 << (64 - self.shift), bool)
+        self.marked[self.mark(self.part_codes)] = True
+
+    def mark(self, code: np.ndarray) -> np.ndarray:
+        """A place in ``marked``, where only codes of parts are true, and few others."""
+        return (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(self.shift)).astype(np.int64)
+
+    def in_part(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the codes (part and word) are in a part, and of those the first place in ``part_codes`` and how many."""
+        some = np.flatnonzero(self.marked[self.mark(code)])
+        low = np.minimum(np.searchsorted(self.part_codes, code[some]), len(self.part_codes) - 1)
+        same = self.part_codes[low] == code[some]
+        return some[same], low[same], self.part_runs[low[same]]
 
     def search(self, passage: np.ndarray, term: np.ndarray) -> np.ndarray:
         """(passage, part) of every score of at least the threshold; ``passage`` is sorted, its terms are distinct.
@@ -118,29 +147,27 @@ class ItemIndex:
         first = np.flatnonzero(np.diff(passage, prepend=-1))
         before = np.repeat((total - self.top[term])[first], np.diff(np.append(first, len(passage))))
         late = np.flatnonzero(total - before >= THRESHOLD - 1e-9)
-        blocks, parts = -(-len(self.parts) // BLOCK_PARTS), len(self.parts)
-        row, at = spread(self.block_starts[term[late]], np.diff(self.block_starts)[term[late]])
-        seen = np.unique(passage[late][row] * blocks + self.block[at])
-        own = np.flatnonzero(np.isin(passage, seen // blocks))
-        row, at = spread(self.block_starts[term[own]], np.diff(self.block_starts)[term[own]])
-        bounds = self.summed(seen, passage[own][row] * blocks + self.block[at], self.block_top[at])
-        seen = seen[bounds >= THRESHOLD - 1e-9]
-        own = np.flatnonzero(np.isin(passage, seen // blocks))
-        row, at = spread(self.starts[term[own]], np.diff(self.starts)[term[own]])
-        inside = np.flatnonzero(np.isin(passage[own][row] * blocks + self.part[at] // BLOCK_PARTS, seen))
-        key = passage[own][row[inside]] * parts + self.part[at[inside]]
-        pairs = np.unique(key)
-        found = pairs[self.summed(pairs, key, self.impact[at[inside]]) >= THRESHOLD - 1e-9]
-        return np.stack([found // parts, found % parts], 1)
-
-    @staticmethod
-    def summed(keys: np.ndarray, key: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """Sum of the values of each of the sorted ``keys``; other values count nowhere."""
-        if not len(keys):
-            return np.empty(0)
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        same = keys[at] == key
-        return np.bincount(at[same], value[same], len(keys))
+        blocks = -(-len(self.parts) // BLOCK_PARTS)
+        size = (int(passage[-1]) + 1 if len(passage) else 0) * blocks
+        counts = np.diff(self.block_starts)
+        seen = np.zeros(size, bool)
+        seen[np.repeat(passage[late] * blocks, counts[term[late]]) + self.block[places(self.block_starts[term[late]], counts[term[late]])]] = True
+        own = np.flatnonzero(seen.reshape(-1, blocks).any(1)[passage])
+        at = places(self.block_starts[term[own]], counts[term[own]])
+        bounds = np.bincount(np.repeat(passage[own] * blocks, counts[term[own]]) + self.block[at], self.block_top[at], size)
+        seen &= bounds >= THRESHOLD - 1e-9
+        own = np.flatnonzero(seen.reshape(-1, blocks).any(1)[passage])
+        kept = np.flatnonzero(seen)
+        slot = np.full(size, -1, np.int64)
+        slot[kept] = np.arange(len(kept))
+        counts = np.diff(self.starts)[term[own]]
+        at = places(self.starts[term[own]], counts)
+        inside = slot[np.repeat(passage[own] * blocks, counts) + self.part_block[at]]
+        some = np.flatnonzero(inside >= 0)
+        key = inside[some] * BLOCK_PARTS + self.part[at[some]] % BLOCK_PARTS
+        found = np.flatnonzero(np.bincount(key, self.impact[at[some]], len(kept) * BLOCK_PARTS) >= THRESHOLD - 1e-9)
+        place = kept[found // BLOCK_PARTS]
+        return np.stack([place // blocks, place % blocks * BLOCK_PARTS + found % BLOCK_PARTS], 1)
 
 
 def parts_of(length: int) -> list[tuple[int, int]]:
@@ -150,17 +177,17 @@ def parts_of(length: int) -> list[tuple[int, int]]:
     return list(zip(bounds, bounds[1:]))
 
 
-def passages_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Passages of the texts' term numbers: the text and beginning of each, then passage and term of each distinct known term."""
-    lengths = np.array([len(t) for t in texts], np.int64)
+def passages_of(terms: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Passages of the texts' term numbers, which stand one after the other: the text and beginning of each, then passage and term of each distinct known term."""
     count = np.maximum(1, -(-(lengths - PASSAGE) // STRIDE) + 1)
-    text = np.repeat(np.arange(len(texts)), count)
+    text = np.repeat(np.arange(len(lengths)), count)
     begin = (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
     offset = np.cumsum(lengths) - lengths
     size = np.minimum(PASSAGE, lengths[text] - begin)
     row, at = spread(offset[text] + begin, size)
-    term = np.concatenate(texts)[at] if len(texts) else np.empty(0, np.int64)
-    key = np.unique((row[term >= 0] << 32) | term[term >= 0])
+    held = np.flatnonzero(terms[at] >= 0)
+    key = np.sort((row[held] << 32) | terms[at[held]])
+    key = key[np.flatnonzero(np.diff(key, prepend=-1))]
     return text, begin, key >> 32, key & (2**32 - 1)
 
 
@@ -170,14 +197,13 @@ def places_of(index: ItemIndex, words: np.ndarray, ends: np.ndarray, begin: np.n
     ``words`` holds texts one after the other and ``ends`` the end of each hit's text. The surroundings of half a step on
     either side belong to a passage, so every place of a part lies whole in one of them.
     """
-    row, at = spread(begin, np.minimum(begin + PASSAGE + STRIDE, ends) - begin)
-    known = np.flatnonzero(words[at] >= 0)
-    row, at = row[known], at[known]
-    code = (part[row] << 31) | words[at]
-    low, high = np.searchsorted(index.part_codes, code), np.searchsorted(index.part_codes, code, side="right")
-    match, place = spread(low, high - low)
-    i = index.part_places[place]
-    key = np.sort((row[match] << 44) | ((at[match] - begin[row[match]] - i + 2 * PASSAGE + 2**14) << 20) | i)
+    known = np.flatnonzero(words >= 0)
+    first, last = np.searchsorted(known, begin), np.searchsorted(known, np.minimum(begin + PASSAGE + STRIDE, ends))
+    at = places(first, last - first)
+    some, low, count = index.in_part(np.repeat(part << 31, last - first) | words[known][at])
+    row = np.repeat(np.searchsorted(np.cumsum(last - first), some, side="right"), count)
+    i = index.part_places[places(low, count)]
+    key = np.sort((row << 44) | ((np.repeat(known[at[some]], count) - begin[row] - i + 2 * PASSAGE + 2**14) << 20) | i)
     way, i = key >> 20, key & (2**20 - 1)
     first = np.flatnonzero((np.diff(way, prepend=-1) != 0) | (np.diff(i, prepend=0) > JUMP))
     if not len(first):
@@ -285,9 +311,12 @@ def _count(index: ItemIndex) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(len(index.vocabulary), np.int64)
         for batch in batches:
-            for words in batch.column(1).to_pylist():
-                held = np.unique(index.known(np.frombuffer(words, "<i4").astype(np.int64)))
-                seen[held[held >= 0]] += 1
+            texts = batch.column(1).to_pylist()
+            lengths = np.array([len(w) // 4 for w in texts], np.int64)
+            term = index.known(np.frombuffer(b"".join(texts), "<i4").astype(np.int64), np.cumsum(lengths))
+            held = np.flatnonzero(term >= 0)
+            key = np.sort(np.repeat(np.arange(len(texts)), lengths)[held] * len(seen) + term[held])
+            seen += np.bincount(key[np.flatnonzero(np.diff(key, prepend=-1))] % len(seen), minlength=len(seen))
         held = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(seen[held])], names=["term", "n"])
 
@@ -308,12 +337,12 @@ def _scan(index: ItemIndex) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                     size += len(texts[last])
                     last += 1
                 near = texts[first:last]
-                owner, begin, passage, term = passages_of([index.known(t) for t in near])
+                words, lengths = np.concatenate(near), np.array([len(t) for t in near], np.int64)
+                owner, begin, passage, term = passages_of(index.known(words, np.cumsum(lengths)), lengths)
                 hits = index.search(passage, term)
-                lengths = np.array([len(t) for t in near], np.int64)
                 offset = np.cumsum(lengths) - lengths
                 text = owner[hits[:, 0]]
-                held = places_of(index, np.concatenate(near), (offset + lengths)[text], offset[text] + np.maximum(0, begin[hits[:, 0]] - STRIDE // 2), hits[:, 1])
+                held = places_of(index, words, (offset + lengths)[text], offset[text] + np.maximum(0, begin[hits[:, 0]] - STRIDE // 2), hits[:, 1])
                 hits = hits[held >= LEAST_WEIGHT / 2 - 1e-9]
                 for key in np.unique(owner[hits[:, 0]] * len(index.ids) + item_of[hits[:, 1]]).tolist():
                     doc, item = first + key // len(index.ids), key % len(index.ids)

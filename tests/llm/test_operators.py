@@ -430,6 +430,31 @@ def test_share_held_equals_all_pairs():
         assert leakage.share_held(item, rarity, text)[1] == pytest.approx(most / sum(rarity))
 
 
+def test_search_of_texts_together_equals_scores_of_all_parts():
+    rng = np.random.default_rng(3)
+    word = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 60, n))
+    index = leakage.ItemIndex([(i, word(n)) for i, n in enumerate([5, 40, 300, 90, 700, 60] * 6)])
+    texts = [index.numbers(leakage.tokens(word(n) + " unknown " + word(30))) for n in (3, 250, 0, 900)] + [np.empty(0, np.int64)]
+    lengths = np.array([len(t) for t in texts])
+    terms = index.known(np.concatenate(texts), np.cumsum(lengths))
+    assert terms.tolist() == np.concatenate([index.known(t) for t in texts]).tolist()
+    index.weigh(rng.integers(0, 40, len(index.vocabulary)).astype(float), 50)
+    owner, begin, passage, term = leakage.passages_of(terms, lengths)
+    scores = np.zeros((len(owner), len(index.parts)))
+    for p, (n, at) in enumerate(zip(owner, begin)):
+        low = int(lengths[:n].sum() + at)
+        held = np.unique(terms[low : low + min(leakage.PASSAGE, int(lengths[n]) - at)])
+        for t in held[held >= 0]:
+            places = slice(index.starts[t], index.starts[t + 1])
+            scores[p, index.part[places]] += index.impact[places]
+    wanted = np.argwhere(scores >= leakage.THRESHOLD - 1e-9).tolist()
+    assert wanted and sorted(index.search(passage, term).tolist()) == wanted
+    code = np.concatenate([index.part_codes, rng.integers(0, 1 << 40, 500)])
+    some, first, count = index.in_part(code)
+    assert some.tolist() == np.flatnonzero(np.isin(code, index.part_codes)).tolist()
+    assert all((index.part_codes[a : a + n] == code[k]).all() and n == (index.part_codes == code[k]).sum() for k, a, n in zip(some, first, count))
+
+
 # --- 10 personal data -------------------------------------------------------------------------------------------------------
 
 
