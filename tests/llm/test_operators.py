@@ -193,6 +193,34 @@ def test_a_large_key_is_split_in_bounded_memory(monkeypatch):
     assert peak < 40 * ways
 
 
+@pytest.mark.parametrize("length", [14, 60, 150])
+@pytest.mark.parametrize("share", [0.75, 0.8])
+def test_pairs_within_runs_are_all_that_reach_the_bounds(length, share):
+    """Runs of any size, compared a few at a time, give just the pairs that the bounds of class and text let through."""
+    rng = np.random.default_rng(length)
+    base = rng.integers(0x4E00, 0x4E00 + 200, length)
+    texts = ["".join(map(chr, np.where(rng.random(length) < 0.3, rng.integers(0x4E00, 0x4E00 + 200, length), base))) for _ in range(700)]
+    known, counts = np.unique(neardup._counted(neardup.bags(texts)[0]), return_counts=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["text_id", "plain"])
+    rows = [r | {"key": 1} for b in neardup._keys(known, counts, len(texts), share, 12)(iter([batch])) for r in b.to_pylist()]
+    group = neardup.Group([r for r in rows if (r["level"], r["depth"]) == (rows[0]["level"], rows[0]["depth"])], share)
+    sizes = np.array([2] * 90 + [3] * 40 + [16, 150, 161, 205, 30, 1])
+    first, members = np.cumsum(sizes) - sizes, rng.integers(0, len(group.n), sizes.sum()).astype(np.int32)
+    wanted = set()
+    for a, n in zip(first, sizes):
+        i, j = (members[a + x] for x in np.triu_indices(n, 1))
+        least = share * np.maximum(group.n[i], group.n[j]) if group.level == 0 else share / 2 * (group.size[i] + group.size[j])
+        near = np.bitwise_count(group.own[i] & group.own[j]) + np.minimum(group.own_beyond[i], group.own_beyond[j]) >= least - 1e-9
+        whole = np.bitwise_count(group.whole[i] & group.whole[j]).sum(1) + np.minimum(group.beyond[i], group.beyond[j])
+        near &= (whole >= share * np.maximum(group.n[i], group.n[j]) - 1e-9) & (group.text[i] != group.text[j])
+        wanted |= {(min(x, y), max(x, y)) for x, y in zip(group.text[i[near]].tolist(), group.text[j[near]].tolist())}
+    blocks = list(group.within(members, first, sizes))
+    found = {tuple(divmod(p, len(group.ids))) for block in blocks for p in block.tolist()}
+    reach = lambda pairs: {p for p in pairs if sum((Counter(texts[group.ids[p[0]]]) & Counter(texts[group.ids[p[1]]])).values()) >= share * length}
+    assert wanted and wanted <= found and (share != 0.75 or wanted == found) and reach(wanted) == reach(found)
+    assert len(blocks) < 60 and hasattr(group, "need")
+
+
 @pytest.mark.parametrize("length", [12, 16, 24, 40, 130])
 def test_no_version_at_the_limit_is_lost(spark, length):
     """A quarter of the characters replaced at random places, the rest shuffled in half of the pairs."""
