@@ -311,3 +311,16 @@ def test_over_clusterings_of_a_pooled_sweep_run_together(spark, monkeypatch):
 
 def test_over_clusterings_of_a_sweep_of_periods_run_together(spark, monkeypatch):
     _swept_together(spark, monkeypatch, None)
+
+
+def test_silhouettes_of_several_clusterings_share_their_rows(spark):
+    """One pass over the distances of the sampled rows gives what a pass for each clustering gives, also where one has a single cluster."""
+    rng = np.random.default_rng(4)
+    rows = [(g, f"{g}{i}", rng.normal(i % 3 * size, 1, 6).tolist(), i % 3) for g, size in (("a", 2.0), ("b", 0.5)) for i in range(70)]
+    one = spark.createDataFrame(rows, "grp string, id string, vec array<float>, cluster int")
+    runs = [one, one.withColumn("cluster", F.col("cluster") % 2), one.withColumn("cluster", F.when(F.col("grp") == "a", 0).otherwise(F.col("cluster")))]
+    for sample in (50, 5_000):
+        shared = {(r.run, r.grp): (r.n, r.silhouette) for r in cluster.shared_silhouettes(cluster.sampled_rows(one, sample), runs).collect()}
+        single = {(n, r.grp): (r.n, r.silhouette) for n, run in enumerate(runs) for r in cluster.silhouettes(run, sample).collect()}
+        assert shared.keys() == single.keys() and shared[2, "a"][1] is None
+        assert all(shared[k][0] == n and (v is None or abs(shared[k][1] - v) < 1e-9) for k, (n, v) in single.items())
