@@ -324,3 +324,20 @@ def test_silhouettes_of_several_clusterings_share_their_rows(spark):
         single = {(n, r.grp): (r.n, r.silhouette) for n, run in enumerate(runs) for r in cluster.silhouettes(run, sample).collect()}
         assert shared.keys() == single.keys() and shared[2, "a"][1] is None
         assert all(shared[k][0] == n and (v is None or abs(shared[k][1] - v) < 1e-9) for k, (n, v) in single.items())
+
+
+def test_rounds_read_only_groups_that_still_move(spark, monkeypatch):
+    """Small groups are settled in a task; rounds over all rows of the large ones don't send the small ones' vectors to Python again."""
+    rng = np.random.default_rng(6)
+    counts = {"large": 300, "small": 40}
+    rows = spark.createDataFrame([(g, f"{g}{i}", rng.normal(i % 4, 1.5, 5).tolist()) for g, n in counts.items() for i in range(n)], "grp string, id string, vec array<float>")
+    monkeypatch.setattr(cluster, "START_ROWS", 100)
+    seen, whole = [], cluster.grouped_sums
+
+    def watched(part, measure, size):
+        seen.append({r[0] for r in part.select("grp").distinct().collect()})
+        return whole(part, measure, size)
+
+    monkeypatch.setattr(cluster, "grouped_sums", watched)
+    found = cluster.grouped_kmeans(rows, {"large": 4, "small": 3}, counts, 5)
+    assert seen and all(keys == {"large"} for keys in seen) and found.keys() == counts.keys()
