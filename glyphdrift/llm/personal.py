@@ -19,7 +19,8 @@ from pyspark.sql import Window as W
 from glyphdrift.llm.tagger import KINDS, Alphabet, decode_runs, margins, spans, train, window_scores
 from glyphdrift.session import ensure_checkpoint_dir, materialise
 
-WINDOW, STEP = 160, 120  # characters of a window, and from one window's start to the next's
+WINDOW, STEP = 160, 120  # characters of a window to train on, and from one window's start to the next's
+SCORED, AHEAD = 440, 400  # the same of the windows that are scored
 #: Bounds of the labelled sample, whatever the size of the table.
 SAMPLE_DOCUMENTS, LABELLED_WINDOWS, OTHER_WINDOWS = 10_000, 4_000, 5_000
 VARIANTS = 6  # training examples of a labelled window, all but one with invented values
@@ -29,12 +30,16 @@ ROUNDS = 900
 MARGIN = 2.0  # least score of a mention above "outside", names apart, which are held against the known parts
 
 WIDE = re.compile("[\uff01-\uff5e\u3000\xa0]")
-WIDTH = {**{0xFF01 + i: 0x21 + i for i in range(94)}, 0x3000: 0x20, 0xA0: 0x20}
+WIDTH = np.arange(0x10001, dtype="<u4")
+WIDTH[0xFF01:0xFF5F], WIDTH[[0x3000, 0xA0]] = np.arange(0x21, 0x7F), 0x20
 
 
 def fold(text: str) -> str:
     """Full-width forms and odd spaces as ordinary ones; every character keeps its place."""
-    return text.translate(WIDTH) if WIDE.search(text) else text
+    if text.isascii() or not WIDE.search(text):
+        return text
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.where(codes < 0x10000, WIDTH[np.minimum(codes, 0x10000)], codes).tobytes().decode("utf-32-le", "surrogatepass")
 
 
 # Patterns that label the training texts; they take no part in the search.
@@ -360,8 +365,8 @@ def kept_of(length: int) -> list[tuple[int, int, int]]:
 
     Where two windows overlap, each counts for the half that lies further from its edge.
     """
-    edge, starts = (WINDOW - STEP) // 2, list(range(0, max(1, length - WINDOW + STEP), STEP))
-    return [(at, edge if at else 0, STEP + edge if at < starts[-1] else length - at) for at in starts]
+    edge, starts = (SCORED - AHEAD) // 2, list(range(0, max(1, length - SCORED + AHEAD), AHEAD))
+    return [(at, edge if at else 0, AHEAD + edge if at < starts[-1] else length - at) for at in starts]
 
 
 def found_in(texts: list[str], score: Callable, steps: np.ndarray, _stock: frozenset[str] = OPENERS, ranged: bool = False) -> Iterator[tuple[int, int, int, str, float]]:
@@ -376,7 +381,7 @@ def found_in(texts: list[str], score: Callable, steps: np.ndarray, _stock: froze
     for block in np.unique(ends):
         own = np.flatnonzero(ends == block).tolist()
         wanted = [(n, at, low, high) for n in own for at, low, high in kept_of(len(texts[n]))]
-        parts, kept = [texts[n][at : at + WINDOW] for n, at, _, _ in wanted], [(low, high) for _, _, low, high in wanted]
+        parts, kept = [texts[n][at : at + SCORED] for n, at, _, _ in wanted], [(low, high) for _, _, low, high in wanted]
         scored = score(parts, kept) if ranged else np.concatenate([s[low:high] for s, (low, high) in zip(score(parts), kept)])
         bounds = np.cumsum([0] + [len(texts[n]) for n in own]).tolist()
         runs = [scored[a:b] for a, b in zip(bounds, bounds[1:])]

@@ -1,4 +1,4 @@
-"""A character tagger in numpy: bidirectional LSTM with CRF transitions, trained by gradient descent."""
+"""A character tagger in numpy: bidirectional recurrent network with CRF transitions, trained by gradient descent."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ import numpy as np
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 TAGS = 1 + 2 * len(KINDS)  # 0 outside, then begin and inside of each kind
-EMBED, HIDDEN = 20, 28
+EMBED, HIDDEN = 20, 20
 BARRED = -1e4
+SIDE = 160  # characters of one product, which is faster than larger ones
+TURNED = 16  # steps whose shares are turned into the order of the text at a time
 
 #: May tag b follow tag a? Inside only after begin or inside of its kind.
 ALLOWED = np.array([[b == 0 or b % 2 == 1 or (a in (b - 1, b) and a > 0) for b in range(TAGS)] for a in range(TAGS)])
@@ -51,14 +53,19 @@ def initial(size: int, seed: int) -> dict[str, np.ndarray]:
     normal = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
     out = {"embed": normal(size, EMBED, scale=0.3), "out": normal(2 * HIDDEN, TAGS, scale=0.2), "bias": np.zeros(TAGS, np.float32), "steps": np.zeros((TAGS, TAGS), np.float32)}
     for way in "fb":
-        out |= {f"x{way}": normal(EMBED, 4 * HIDDEN, scale=0.25), f"h{way}": normal(HIDDEN, 4 * HIDDEN, scale=0.2), f"c{way}": np.zeros(4 * HIDDEN, np.float32)}
-        out[f"c{way}"][HIDDEN : 2 * HIDDEN] = 1.0
+        out |= {f"x{way}": normal(EMBED, 3 * HIDDEN, scale=0.25), f"h{way}": normal(HIDDEN, 3 * HIDDEN, scale=0.2), f"c{way}": np.zeros(3 * HIDDEN, np.float32)}
+        out[f"c{way}"][:HIDDEN] = 1.0
     return out
 
 
 def _gates(z: np.ndarray) -> tuple[np.ndarray, ...]:
-    t = np.tanh(z)  # the weights of the three gates are stored halved, so sigmoid(2 z) = (tanh(z) + 1) / 2
-    return (t[:, :HIDDEN] + 1) * 0.5, (t[:, HIDDEN : 2 * HIDDEN] + 1) * 0.5, (t[:, 2 * HIDDEN : 3 * HIDDEN] + 1) * 0.5, t[:, 3 * HIDDEN :]
+    """Shares of the old state that are kept and of the state that is shown, and the new state.
+
+    The cell is an LSTM's with one gate for what is forgotten and what is let in, so its state lies between -1 and 1 and is
+    shown as it is.
+    """
+    t = np.tanh(z)  # the weights of the two gates are stored halved, so sigmoid(2 z) = (tanh(z) + 1) / 2
+    return (t[:, :HIDDEN] + 1) * 0.5, (t[:, HIDDEN : 2 * HIDDEN] + 1) * 0.5, t[:, 2 * HIDDEN :]
 
 
 def forward(p: dict[str, np.ndarray], x: np.ndarray, keep: bool) -> tuple[np.ndarray, dict]:
@@ -73,57 +80,57 @@ def forward(p: dict[str, np.ndarray], x: np.ndarray, keep: bool) -> tuple[np.nda
         at = slice(0, HIDDEN) if way == "f" else slice(HIDDEN, 2 * HIDDEN)
         trace = []
         for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
-            i, f, o, g = _gates(table[x[t]] + h @ p[f"h{way}"])
-            before, c = c, f * c + i * g
-            squashed = np.tanh(c)
+            f, o, g = _gates(table[x[t]] + h @ p[f"h{way}"])
+            before, c = c, g + f * (c - g)
             if keep:
-                trace.append((t, h, before, i, f, o, g, squashed))
-            h = o * squashed
+                trace.append((t, h, before, f, o, g, c))
+            h = o * c
             hidden[t, :, at] = h
         memo[way] = trace
     memo["hidden"] = hidden
     return hidden @ p["out"] + p["bias"], memo
 
 
-def _states(p: dict[str, np.ndarray], way: str, x: np.ndarray) -> np.ndarray:
-    """Twice the hidden states (time, batch, hidden) of one direction over x (time, batch), whose rows are in its order.
+def _shares(p: dict[str, np.ndarray], way: str, x: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+    """What one direction gives to the tag scores, (tag, batch, time), over x (time, batch), whose rows are in its order.
 
-    Every gate has an array of its own, so that no operation steps over the others; with sigmoid(2 z) = (tanh(z) + 1) / 2
-    the halves go into the recurrent weights and one product.
+    Characters lie side by side, so that every gate is one block and one product gives all gates of a step: of the state
+    shown before it, of the character and of a one. States are kept doubled, and the halves go into the weights. With
+    ``lengths``, which don't rise, a column is left where it ends; what stands beyond isn't set.
     """
     steps, batch = x.shape
-    table = np.ascontiguousarray((p["embed"] @ p[f"x{way}"] + p[f"c{way}"]).astype(np.float32).reshape(-1, 4, HIDDEN).transpose(1, 0, 2))
-    weights = np.ascontiguousarray((0.5 * p[f"h{way}"]).astype(np.float32).reshape(HIDDEN, 4, HIDDEN).transpose(1, 0, 2))
-    z, own = np.empty((4, batch, HIDDEN), np.float32), np.empty((4, batch, HIDDEN), np.float32)
-    i, f, o, g = z
-    c, squashed, h = np.zeros((batch, HIDDEN), np.float32), np.empty((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32)
-    hidden = np.empty((steps, batch, HIDDEN), np.float32)
-    for t in range(steps):
-        for k in range(4):
-            table[k].take(x[t], 0, z[k], "clip")
-        z += np.matmul(h, weights, out=own)
+    each = np.ascontiguousarray(np.concatenate([p["embed"], np.ones((len(p["embed"]), 1))], 1).T, np.float32)
+    weights = np.ascontiguousarray(np.concatenate([0.5 * p[f"h{way}"], p[f"x{way}"], p[f"c{way}"][None]]).T, np.float32)
+    own = np.ascontiguousarray(0.5 * (p["out"][:HIDDEN] if way == "f" else p["out"][HIDDEN:]).T, np.float32)
+    many = np.full(steps, batch) if lengths is None else np.searchsorted(-lengths, -np.arange(steps))
+    given_all, z_all, c_all = np.zeros((HIDDEN + EMBED + 1, batch), np.float32), np.empty((3 * HIDDEN, batch), np.float32), np.zeros((HIDDEN, batch), np.float32)
+    out, some, half, last = np.empty((TAGS, batch, steps), np.float32), np.zeros((TURNED, TAGS, batch), np.float32), np.float32(0.5), -1
+    for t, n in enumerate(many.tolist()):
+        if n != last:
+            given, z, c, last = given_all[:, :n], z_all[:, :n], c_all[:, :n], n
+            shown, gates = given[:HIDDEN], z[: 2 * HIDDEN]
+            f, o, g = (z[k * HIDDEN : (k + 1) * HIDDEN] for k in range(3))
+            products = [(given[:, k : k + SIDE], z[:, k : k + SIDE]) for k in range(0, n, SIDE)]
+        given[HIDDEN:] = each.take(x[t, :n], 1)
+        for part, to in products:
+            np.matmul(weights, part, out=to)
         np.tanh(z, out=z)
-        z[:3] += 1
+        gates += 1
+        c -= g
         c *= f
-        i *= g
-        c += i
-        c *= np.float32(0.5)
-        np.tanh(c, out=squashed)
-        h = hidden[t]
-        np.multiply(o, squashed, out=h)
-    return hidden
-
-
-def _shares(p: dict[str, np.ndarray], way: str, x: np.ndarray) -> np.ndarray:
-    """What one direction gives to the tag scores (time, batch, tag)."""
-    own = p["out"][:HIDDEN] if way == "f" else p["out"][HIDDEN:]
-    steps, batch = x.shape
-    return (_states(p, way, x).reshape(-1, HIDDEN) @ (0.5 * own).astype(np.float32)).reshape(steps, batch, TAGS)
+        c *= half
+        c += g
+        np.multiply(o, c, out=shown)
+        np.matmul(own, shown, out=some[t % TURNED, :, :n])
+        if t % TURNED == TURNED - 1 or t == steps - 1:
+            low = t - t % TURNED
+            out[:, : many[low], low : t + 1] = some[: t + 1 - low, :, : many[low]].transpose(1, 2, 0)
+    return out
 
 
 def _scores(p: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
     """The tag scores of ``forward`` without what the gradient needs."""
-    return _shares(p, "f", x) + _shares(p, "b", x[::-1])[::-1] + p["bias"]
+    return (_shares(p, "f", x) + _shares(p, "b", x[::-1])[:, :, ::-1]).transpose(2, 1, 0) + p["bias"]
 
 
 def loss(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -159,17 +166,17 @@ def loss(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float,
     for way in "fb":
         at = slice(0, HIDDEN) if way == "f" else slice(HIDDEN, 2 * HIDDEN)
         dh, dc = np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32)
-        dz_all = np.empty((steps, batch, 4 * HIDDEN), np.float32)
+        dz_all = np.empty((steps, batch, 3 * HIDDEN), np.float32)
         d_own = np.zeros_like(p[f"h{way}"])
-        for t, h, before, i, f, o, g, squashed in reversed(memo[way]):
+        for t, h, before, f, o, g, c in reversed(memo[way]):
             dh = dh + d_hidden[t, :, at]
-            dc = dc + dh * o * (1 - squashed * squashed)
-            dz = np.concatenate([dc * g * i * (1 - i) * 2, dc * before * f * (1 - f) * 2, dh * squashed * o * (1 - o) * 2, dc * i * (1 - g * g)], 1)
+            dc = dc + dh * o
+            dz = np.concatenate([dc * (before - g) * f * (1 - f) * 2, dh * c * o * (1 - o) * 2, dc * (1 - f) * (1 - g * g)], 1)
             d_own += h.T @ dz
             dh, dc = dz @ p[f"h{way}"].T, dc * f
             dz_all[t] = dz
-        d_table = np.zeros((len(p["embed"]), 4 * HIDDEN), np.float32)
-        d_table[present] = np.add.reduceat(dz_all.reshape(-1, 4 * HIDDEN)[order], first, axis=0)
+        d_table = np.zeros((len(p["embed"]), 3 * HIDDEN), np.float32)
+        d_table[present] = np.add.reduceat(dz_all.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
         grad[f"h{way}"] = d_own
         grad[f"c{way}"] = d_table.sum(0)
         grad[f"x{way}"] = p["embed"].T @ d_table
@@ -230,7 +237,7 @@ def best_path(steps: np.ndarray, scores: np.ndarray) -> np.ndarray:
     return tags
 
 
-def window_scores(p: dict[str, np.ndarray], codes: np.ndarray, sizes: np.ndarray, kept: list[tuple[int, int]], together: int = 320) -> np.ndarray:
+def window_scores(p: dict[str, np.ndarray], codes: np.ndarray, sizes: np.ndarray, kept: list[tuple[int, int]], together: int = 640) -> np.ndarray:
     """Tag scores (place, tag) of the ``kept`` range of each window, one after the other; windows of like length together.
 
     ``codes`` holds the character numbers of all windows, of ``sizes`` characters each. Each direction begins at its end
@@ -238,25 +245,25 @@ def window_scores(p: dict[str, np.ndarray], codes: np.ndarray, sizes: np.ndarray
     """
     low, high = np.array(kept, np.int64).reshape(-1, 2).T
     begin, place = np.cumsum(sizes) - sizes, (np.cumsum(high - low) - (high - low)).tolist()
-    out = np.empty((int((high - low).sum()), TAGS), np.float32)
+    out = np.empty((TAGS, int((high - low).sum())), np.float32)
     for way in "fb":
         length = high if way == "f" else sizes - low
-        order = np.argsort(length, kind="stable")
+        order = np.argsort(-length, kind="stable")
         for first in range(0, len(order), together):
             chunk = order[first : first + together]
-            step = np.minimum(np.arange(length[chunk[-1]])[:, None], length[chunk] - 1)  # the last one again, where nothing is kept
-            x = codes[begin[chunk] + step if way == "f" else (begin + sizes - 1)[chunk] - step]
-            shares = _shares(p, way, x)
-            if way == "f":
-                shares += p["bias"]
-            for n, (k, a, b, size) in enumerate(zip(chunk.tolist(), low[chunk].tolist(), high[chunk].tolist(), sizes[chunk].tolist())):
+            step = np.minimum(np.arange(length[chunk[0]])[:, None], length[chunk] - 1)
+            x = codes[begin[chunk] + step if way == "f" else (begin + sizes - 1)[chunk] - step].astype(np.intp)
+            shares = _shares(p, way, x, length[chunk])
+            for own, k, a, b, size in zip(shares.transpose(1, 0, 2), chunk.tolist(), low[chunk].tolist(), high[chunk].tolist(), sizes[chunk].tolist()):
                 if way == "f":
-                    out[place[k] : place[k] + b - a] = shares[a:b, n]
+                    out[:, place[k] : place[k] + b - a] = own[:, a:b]
                 else:
-                    out[place[k] : place[k] + b - a] += shares[size - b : size - a, n][::-1]
-    return out
+                    out[:, place[k] : place[k] + b - a] += own[:, size - b : size - a][:, ::-1]
+    out += p["bias"].astype(np.float32)[:, None]
+    return out.T
 
 
+PLACES = 20_000  # places that are looked at together
 GAP = -1e7  # between texts, so that no tagged run reaches from one into the next
 
 
@@ -267,16 +274,47 @@ def live(steps: np.ndarray, lead: np.ndarray, starts: np.ndarray) -> np.ndarray:
     texts. A place is out when no mention of any kind that holds it would gain anything over "outside", whatever stands
     beside it: taking such a mention out of a path makes it better.
     """
+    out = np.zeros(lead.shape[1], bool)
+    for k, (enter, stay, more) in enumerate(_gains(steps)):
+        total = np.add(lead[2 * k + 1], stay, dtype=np.float64)
+        np.cumsum(total, out=total)
+        begin = lead[2 * k] - total
+        begin += enter
+        begin[starts] += max(0.0, -enter)  # nothing is entered from at the first place
+        np.maximum.accumulate(begin, out=begin)
+        begin += np.maximum.accumulate(total[::-1])[::-1]
+        out |= begin > -1e-2 - more
+    return out
+
+
+def _gains(steps: np.ndarray) -> list[tuple[float, float, float]]:
+    """Of each kind the most that a mention gains by its beginning, by each further place and by its end, over "outside"."""
     moves = np.where(ALLOWED, steps, -np.inf).astype(np.float64) - float(steps[0, 0])
     enter, leave, joint = moves[0, 1::2], moves[1:, 0], moves[1:, 1::2]
     enter, leave = np.maximum(enter, (joint - leave[:, None]).max(0)), np.maximum(leave, (joint - enter).max(1))
+    return [(float(enter[k]), float(stay := moves[2 * k + 2, 2 * k + 2]), float(max(0.0, moves[2 * k + 1, 2 * k + 2] - stay) + leave[2 * k : 2 * k + 2].max())) for k in range(len(KINDS))]
+
+
+def _hopeful(steps: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """Where a place alone may gain over "outside"; a text without such a place has no place that ``live`` finds."""
     out = np.zeros(lead.shape[1], bool)
-    for k in range(len(KINDS)):
-        total = np.cumsum(lead[2 * k + 1] + moves[2 * k + 2, 2 * k + 2], dtype=np.float64)
-        begin = lead[2 * k] + enter[k] - total
-        begin[starts] += max(0.0, -enter[k])  # nothing is entered from at the first place
-        more = max(0.0, moves[2 * k + 1, 2 * k + 2] - moves[2 * k + 2, 2 * k + 2]) + leave[2 * k : 2 * k + 2].max()
-        out |= np.maximum.accumulate(begin) + np.maximum.accumulate(total[::-1])[::-1] + more > -1e-2
+    for k, (enter, stay, more) in enumerate(_gains(steps)):
+        out |= lead[2 * k] > np.float32(-2e-2 - more - max(0.0, enter))
+        out |= lead[2 * k + 1] > np.float32(-stay - 1e-3)
+    return out
+
+
+def _open(steps: np.ndarray, runs: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """What ``live`` finds in the runs, each with a place behind it."""
+    lead = np.empty((TAGS - 1, int(ends[-1])), np.float32)
+    for r, start in zip(runs, starts.tolist()):
+        np.subtract(r[:, 1:].T, r[:, 0], out=lead[:, start : start + len(r)])
+    lead[:, ends - 1] = GAP
+    out, sizes = np.zeros(lead.shape[1], bool), ends - starts
+    some = np.logical_or.reduceat(_hopeful(steps, lead), starts)
+    if some.any():
+        own = np.repeat(some, sizes)
+        out[own] = live(steps, lead if some.all() else lead[:, own], np.cumsum(sizes[some]) - sizes[some])
     return out
 
 
@@ -288,11 +326,13 @@ def decode_runs(steps: np.ndarray, runs: list[np.ndarray]) -> list[np.ndarray]:
     """
     ends = np.cumsum([len(r) + 1 for r in runs], dtype=np.int64)
     starts = ends - [len(r) + 1 for r in runs]
-    lead = np.full((TAGS - 1, int(ends[-1]) if len(runs) else 0), GAP)
-    for r, start in zip(runs, starts.tolist()):
-        np.subtract(r[:, 1:].T, r[:, 0], out=lead[:, start : start + len(r)])
-    tags = np.zeros(lead.shape[1], np.int8)
-    if (edges := np.flatnonzero(np.diff(live(steps, lead, starts), prepend=False, append=False))).size:
+    total = int(ends[-1]) if len(runs) else 0
+    tags, found = np.zeros(total, np.int8), np.zeros(total, bool)
+    cuts = [0, *(np.flatnonzero(np.diff(ends // PLACES)) + 1).tolist(), len(runs)]
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            found[starts[a] : ends[b - 1]] = _open(steps, runs[a:b], starts[a:b] - starts[a], ends[a:b] - starts[a])
+    if (edges := np.flatnonzero(np.diff(found, prepend=False, append=False))).size:
         owner = np.searchsorted(ends, edges[::2], side="right")
         parts = []
         for n, low, high in zip(owner.tolist(), edges[::2].tolist(), edges[1::2].tolist()):

@@ -636,3 +636,28 @@ def test_scores_of_ranges_are_those_of_whole_windows():
     codes = [rng.integers(0, 30, n) for n in sizes]
     whole = [tagger.forward(p, c[:, None], False)[0][a:b, 0] for c, (a, b) in zip(codes, kept)]
     assert np.abs(tagger.window_scores(p, np.concatenate(codes), sizes, kept, together=2) - np.concatenate(whole)).max() < 1e-3
+
+
+def test_windows_score_little_more_than_the_text():
+    """Each place counts once, and the steps of each direction are at most a twentieth more than the characters."""
+    for length in (1, 215, 440, 441, 2_000, 40_000):
+        kept = personal.kept_of(length)
+        places = [at + k for at, low, high in kept for k in range(low, high)]
+        assert places == list(range(length))
+        sizes = [min(personal.SCORED, length - at) for at, _, _ in kept]
+        assert sum(high for _, _, high in kept) <= 1.06 * length and sum(n - low for n, (_, low, _) in zip(sizes, kept)) <= 1.06 * length
+
+
+def test_ended_columns_are_left():
+    """The shares of one direction are the same whether columns are left where they end or not."""
+    p, rng = tagger.initial(30, 4), np.random.default_rng(2)
+    lengths = np.array([40, 40, 33, 17, 16, 1])
+    x = rng.integers(0, 30, (40, 6))
+    whole, own = tagger._shares(p, "f", x), tagger._shares(p, "f", x, lengths)
+    for n, length in enumerate(lengths):
+        assert np.abs(whole[:, n, :length] - own[:, n, :length]).max() < 1e-5
+
+
+def test_fold_keeps_places():
+    text = "Ａ　b\xa0漢～\U00020000\ud800ｚ"
+    assert personal.fold(text) == "A b 漢~\U00020000\ud800z"
