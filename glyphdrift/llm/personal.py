@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from glyphdrift.llm.tagger import KINDS, Alphabet, decode_runs, margins, spans, train, window_scores
+from glyphdrift.llm.tagger import KINDS, Alphabet, decode_runs, initial, margins, spans, train, window_scores
 from glyphdrift.session import ensure_checkpoint_dir, materialise
 
 WINDOW, STEP = 160, 120  # characters of a window to train on, and from one window's start to the next's
@@ -315,7 +315,8 @@ def fit(texts: DataFrame, parts: list[tuple[str, str]], seed: int = 5) -> Fitted
     bound = F.when(F.col("labelled"), LABELLED_WINDOWS).otherwise(OTHER_WINDOWS)
     chosen = materialise(found.withColumn("place", place).where(F.col("place") <= bound).select("part", "labelled", "place"))
     mark = chosen.agg(F.sum(F.xxhash64("part", "labelled").cast("decimal(38,0)"))).first()[0]
-    setup = hashlib.sha256(repr((mark, sorted(parts), seed, ROUNDS, VARIANTS, CROP)).encode()).hexdigest()[:24]
+    shapes = [(k, v.shape) for k, v in initial(1, seed).items()]  # a tagger of another build isn't taken for this one
+    setup = hashlib.sha256(repr((mark, sorted(parts), seed, ROUNDS, VARIANTS, CROP, shapes)).encode()).hexdigest()[:24]
     folder = f"{ensure_checkpoint_dir(spark)}/tagger-{setup}"
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
