@@ -1,6 +1,7 @@
 """Training-data operators on small tables against brute force, with nulls, ties, copies, hot groups and empty tables."""
 
 import random
+import re
 import tracemalloc
 from collections import Counter
 
@@ -661,3 +662,18 @@ def test_ended_columns_are_left():
 def test_fold_keeps_places():
     text = "Ａ　b\xa0漢～\U00020000\ud800ｚ"
     assert personal.fold(text) == "A b 漢~\U00020000\ud800z"
+
+
+def test_plain_and_statistics_of_odd_characters(spark):
+    """Folding after the marks are gone, and counting only in texts with odd characters, change neither text nor statistics."""
+    odd = ["手，足。", "Ａ，Ｂ（１）", "豈更舊⼀", "a　b  c|d", "舊本·新本", "□□〇手", "<b>手</b>&amp;é", "㐀㐁手\U00020000", "鿽手", "手$＄​足", "", None, "一二三四、五六七八。手手手手手"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string")
+    whole = F.regexp_replace(neardup.fold_compat(F.col("t")), r"[\p{P}\p{Z}\p{C}\s]+", "")
+    rows = frame.select(neardup.plain(F.col("t")).alias("new"), whole.alias("old"), textstats.tail_statistics(F.col("t")).alias("s"), F.coalesce("t", F.lit("")).alias("t")).collect()
+    for r in rows:
+        assert r["new"] == r["old"]
+    count = lambda pattern: [len(re.findall(pattern, r["t"])) for r in rows]
+    assert [round(r["s"]["latin1_share"] * r["s"]["n_chars"]) for r in rows] == count("[\x80-ɏ]")
+    assert [round(r["s"]["ascii_share"] * r["s"]["n_chars"]) for r in rows] == count("[A-Za-z0-9]")
+    assert [r["s"]["n_cells"] for r in rows] == count("[\t|｜]|[　 ]{2,}")
+    assert [round(r["s"]["rare_share"] * r["s"]["n_body"]) for r in rows] == count("[㐀-䶿\U00020000-\U0003ffff-]")
