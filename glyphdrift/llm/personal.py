@@ -20,13 +20,13 @@ from glyphdrift.llm.tagger import KINDS, Alphabet, decode_runs, initial, margins
 from glyphdrift.session import ensure_checkpoint_dir, materialise
 
 WINDOW, STEP = 160, 120  # characters of a window to train on, and from one window's start to the next's
-SCORED, AHEAD = 440, 400  # the same of the windows that are scored
+SCORED, AHEAD = 840, 800  # the same of the windows that are scored
 #: Bounds of the labelled sample, whatever the size of the table.
 SAMPLE_DOCUMENTS, LABELLED_WINDOWS, OTHER_WINDOWS = 10_000, 4_000, 5_000
 VARIANTS = 6  # training examples of a labelled window, all but one with invented values
-BLOCK = 400_000  # characters of the texts that are scored and decoded at a time
+BLOCK = 600_000  # characters of the texts that are scored and decoded at a time
 CROP = 90  # characters of a training example
-ROUNDS = 900
+ROUNDS = 1300
 MARGIN = 2.0  # least score of a mention above "outside", names apart, which are held against the known parts
 
 WIDE = re.compile("[\uff01-\uff5e\u3000\xa0]")
@@ -371,7 +371,7 @@ def kept_of(length: int) -> list[tuple[int, int, int]]:
 
 
 def found_in(texts: list[str], score: Callable, steps: np.ndarray, _stock: frozenset[str] = OPENERS, ranged: bool = False) -> Iterator[tuple[int, int, int, str, float]]:
-    """(text, start, end, kind, margin) of every mention in folded texts.
+    """(text, start, end, kind, margin) of every mention in texts that are folded, or that ``score`` takes as folded.
 
     Every window of every text is scored; a text's scores are put together and decoded as one run, so a mention may be
     of any length. Texts of about ``BLOCK`` characters are held at a time. No window is left out for its words, so
@@ -393,17 +393,18 @@ def found_in(texts: list[str], score: Callable, steps: np.ndarray, _stock: froze
 
 
 def _find(model: dict[str, np.ndarray], alphabet: Alphabet, stock: frozenset[str], names: Names) -> Callable[[Batches], Batches]:
-    table = alphabet.table()
+    table = alphabet.table()[WIDTH]  # texts are scored as if they were folded
 
     def run(batches: Batches) -> Batches:
-        score = lambda parts, kept: window_scores(model, Alphabet.encode(table, "".join(parts)), np.array([len(p) for p in parts], np.int64), kept)
+        room: dict[str, np.ndarray] = {}  # a block's scores are done with before the next block is scored
+        score = lambda parts, kept: window_scores(model, Alphabet.encode(table, "".join(parts)), np.array([len(p) for p in parts], np.int64), kept, room=room)
         for batch in batches:
-            texts = [fold(t) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
             rows = []
             for n, start, end, kind, margin in found_in(texts, score, model["steps"], ranged=True):
-                placed = checked(texts[n], start, end, kind, margin, names, stock)
+                placed = checked(fold(texts[n][start:end]), 0, end - start, kind, margin, names, stock)
                 if placed:
-                    rows.append((n, placed[0], placed[1], kind))
+                    rows.append((n, start + placed[0], start + placed[1], kind))
             rows.sort()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[3] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())],

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 TAGS = 1 + 2 * len(KINDS)  # 0 outside, then begin and inside of each kind
-EMBED, HIDDEN = 20, 20
+EMBED, HIDDEN = 16, 24
 BARRED = -1e4
-SIDE = 160  # characters of one product, which is faster than larger ones
-TURNED = 16  # steps whose shares are turned into the order of the text at a time
+SIDE = 240  # characters of one product, which is faster than larger ones
+TURNED = 32  # steps whose shares are turned into the order of the text at a time
+ROUNDED = 32  # columns that are left at a time
 
 #: May tag b follow tag a? Inside only after begin or inside of its kind.
 ALLOWED = np.array([[b == 0 or b % 2 == 1 or (a in (b - 1, b) and a > 0) for b in range(TAGS)] for a in range(TAGS)])
@@ -53,84 +56,97 @@ def initial(size: int, seed: int) -> dict[str, np.ndarray]:
     normal = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
     out = {"embed": normal(size, EMBED, scale=0.3), "out": normal(2 * HIDDEN, TAGS, scale=0.2), "bias": np.zeros(TAGS, np.float32), "steps": np.zeros((TAGS, TAGS), np.float32)}
     for way in "fb":
-        out |= {f"x{way}": normal(EMBED, 3 * HIDDEN, scale=0.25), f"h{way}": normal(HIDDEN, 3 * HIDDEN, scale=0.2), f"c{way}": np.zeros(3 * HIDDEN, np.float32)}
-        out[f"c{way}"][:HIDDEN] = 1.0
+        out |= {f"x{way}": normal(EMBED, 2 * HIDDEN, scale=0.25), f"h{way}": normal(HIDDEN, 2 * HIDDEN, scale=0.2), f"c{way}": np.zeros(2 * HIDDEN, np.float32)}
+        out[f"c{way}"][:HIDDEN] = 0.75
     return out
 
 
-def _gates(z: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Shares of the old state that are kept and of the state that is shown, and the new state.
+def _gates(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Share of the old state that is kept, and the new state.
 
-    The cell is an LSTM's with one gate for what is forgotten and what is let in, so its state lies between -1 and 1 and is
-    shown as it is.
+    The cell has this one gate, a straight line between its bounds. Its state lies between -1 and 1, is shown as it is
+    and begins as ones.
     """
-    t = np.tanh(z)  # the weights of the two gates are stored halved, so sigmoid(2 z) = (tanh(z) + 1) / 2
-    return (t[:, :HIDDEN] + 1) * 0.5, (t[:, HIDDEN : 2 * HIDDEN] + 1) * 0.5, t[:, 2 * HIDDEN :]
+    return z[:, :HIDDEN].clip(0, 1), np.tanh(z[:, HIDDEN:])
 
 
 def forward(p: dict[str, np.ndarray], x: np.ndarray, keep: bool) -> tuple[np.ndarray, dict]:
     """Tag scores (time, batch, tag) of numbers x (time, batch); with ``keep`` also what the gradient needs."""
     steps, batch = x.shape
-    hidden = np.empty((steps, batch, 2 * HIDDEN), np.float32)
+    hidden = np.empty((steps, batch, 2 * HIDDEN), p["out"].dtype)
     memo: dict = {}
     for way in "fb":
         table = p["embed"] @ p[f"x{way}"] + p[f"c{way}"]
-        h = np.zeros((batch, HIDDEN), np.float32)
-        c = np.zeros((batch, HIDDEN), np.float32)
+        h = np.ones((batch, HIDDEN), hidden.dtype)
         at = slice(0, HIDDEN) if way == "f" else slice(HIDDEN, 2 * HIDDEN)
         trace = []
         for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
-            f, o, g = _gates(table[x[t]] + h @ p[f"h{way}"])
-            before, c = c, g + f * (c - g)
+            f, g = _gates(table[x[t]] + h @ p[f"h{way}"])
+            before, h = h, g + f * (h - g)
             if keep:
-                trace.append((t, h, before, f, o, g, c))
-            h = o * c
+                trace.append((t, before, f, g))
             hidden[t, :, at] = h
         memo[way] = trace
     memo["hidden"] = hidden
     return hidden @ p["out"] + p["bias"], memo
 
 
-def _shares(p: dict[str, np.ndarray], way: str, x: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
-    """What one direction gives to the tag scores, (tag, batch, time), over x (time, batch), whose rows are in its order.
+def _array(room: dict[str, np.ndarray], name: str, *shape: int) -> np.ndarray:
+    """An array that isn't set, in what ``room`` holds by that name; fresh memory costs a twentieth of the scoring."""
+    size = int(np.prod(shape))
+    if name not in room or room[name].size < size:
+        room[name] = np.empty(size, np.float32)
+    return room[name][:size].reshape(shape)
+
+
+def _shares(p: dict[str, np.ndarray], way: str, x: np.ndarray, lengths: np.ndarray | None = None, room: dict[str, np.ndarray] | None = None) -> np.ndarray:
+    """What one direction gives to the tag scores, (tag, batch, time) in the order of the text, over x (time, batch), whose rows are in its own order.
 
-    Characters lie side by side, so that every gate is one block and one product gives all gates of a step: of the state
-    shown before it, of the character and of a one. States are kept doubled, and the halves go into the weights. With
-    ``lengths``, which don't rise, a column is left where it ends; what stands beyond isn't set.
+    Columns lie side by side, so that each half of the gates is one block and one product gives all gates of a step: of
+    the state before it, of the character, of whether it is a break and of a one. With ``lengths``, which don't rise, a
+    column is left where it ends; what stands beyond isn't set. The number after the last character is a break: behind
+    it a column is as at its beginning, as nothing is kept and the new state is ones.
     """
     steps, batch = x.shape
-    each = np.ascontiguousarray(np.concatenate([p["embed"], np.ones((len(p["embed"]), 1))], 1).T, np.float32)
-    weights = np.ascontiguousarray(np.concatenate([0.5 * p[f"h{way}"], p[f"x{way}"], p[f"c{way}"][None]]).T, np.float32)
-    own = np.ascontiguousarray(0.5 * (p["out"][:HIDDEN] if way == "f" else p["out"][HIDDEN:]).T, np.float32)
-    many = np.full(steps, batch) if lengths is None else np.searchsorted(-lengths, -np.arange(steps))
-    given_all, z_all, c_all = np.zeros((HIDDEN + EMBED + 1, batch), np.float32), np.empty((3 * HIDDEN, batch), np.float32), np.zeros((HIDDEN, batch), np.float32)
-    out, some, half, last = np.empty((TAGS, batch, steps), np.float32), np.zeros((TURNED, TAGS, batch), np.float32), np.float32(0.5), -1
+    size, rows = len(p["embed"]), HIDDEN + EMBED + 2
+    each = np.zeros((EMBED + 1, size + 1), np.float32)
+    each[:EMBED, :size], each[EMBED, size] = p["embed"].T, 1
+    anew = np.where(np.arange(2 * HIDDEN) < HIDDEN, BARRED, -BARRED)
+    weights = np.ascontiguousarray(np.concatenate([p[f"h{way}"], p[f"x{way}"], anew[None], p[f"c{way}"][None]]).T, np.float32)
+    own = np.ascontiguousarray((p["out"][:HIDDEN] if way == "f" else p["out"][HIDDEN:]).T, np.float32)
+    many = np.full(steps, batch) if lengths is None else np.minimum(-(-np.searchsorted(-lengths, -np.arange(steps)) // ROUNDED) * ROUNDED, batch)
+    given_all, z_all, h = np.empty(rows * batch, np.float32), np.empty(2 * HIDDEN * batch, np.float32), np.ones((HIDDEN, batch), np.float32)
+    out, some, last = _array({} if room is None else room, "shares", TAGS, batch, steps), np.zeros((TURNED, TAGS, batch), np.float32), batch + 1
     for t, n in enumerate(many.tolist()):
         if n != last:
-            given, z, c, last = given_all[:, :n], z_all[:, :n], c_all[:, :n], n
-            shown, gates = given[:HIDDEN], z[: 2 * HIDDEN]
-            f, o, g = (z[k * HIDDEN : (k + 1) * HIDDEN] for k in range(3))
+            # rows that follow one another without a gap are much faster than parts of longer rows
+            before, last = h[:, :n].copy(), n
+            given, z = given_all[: rows * n].reshape(rows, n), z_all[: 2 * HIDDEN * n].reshape(-1, n)
+            h, f, g = given[:HIDDEN], z[:HIDDEN], z[HIDDEN:]
+            h[:], given[-1] = before, 1
             products = [(given[:, k : k + SIDE], z[:, k : k + SIDE]) for k in range(0, n, SIDE)]
-        given[HIDDEN:] = each.take(x[t, :n], 1)
+        each.take(x[t, :n], 1, given[HIDDEN:-1], "clip")
         for part, to in products:
             np.matmul(weights, part, out=to)
-        np.tanh(z, out=z)
-        gates += 1
-        c -= g
-        c *= f
-        c *= half
-        c += g
-        np.multiply(o, c, out=shown)
-        np.matmul(own, shown, out=some[t % TURNED, :, :n])
+        f.clip(0, 1, f)
+        np.tanh(g, out=g)
+        h -= g
+        h *= f
+        h += g
+        np.matmul(own, h, out=some[t % TURNED, :, :n])
         if t % TURNED == TURNED - 1 or t == steps - 1:
             low = t - t % TURNED
-            out[:, : many[low], low : t + 1] = some[: t + 1 - low, :, : many[low]].transpose(1, 2, 0)
+            turned = some[: t + 1 - low, :, : many[low]].transpose(1, 2, 0)
+            if way == "f":
+                out[:, : many[low], low : t + 1] = turned
+            else:
+                out[:, : many[low], steps - 1 - t : steps - low] = turned[:, :, ::-1]
     return out
 
 
 def _scores(p: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
     """The tag scores of ``forward`` without what the gradient needs."""
-    return (_shares(p, "f", x) + _shares(p, "b", x[::-1])[:, :, ::-1]).transpose(2, 1, 0) + p["bias"]
+    return (_shares(p, "f", x) + _shares(p, "b", x[::-1])).transpose(2, 1, 0) + p["bias"]
 
 
 def loss(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -165,18 +181,17 @@ def loss(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float,
     present, first = np.unique(x.ravel()[order], return_index=True)
     for way in "fb":
         at = slice(0, HIDDEN) if way == "f" else slice(HIDDEN, 2 * HIDDEN)
-        dh, dc = np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32)
-        dz_all = np.empty((steps, batch, 3 * HIDDEN), np.float32)
+        dh = np.zeros((batch, HIDDEN), np.float32)
+        dz_all = np.empty((steps, batch, 2 * HIDDEN), np.float32)
         d_own = np.zeros_like(p[f"h{way}"])
-        for t, h, before, f, o, g, c in reversed(memo[way]):
+        for t, before, f, g in reversed(memo[way]):
             dh = dh + d_hidden[t, :, at]
-            dc = dc + dh * o
-            dz = np.concatenate([dc * (before - g) * f * (1 - f) * 2, dh * c * o * (1 - o) * 2, dc * (1 - f) * (1 - g * g)], 1)
-            d_own += h.T @ dz
-            dh, dc = dz @ p[f"h{way}"].T, dc * f
+            dz = np.concatenate([dh * (before - g) * ((f > 0) & (f < 1)), dh * (1 - f) * (1 - g * g)], 1)
+            d_own += before.T @ dz
+            dh = dh * f + dz @ p[f"h{way}"].T
             dz_all[t] = dz
-        d_table = np.zeros((len(p["embed"]), 3 * HIDDEN), np.float32)
-        d_table[present] = np.add.reduceat(dz_all.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+        d_table = np.zeros((len(p["embed"]), 2 * HIDDEN), np.float32)
+        d_table[present] = np.add.reduceat(dz_all.reshape(-1, 2 * HIDDEN)[order], first, axis=0)
         grad[f"h{way}"] = d_own
         grad[f"c{way}"] = d_table.sum(0)
         grad[f"x{way}"] = p["embed"].T @ d_table
@@ -237,29 +252,53 @@ def best_path(steps: np.ndarray, scores: np.ndarray) -> np.ndarray:
     return tags
 
 
-def window_scores(p: dict[str, np.ndarray], codes: np.ndarray, sizes: np.ndarray, kept: list[tuple[int, int]], together: int = 640) -> np.ndarray:
-    """Tag scores (place, tag) of the ``kept`` range of each window, one after the other; windows of like length together.
+def _lanes(lengths: np.ndarray, together: int) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """Pieces laid end to end in at most ``together`` lanes of like length, with a break between: (piece, lane, start) of each, and the lanes' lengths, which don't rise."""
+    ends = [(0, k) for k in range(min(together, len(lengths)))]
+    laid = []
+    for k in np.argsort(-lengths, kind="stable").tolist():  # the longest first, each into the shortest lane
+        end, lane = ends[0]
+        start = end + 1 if end else 0
+        laid.append((k, lane, start))
+        heapq.heapreplace(ends, (start + int(lengths[k]), lane))
+    loads = np.zeros(len(ends), np.int64)
+    for end, lane in ends:
+        loads[lane] = end
+    order = np.argsort(-loads, kind="stable")
+    place = np.argsort(order, kind="stable").tolist()
+    return [(k, place[lane], start) for k, lane, start in laid], loads[order]
+
+
+def window_scores(p: dict[str, np.ndarray], codes: np.ndarray, sizes: np.ndarray, kept: list[tuple[int, int]], together: int = 720, room: dict[str, np.ndarray] | None = None) -> np.ndarray:
+    """Tag scores (place, tag) of the ``kept`` range of each window, one after the other; ``together`` windows at a time.
 
     ``codes`` holds the character numbers of all windows, of ``sizes`` characters each. Each direction begins at its end
-    of a window and stops where the range ends for it.
+    of a window and stops where the range ends for it. Where a window ends another one begins, so that as many characters
+    are scored in each step. With ``room`` the scores hold until the next call with it.
     """
+    room = {} if room is None else room
     low, high = np.array(kept, np.int64).reshape(-1, 2).T
-    begin, place = np.cumsum(sizes) - sizes, (np.cumsum(high - low) - (high - low)).tolist()
-    out = np.empty((TAGS, int((high - low).sum())), np.float32)
+    ends, place = np.cumsum(sizes), (np.cumsum(high - low) - (high - low)).tolist()
+    sizes, low, high = np.asarray(sizes), low.tolist(), high.tolist()
+    bias, out = p["bias"].astype(np.float32)[:, None], _array(room, "scores", TAGS, sum(high) - sum(low))
+    if not place:
+        return out.T
+    codes = codes.astype(np.int32)
     for way in "fb":
-        length = high if way == "f" else sizes - low
-        order = np.argsort(-length, kind="stable")
-        for first in range(0, len(order), together):
-            chunk = order[first : first + together]
-            step = np.minimum(np.arange(length[chunk[0]])[:, None], length[chunk] - 1)
-            x = codes[begin[chunk] + step if way == "f" else (begin + sizes - 1)[chunk] - step].astype(np.intp)
-            shares = _shares(p, way, x, length[chunk])
-            for own, k, a, b, size in zip(shares.transpose(1, 0, 2), chunk.tolist(), low[chunk].tolist(), high[chunk].tolist(), sizes[chunk].tolist()):
-                if way == "f":
-                    out[:, place[k] : place[k] + b - a] = own[:, a:b]
-                else:
-                    out[:, place[k] : place[k] + b - a] += own[:, size - b : size - a][:, ::-1]
-    out += p["bias"].astype(np.float32)[:, None]
+        lengths = np.array(high) if way == "f" else sizes - low
+        laid, loads = _lanes(lengths, together)
+        begins, lengths, steps = (ends - sizes if way == "f" else len(codes) - ends).tolist(), lengths.tolist(), int(loads[0])
+        x, in_order = np.full((len(loads), steps), len(p["embed"]), np.int32), codes if way == "f" else codes[::-1].copy()
+        for k, lane, start in laid:
+            x[lane, start : start + lengths[k]] = in_order[begins[k] : begins[k] + lengths[k]]
+        shares = _shares(p, way, x.T.astype(np.intp, order="C"), loads, room)
+        for k, lane, start in laid:
+            to = out[:, place[k] : place[k] + high[k] - low[k]]
+            if way == "f":
+                np.add(shares[:, lane, start + low[k] : start + high[k]], bias, out=to)
+            else:
+                first = steps - start - lengths[k]  # the place of the range's first character
+                to += shares[:, lane, first : first + high[k] - low[k]]
     return out.T
 
 

@@ -659,6 +659,24 @@ def test_ended_columns_are_left():
         assert np.abs(whole[:, n, :length] - own[:, n, :length]).max() < 1e-5
 
 
+def test_windows_of_any_length_fill_the_steps(monkeypatch):
+    """Steps of windows of very unequal length are hardly more than their characters shared out, and the scores stay those of each window."""
+    p, rng, shares, steps = tagger.initial(30, 4), np.random.default_rng(3), tagger._shares, []
+    monkeypatch.setattr(tagger, "_shares", lambda p, way, x, *rest: (steps.append(len(x)), shares(p, way, x, *rest))[1])
+    sizes = rng.permutation(np.arange(1, 441))
+    codes = rng.integers(0, 30, sizes.sum())
+    found = tagger.window_scores(p, codes, sizes, [(0, n) for n in sizes.tolist()], together=100)
+    assert sum(steps) <= 1.1 * 2 * sizes.sum() / 100
+    ends = np.cumsum(sizes)
+    for k in (0, 7, 300, 439):
+        own = slice(ends[k] - sizes[k], ends[k])
+        assert np.abs(found[own] - tagger.forward(p, codes[own][:, None], False)[0][:, 0]).max() < 1e-3
+    room = {}
+    for some in (440, 3, 60):
+        kept = [(0, n) for n in sizes[:some].tolist()]
+        assert np.abs(tagger.window_scores(p, codes[: ends[some - 1]], sizes[:some], kept, 100, room) - found[: ends[some - 1]]).max() < 1e-4
+
+
 def test_fold_keeps_places():
     text = "Ａ　b\xa0漢～\U00020000\ud800ｚ"
     assert personal.fold(text) == "A b 漢~\U00020000\ud800z"
