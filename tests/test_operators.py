@@ -341,3 +341,42 @@ def test_rounds_read_only_groups_that_still_move(spark, monkeypatch):
     monkeypatch.setattr(cluster, "grouped_sums", watched)
     found = cluster.grouped_kmeans(rows, {"large": 4, "small": 3}, counts, 5)
     assert seen and all(keys == {"large"} for keys in seen) and found.keys() == counts.keys()
+
+
+def test_configurations_of_a_sweep_share_their_passes(spark, monkeypatch):
+    """The rows of a sweep are made once for all configurations, and every figure is that of the clustering taken alone."""
+    rng, made = np.random.default_rng(8), spark.sparkContext.accumulator(0)
+    centres = rng.normal(0, 6, (5, 6))
+    data = [(f"g{i % 2}", f"r{i:04d}", [float(x) for x in centres[i % 5] + rng.normal(0, 0.5, 6)]) for i in range(900)]
+    plain = spark.createDataFrame([*data, ("g0", "zero", [0.0] * 6), ("g0", "short", [1.0]), ("g1", "none", None), ("g1", "nan", [float("nan")] * 6), ("few", "x", [1.0] * 6)], "grp string, id string, vec array<float>")
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    configs = sweep.one_factor_configs(spark, (5, 0.95, 0.3), [5, 8], [0.8, 0.95], [0.1, 0.3])
+    found = pipeline.sweep_results(plain.mapInArrow(counted, plain.schema), configs, 6, 2).collect()
+    assert made.value == 905 and len(found) == 8
+    usable = plain.where("size(vec) = 6 AND NOT isnan(vec[0]) AND id <> 'zero'")
+    for k, merge, split in {(r.k, r.merge_ratio, r.split_ratio) for r in found}:
+        alone = cluster.sense_clusters(usable, 6, k, merge, split, 2).rows
+        scores = {r.grp: r.silhouette for r in cluster.silhouettes(alone).collect()}
+        sizes = {r.grp: (r.k, r.n) for r in alone.groupBy("grp").agg(F.countDistinct("cluster").alias("k"), F.count("*").alias("n")).collect()}
+        own = {r.grp: r for r in found if (r.k, r.merge_ratio, r.split_ratio) == (k, merge, split)}
+        assert own.keys() == scores.keys() == {"g0", "g1"}
+        assert all((r.k_final, r.n_samples) == sizes[g] and abs(r.silhouette - scores[g]) < 1e-4 for g, r in own.items())
+
+
+def test_rounds_of_a_sweep_are_those_of_grouped_kmeans(spark, monkeypatch):
+    """Groups above the start's rows go on over all their rows, to the same centroids."""
+    from glyphdrift.operators import blocks
+
+    monkeypatch.setattr(cluster, "START_ROWS", 300)
+    rng = np.random.default_rng(9)
+    rows = spark.createDataFrame([("g", f"r{i:04d}", p.tolist()) for i, p in enumerate(rng.normal(size=(3_000, 5)))], "grp string, id string, vec array<float>").localCheckpoint()
+    held = blocks.packed(rows, 5).localCheckpoint()
+    places = sorted(tuple(r) for r in held.select("grp", *blocks.PLACE).collect())
+    fit = blocks.Fit("g", 4, 4, rows=3_000)
+    blocks.fitted(held, places, [fit], {}, 5)
+    assert np.allclose(fit.centres, cluster.grouped_kmeans(rows, {"g": 4}, {"g": 3_000}, 5)["g"], atol=1e-3)
